@@ -10,6 +10,8 @@ from datetime import date, datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quantframe.operators.decisions import at_decisions
+
 BAR_COLUMNS = ("open", "high", "low", "close", "volume")
 
 
@@ -180,50 +182,17 @@ def typical_price() -> Column:
 def filled_panel(bars: DataFrame, calendar: DataFrame) -> DataFrame:
     """One row per symbol and session from its first bar on, with last-known prices.
 
-    Each bar is expanded over the sessions it stays current for, so nothing is crossed with
-    the universe. ``open`` is the session's own open where the symbol traded, otherwise the
-    last close.
+    ``open`` is the session's own open where the symbol traded, otherwise the last close.
     """
-    w = Window.partitionBy("symbol").orderBy("at")
-    # A weekend bar first becomes visible at the next session.
-    placed = bars.join(_next_seq(bars, calendar), "session").groupBy("symbol", "at").agg(
-        F.max_by("close", "session").alias("close"),
-        F.max_by(F.when(F.col("exact"), F.col("open")), "session").alias("open"),
-        F.max("last_seq").alias("__end"),
+    known = at_decisions(
+        bars.select("symbol", "session", "open", "close"),
+        calendar.select(F.col("session").alias("as_of")),
     )
-    spans = placed.withColumn("__until", F.lead("at").over(w))
-    return (
-        spans.withColumn(
-            "seq",
-            F.explode(F.sequence("at", F.coalesce(F.col("__until") - 1, F.col("__end")))),
-        )
-        .select(
-            "symbol",
-            "seq",
-            "close",
-            (F.col("seq") == F.col("at")).alias("__own"),
-            F.col("open").alias("__open"),
-            F.lag("close").over(Window.partitionBy("symbol").orderBy("seq")).alias("__prev"),
-        )
-        .select(
-            "symbol",
-            "seq",
-            "close",
-            F.coalesce(
-                F.when(F.col("__own"), F.col("__open")), F.col("__prev"), F.col("close")
-            ).alias("open"),
-        )
+    return known.select(
+        "symbol",
+        F.col("as_of").alias("session"),
+        "close",
+        F.when(F.col("session") == F.col("as_of"), F.col("open"))
+        .otherwise(F.col("close"))
+        .alias("open"),
     )
-
-
-def _next_seq(bars: DataFrame, calendar: DataFrame) -> DataFrame:
-    """Map each bar date to the first session at or after it."""
-    one = Window.partitionBy(F.lit(0)).orderBy(F.col("session").desc())
-    days = bars.select("session").distinct()
-    marked = days.join(calendar.select("session", "seq"), "session", "left")
-    return marked.select(
-        "session",
-        F.last("seq", ignorenulls=True).over(one).alias("at"),
-        F.col("seq").isNotNull().alias("exact"),
-        F.max("seq").over(Window.partitionBy(F.lit(0))).alias("last_seq"),
-    ).filter("at is not null")

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def at_decisions(
-    features: DataFrame, decisions: DataFrame, *, day: str = "session", key: str = "symbol"
+    features: DataFrame,
+    decisions: DataFrame,
+    *,
+    day: str = "session",
+    keys: Sequence[str] = ("symbol",),
 ) -> DataFrame:
-    """Each symbol's last feature row at or before every decision date (column ``as_of``).
+    """Each key's last feature row at or before every decision date (column ``as_of``).
 
-    A feature row stays current until the symbol's next one, so it answers a contiguous run
+    A feature row stays current until the key's next one, so it answers a contiguous run
     of decision dates. Both ends of the run come from the calendar, the run is exploded in
     place, and nothing is joined between the universe and the decision list. Rows that cover
     no decision date disappear before anything else happens to them.
@@ -39,7 +45,7 @@ def at_decisions(
         .filter("__feature")
         .drop("__feature")
     )
-    w = Window.partitionBy(key).orderBy(day)
+    w = Window.partitionBy(*keys).orderBy(day)
     placed = features.join(first_open, features[day] == first_open["__day"]).withColumn(
         "__hi", F.coalesce(F.lead("__lo").over(w), F.col("__max") + 1)
     )
