@@ -14,6 +14,7 @@ from quantframe.operators import calendars as cal
 from quantframe.operators.decisions import at_decisions
 from quantframe.plans import momentum as mom
 from quantframe.plans import strategies
+from quantframe.session import shared
 
 INITIAL_CASH = 100_000_000.0
 MONTHS = "select as_of from ends"
@@ -32,22 +33,21 @@ TRANCHED = {
 def blend_sql(source: str, share: str) -> str:
     """Latest decision per sleeve on every date any sleeve decided."""
     return f"""
-select as_of, symbol, floor(sum(weight * {share}) * 1e6 + 0.5e0) / 1e6 as weight
-from (select d.as_of, s.sleeve, max(s.as_of) as decided
-      from (select distinct as_of from {source}) d
-      join (select distinct sleeve, as_of from {source}) s on s.as_of <= d.as_of
-      group by 1, 2) l
-join {source} w on w.sleeve = l.sleeve and w.as_of = l.decided
-group by as_of, symbol having floor(sum(weight * {share}) * 1e6 + 0.5e0) > 0""".replace(
-        "select as_of, symbol", "select l.as_of as as_of, w.symbol as symbol"
-    ).replace("group by as_of, symbol", "group by l.as_of, w.symbol")
+select as_of, symbol, weight from (
+  select l.as_of, w.symbol, round_even(sum(round(w.weight * 1e6) * {share}), 0) / 1e6 as weight
+  from (select d.as_of, s.sleeve, max(s.as_of) as decided
+        from (select distinct as_of from {source}) d
+        join (select distinct sleeve, as_of from {source}) s on s.as_of <= d.as_of
+        group by 1, 2) l
+  join {source} w on w.sleeve = l.sleeve and w.as_of = l.decided
+  group by l.as_of, w.symbol) z where weight > 0"""
 
 
 def picks_of(t):
     rows = [mom.complete({})]
     features = mom.signal_features(t.bars, rows)
-    seen = mom.eligible_at(features, month_decisions(t), t.instruments, "S00")
-    return mom.selected(mom.scored(seen, rows))
+    seen = mom.eligible_at(features, month_decisions(t), t.instruments, "S00", days=t.ticks)
+    return shared(mom.selected(mom.scored(seen, rows)))
 
 
 def relative_of(t):
@@ -141,8 +141,8 @@ def _(t):
     BASE,
 )
 def _(t):
-    _, scaled = mom.sized(picks_of(t), sizing.numbered_returns(t.bars))
-    return scaled
+    _, risk = mom.sized(picks_of(t), sizing.numbered_returns(t.bars))
+    return sizing.vol_target(risk, 0.10)
 
 
 @query(

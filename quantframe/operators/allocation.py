@@ -7,8 +7,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantframe.functions import div, literal_grid, round_at, round_to_lot
+from quantframe.functions import div, literal_grid, round_to_lot
 from quantframe.operators.decisions import at_decisions
+from quantframe.session import shared
 
 
 # ---------------------------------------------------------------- fixed weights
@@ -96,6 +97,7 @@ def blend(
     total = sum(float(s["share"]) for s in shares)
     if total > 1.000001 or any(float(s["share"]) < 0 for s in shares):
         raise ValueError("sleeve shares must be non-negative and sum to at most one")
+    targets = shared(targets)
     made = targets.select(*by, sleeve, "as_of").distinct()
     dates = schedule if schedule is not None else targets.select("as_of").distinct()
     latest = at_decisions(
@@ -113,7 +115,9 @@ def blend(
     return (
         latest.join(weighted.drop("__sleeve"), [*by, sleeve, "decided"])
         .groupBy(*by, "as_of", "symbol")
-        .agg(round_at(F.sum(F.col("weight") * F.col("share")), 6).alias("weight"))
+        .agg(F.sum(F.round(F.col("weight") * 1e6) * F.col("share")).alias("__micro"))
+        # Shares of six-place weights land on exact halves, so the tie rule is explicit.
+        .select(*by, "as_of", "symbol", (F.bround("__micro", 0) / 1e6).alias("weight"))
         .filter("weight > 0")
     )
 

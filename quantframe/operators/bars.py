@@ -187,6 +187,7 @@ def filled_panel(bars: DataFrame, calendar: DataFrame) -> DataFrame:
     known = at_decisions(
         bars.select("symbol", "session", "open", "close"),
         calendar.select(F.col("session").alias("as_of")),
+        days=bars,
     )
     return known.select(
         "symbol",

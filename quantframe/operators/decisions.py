@@ -14,19 +14,22 @@ def at_decisions(
     *,
     day: str = "session",
     keys: Sequence[str] = ("symbol",),
+    days: DataFrame | None = None,
 ) -> DataFrame:
     """Each key's last feature row at or before every decision date (column ``as_of``).
 
     A feature row stays current until the key's next one, so it answers a contiguous run
     of decision dates. Both ends of the run come from the calendar, the run is exploded in
     place, and nothing is joined between the universe and the decision list. Rows that cover
-    no decision date disappear before anything else happens to them.
+    no decision date disappear before anything else happens to them. ``days`` may name the
+    dates ``features`` can carry when they are cheaper to list from its source.
     """
     one = Window.partitionBy(F.lit(0))
     numbered = decisions.select("as_of").distinct().select(
         "as_of", F.row_number().over(one.orderBy("as_of")).alias("__j")
     )
-    days = features.select(F.col(day).alias("__day")).distinct()
+    listed = features if days is None else days
+    days = listed.select(F.col(day).alias("__day")).distinct()
     first_open = (
         days.select("__day", F.lit(None).cast("int").alias("__j"), F.lit(True).alias("__feature"))
         .unionByName(

@@ -203,7 +203,7 @@ def cash_at_sessions(fills: DataFrame, calendar: DataFrame, initial: float) -> D
         )
     )
     return at_decisions(
-        running, calendar.select(F.col("session").alias("as_of")), keys=("portfolio",)
+        running, calendar.select(F.col("session").alias("as_of")), keys=("portfolio",), days=fills
     ).select("portfolio", F.col("as_of").alias("session"), "cash")
 
 
@@ -221,7 +221,7 @@ def holdings(fills: DataFrame, calendar: DataFrame) -> DataFrame:
         .select(*POSITION, "session", F.round(F.sum("__d").over(w), 8).alias("quantity"))
     )
     return at_decisions(
-        running, calendar.select(F.col("session").alias("as_of")), keys=POSITION
+        running, calendar.select(F.col("session").alias("as_of")), keys=POSITION, days=fills
     ).select(*POSITION, F.col("as_of").alias("session"), "quantity")
 
 

@@ -70,20 +70,23 @@ def return_tails(members: DataFrame, returns: DataFrame) -> DataFrame:
     )
 
 
-def _deviation(arr: str) -> Column:
-    size = F.size(arr)
-    mean = F.aggregate(arr, F.lit(0.0), lambda a, x: a + x) / size
-    return F.when(
-        size > 1,
-        F.sqrt(
-            F.aggregate(
-                arr,
-                F.struct(F.lit(0.0).alias("s"), mean.alias("m")),
-                lambda a, x: F.struct((a.s + (x - a.m) * (x - a.m)).alias("s"), a.m.alias("m")),
-                lambda a: a.s / (size - 1),
-            )
-        ),
-    ).otherwise(0.0)
+def member_lines(members: DataFrame, returns: DataFrame, book: Sequence[str]) -> DataFrame:
+    """One row per book, member and recency position ``pos`` with that day's return ``r``.
+
+    The history of a member is an equality join on ``(symbol, n)``; ``length`` is a parameter.
+    """
+    wanted = members.select(
+        *book,
+        "symbol",
+        "weight",
+        F.col("n").alias("__end"),
+        F.explode(F.sequence(F.lit(0), F.col("length") - 1)).alias("pos"),
+    ).withColumn("n", F.col("__end") - F.col("pos"))
+    return (
+        wanted.join(returns.select("symbol", "n", F.col("ret").alias("r")), ["symbol", "n"])
+        .filter("r is not null")
+        .select(*book, "symbol", "weight", "pos", "r")
+    )
 
 
 def book_risk(
@@ -96,30 +99,30 @@ def book_risk(
     """Annualised volatility and diversification of each book.
 
     ``members`` carries the book keys, ``symbol``, ``n`` (position of the last visible bar),
-    ``length`` (returns to use) and ``weight``. Histories align on recency.
+    ``length`` (returns to use) and ``weight``. Histories align on recency. One chain: join
+    the histories, deviate per member, sum per position, take variances per book.
     """
-    tails = return_tails(members, returns)
-    full = (
-        members.join(tails, ["symbol", "n"])
-        .withColumn("tail", F.slice("tail", F.lit(1), F.col("length")))
-        .withColumn("sd", _deviation("tail"))
-    )
-    per_book = full.groupBy(*book).agg(
-        F.sum(F.col("weight") * F.col("sd")).alias("__ws"),
-        F.sum((F.col("weight") * F.col("sd")) ** 2).alias("__ws2"),
-        F.sum(F.when(F.col("sd") > 0, 1).otherwise(0)).alias("__k"),
-    )
-    lines = full.select(
-        *book, "weight", "sd", F.posexplode("tail").alias("__pos", "__r")
+    by_member = Window.partitionBy(*book, "symbol")
+    lines = member_lines(members, returns, book).withColumn(
+        "sd", F.stddev_samp("r").over(by_member)
     )
+    ws = F.col("weight") * F.col("sd")
     moments = (
-        lines.groupBy(*book, "__pos")
+        lines.groupBy(*book, "pos")
         .agg(
-            F.sum(F.col("weight") * F.col("__r")).alias("__p"),
-            F.sum(F.when(F.col("sd") > 0, F.col("__r") / F.col("sd"))).alias("__z"),
+            F.sum(F.col("weight") * F.col("r")).alias("__p"),
+            F.sum(F.when(F.col("sd") > 0, F.col("r") / F.col("sd"))).alias("__z"),
+            F.sum(ws).alias("__ws"),
+            F.sum(ws * ws).alias("__ws2"),
+            F.sum(F.when(F.col("sd") > 0, 1).otherwise(0)).alias("__k"),
         )
         .groupBy(*book)
-        .agg(F.var_samp("__p").alias("__raw"), F.var_samp("__z").alias("__zvar"))
+        .agg(
+            F.var_samp("__p").alias("__raw"),
+            F.var_samp("__z").alias("__zvar"),
+            *[F.max_by(c, F.struct("__k", -F.col("pos"))).alias(c) for c in ("__ws", "__ws2")],
+            F.max("__k").alias("__k"),
+        )
     )
     k = F.col("__k")
     rho = div(F.col("__zvar") - k, (k * (k - 1)).cast("double"))
@@ -128,7 +131,7 @@ def book_risk(
         (k >= 2) & F.lit(shrinkage > 0), (1 - shrinkage) * F.col("__raw") + shrinkage * target
     ).otherwise(F.col("__raw"))
     vol = F.sqrt(F.greatest(variance, F.lit(0.0)) * SESSIONS_PER_YEAR)
-    return per_book.join(moments, list(book)).select(
+    return moments.select(
         *book,
         vol.alias("volatility"),
         rho.alias("mean_correlation"),
@@ -150,12 +153,7 @@ def shrunk_covariance(
     The output is the matrix, so its size is the square of the book's; callers pass selected
     members (a top-n), never a universe.
     """
-    tails = return_tails(members, returns)
-    lines = (
-        members.join(tails, ["symbol", "n"])
-        .withColumn("tail", F.slice("tail", F.lit(1), F.col("length")))
-        .select(*book, "symbol", F.posexplode("tail").alias("pos", "r"))
-    )
+    lines = member_lines(members, returns, book)
     keys = [*book, "pos"]
     left = lines.select(*keys, F.col("symbol").alias("sym_a"), F.col("r").alias("ra"))
     right = lines.select(*keys, F.col("symbol").alias("sym_b"), F.col("r").alias("rb"))
@@ -204,12 +202,14 @@ def cap_and_cash(
     kept = sized.withColumn(
         "weight", F.when(F.col("passing"), F.least("weight", cap)).otherwise(0.0)
     )
-    cash = (
-        kept.groupBy(*book)
-        .agg((1 - F.sum("weight")).alias("weight"))
-        .filter("weight > 5e-7")
-        .withColumn("symbol", F.lit(cash_symbol))
+    cash = 1 - F.sum("weight")
+    lines = kept.groupBy(*book).agg(
+        F.concat(
+            F.collect_list(F.when(F.col("passing"), F.struct("symbol", "weight"))),
+            F.array(F.struct(F.lit(cash_symbol).alias("symbol"), cash.alias("weight"))),
+        ).alias("__lines")
+    )
+    return (
+        lines.select(*book, F.inline("__lines"))
+        .filter((F.col("symbol") != cash_symbol) | (F.col("weight") > 5e-7))
     )
-    risky = kept.filter("passing")
-    columns = [*book, "symbol", "weight"]
-    return risky.select(columns).unionByName(cash.select(columns))

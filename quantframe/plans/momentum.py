@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from quantframe.functions import literal_grid, round_at
 from quantframe.operators import signals, sizing
 from quantframe.operators.decisions import at_decisions
+from quantframe.session import shared
 
 VARIANT_DDL = (
     "variant string, lookbacks array<int>, top_n int, trend_window int, target_vol double,"
@@ -77,12 +78,16 @@ def signal_features(bars: DataFrame, variants: Sequence[Mapping[str, Any]]) -> D
 
 
 def eligible_at(
-    features: DataFrame, decisions: DataFrame, instruments: DataFrame, cash_symbol: str
+    features: DataFrame,
+    decisions: DataFrame,
+    instruments: DataFrame,
+    cash_symbol: str,
+    days: DataFrame | None = None,
 ) -> DataFrame:
     """Features visible on each decision date for admitted, risky symbols."""
     dims = instruments.select("symbol", "available_from")
     return (
-        at_decisions(features, decisions)
+        at_decisions(features, decisions, days=days)
         .filter(F.col("symbol") != cash_symbol)
         .join(dims, "symbol")
         .filter("available_from is null or as_of >= available_from")
@@ -94,37 +99,34 @@ def scored(seen: DataFrame, variants: Sequence[Mapping[str, Any]]) -> DataFrame:
     """Blended average ranks per variant, date and symbol.
 
     Ranks depend on a variant only through its warm-up and its lookbacks, so they are made
-    once per distinct pair and then looked up by every variant.
+    once per distinct pair and then looked up by every variant. One chain, no self-join.
     """
     pairs = sorted({(v["need"], m) for v in variants for m in v["lookbacks"]})
     per_pair = literal_grid(
-        seen.select("as_of", "symbol", "n", "mom"),
-        [{"need": a, "months": b} for a, b in pairs],
-        "need int, months int",
-    ).filter("n >= need")
+        seen.select("as_of", "symbol", "n", "close", "mom", "sma", "vol"),
+        [{"pair_need": a, "months": b} for a, b in pairs],
+        "pair_need int, months int",
+    ).filter("n >= pair_need")
     ranked = signals.average_rank(
-        per_pair.select(
-            "as_of", "symbol", "need", "months", F.col("mom")[F.col("months")].alias("value")
-        ),
-        ["need", "months", "as_of"],
+        per_pair.withColumn("value", F.col("mom")[F.col("months")]).drop("mom"),
+        ["pair_need", "months", "as_of"],
         "value",
     )
-    looked_up = ranked.groupBy("need", "as_of", "symbol").agg(
-        F.map_from_entries(F.collect_list(F.struct("months", "rank"))).alias("ranks")
+    same = ("n", "close", "sma", "vol")  # equal on every row of the group
+    ranks = ranked.groupBy("pair_need", "as_of", "symbol").agg(
+        F.map_from_entries(F.collect_list(F.struct("months", "rank"))).alias("ranks"),
+        *[F.first(c).alias(c) for c in same],
     )
-    joined = literal_grid(
-        seen.select("as_of", "symbol", "n", "close", "sma", "vol"), variants, VARIANT_DDL
-    ).filter("n >= need")
-    both = joined.join(looked_up, ["need", "as_of", "symbol"])
+    each = literal_grid(ranks, variants, VARIANT_DDL).filter("need = pair_need")
     size = Window.partitionBy("variant", "as_of")
     score = F.aggregate(
         "lookbacks", F.lit(0.0), lambda acc, m: acc + F.col("ranks")[m]
     ) / F.size("lookbacks")
     return (
-        both.withColumn("score", score)
+        each.withColumn("score", score)
         .withColumn("__k", F.count(F.lit(1)).over(size))
         .filter("__k >= 2")
-        .drop("__k", "ranks", "lookbacks")
+        .drop("__k", "ranks", "lookbacks", "pair_need")
     )
 
 
@@ -152,21 +154,21 @@ def selected(scores: DataFrame) -> DataFrame:
 
 
 def sized(picks: DataFrame, returns: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Inverse-vol weights scaled to the volatility target, and each book's risk."""
+    """Inverse-vol weights scaled to the volatility target, and each book's risk.
+
+    A selected symbol without measurable volatility stays in the frame at zero and failing,
+    so a book made of nothing else still reports itself as all cash.
+    """
     book = ["variant", "as_of"]
-    relative = sizing.inverse_vol_weights(picks, book)
-    risk = sizing.book_risk(relative, returns, book)
-    goal = relative.groupBy(*book).agg(F.first("target_vol").alias("target_vol"))
-    scaled = sizing.vol_target(risk.join(goal, book), F.col("target_vol"))
-    shares = relative.join(scaled.select(*book, "scale"), book).select(
-        *book, "symbol", round_at(F.col("weight") * F.col("scale"), 6).alias("weight")
-    )
-    # A selected symbol without measurable volatility stays in the frame at zero, so a book
-    # made of nothing else still reports itself as all cash.
-    weights = picks.join(shares, [*book, "symbol"], "left").withColumn(
+    inverse = F.when(F.col("vol") > 0, 1 / F.col("vol"))
+    share = inverse / F.sum(inverse).over(Window.partitionBy(*book))
+    relative = picks.withColumn("weight", round_at(share, 6))
+    risk = sizing.book_risk(relative.filter("weight is not null"), returns, book)
+    scaled = sizing.vol_target(relative.join(risk, book, "left"), F.col("target_vol"))
+    weights = scaled.withColumn(
         "passing", F.col("passing") & F.col("weight").isNotNull()
-    ).fillna(0.0, ["weight"])
-    return weights, scaled
+    ).withColumn("weight", round_at(F.coalesce("weight", F.lit(0.0)) * F.col("scale"), 6))
+    return weights, risk
 
 
 def dual_momentum(
@@ -184,8 +186,8 @@ def dual_momentum(
     """
     rows = [complete(v) for v in variants]
     features = signal_features(bars, rows)
-    seen = eligible_at(features, decisions, instruments, cash_symbol)
-    picks = selected(scored(seen, rows))
+    seen = eligible_at(features, decisions, instruments, cash_symbol, days=bars)
+    picks = shared(selected(scored(seen, rows)))
     weights, _ = sized(picks, sizing.numbered_returns(bars))
     return sizing.cap_and_cash(
         weights, ["variant", "as_of"], cash_symbol, F.col("max_weight")

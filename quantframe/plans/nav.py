@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantframe.operators.bars import filled_panel
+from quantframe.session import shared
 
 
 def segments(targets: DataFrame, calendar: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -53,73 +54,82 @@ def segment_nav(
     keys = list(keys)
     seq = calendar.select("session", "seq")
     panel = filled_panel(bars, calendar).join(seq, "session").select("symbol", "seq", "open", "close")
-    spans = segments(targets, calendar, keys)
-    entry = panel.select("symbol", F.col("seq").alias("start_seq"), F.col("open").alias("__p0"))
-    lots = (
+    targets = shared(targets)
+    spans = shared(segments(targets, calendar, keys))
+
+    # Entry and exit opens of every line: one lookup for both ends of its segment.
+    ends = (
         targets.join(spans, [*keys, "as_of"])
-        .join(entry, ["symbol", "start_seq"])
-        .select(*keys, "as_of", "symbol", "weight", "start_seq", "end_seq", "stop_seq", "__p0")
-    )
-    # One row per line and session held, plus the open at which the segment is replaced.
-    walked = lots.withColumn(
-        "seq", F.explode(F.sequence("start_seq", F.coalesce("end_seq", "stop_seq")))
-    )
-    priced = walked.join(panel, ["symbol", "seq"]).select(
-        *keys,
-        "as_of",
-        "symbol",
-        "seq",
-        "weight",
-        F.coalesce(F.col("seq") == F.col("end_seq"), F.lit(False)).alias("__closing"),
-        (F.col("weight") * F.col("close") / F.col("__p0")).alias("__c"),
-        (F.col("weight") * F.col("open") / F.col("__p0")).alias("__o"),
+        .select(
+            *keys,
+            "as_of",
+            "symbol",
+            "weight",
+            "start_seq",
+            "end_seq",
+            "stop_seq",
+            F.explode(F.array("start_seq", "end_seq")).alias("seq"),
+        )
+        .join(panel.select("symbol", "seq", "open"), ["symbol", "seq"])
     )
-    by_day = priced.groupBy(*keys, "as_of", "seq", "__closing").agg(
-        F.sum(F.when(F.col("__closing"), F.col("__o")).otherwise(F.col("__c"))).alias("__value"),
-        F.sum("weight").alias("__w"),
+    lots = shared(
+        ends.groupBy(*keys, "as_of", "symbol", "weight", "start_seq", "end_seq", "stop_seq")
+        .agg(
+            F.max(F.when(F.col("seq") == F.col("start_seq"), F.col("open"))).alias("__p0"),
+            F.max(F.when(F.col("seq") == F.col("end_seq"), F.col("open"))).alias("__p1"),
+        )
+        .filter("__p0 is not null")
     )
-    growth = by_day.select(
-        *keys,
-        "as_of",
-        "seq",
-        "__closing",
-        "__value",
-        (1 - F.col("__w") + F.col("__value")).alias("__g"),
+    moved = F.col("weight") * F.col("__p1") / F.col("__p0")
+    closing = (
+        lots.filter("end_seq is not null")
+        .groupBy(*keys, "as_of")
+        .agg((1 - F.sum("weight") + F.sum(moved)).alias("__end"))
     )
 
     # Turnover at each execution: new weights against the drifted old ones.
     new = lots.select(*keys, F.col("start_seq").alias("seq"), "symbol", "weight")
     old = (
-        priced.filter("__closing")
-        .join(growth.filter("__closing").select(*keys, "as_of", "__g"), [*keys, "as_of"])
-        .select(*keys, "seq", "symbol", (-F.col("__o") / F.col("__g")).alias("weight"))
+        lots.filter("end_seq is not null")
+        .join(closing, [*keys, "as_of"])
+        .select(*keys, F.col("end_seq").alias("seq"), "symbol", (-moved / F.col("__end")).alias("weight"))
     )
     turnover = (
         new.unionByName(old)
         .groupBy(*keys, "seq", "symbol")
         .agg(F.sum("weight").alias("__d"))
-        .groupBy(*keys, "seq")
+        .groupBy(*keys, F.col("seq").alias("start_seq"))
         .agg(F.sum(F.abs("__d")).alias("turnover"))
     )
     w = Window.partitionBy(*keys).orderBy("start_seq")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    closing = growth.filter("__closing").select(*keys, "as_of", F.col("__g").alias("__end"))
     chain = (
         spans.select(*keys, "as_of", "start_seq")
-        .join(turnover.withColumnRenamed("seq", "start_seq"), [*keys, "start_seq"], "left")
+        .join(turnover, [*keys, "start_seq"], "left")
         .join(closing, [*keys, "as_of"], "left")
         .withColumn("__prev", F.lag("__end").over(w))
         .withColumn(
             "__step",
             F.coalesce("__prev", F.lit(1.0))
-            * (1 - cost_rate * F.coalesce("turnover", F.lit(0.0))),
+            * (1 - F.lit(cost_rate) * F.coalesce("turnover", F.lit(0.0))),
         )
         .withColumn("__base", initial * F.exp(F.sum(F.log("__step")).over(upto)))
-        .select(*keys, "as_of", "start_seq", "__base", "turnover")
+        .select(*keys, "as_of", "__base", "turnover")
+    )
+
+    # The only large step: one row per line and session held, summed at once.
+    walked = (
+        lots.withColumn("seq", F.explode(F.sequence("start_seq", "stop_seq")))
+        .join(panel.select("symbol", "seq", "close"), ["symbol", "seq"])
+        .groupBy(*keys, "as_of", "start_seq", "seq")
+        .agg(
+            F.sum(F.col("weight") * F.col("close") / F.col("__p0")).alias("__value"),
+            F.sum("weight").alias("__w"),
+        )
+        .withColumn("__g", 1 - F.col("__w") + F.col("__value"))
     )
     return (
-        growth.filter("not __closing")
-        .join(chain, [*keys, "as_of"])
+        walked.join(chain, [*keys, "as_of"])
         .join(seq, "seq")
         .select(
             *keys,

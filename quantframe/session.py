@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -49,3 +50,12 @@ def cut_lineage(df: DataFrame, fallback: str | None = None) -> DataFrame:
         return df
     spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def shared(df: DataFrame) -> DataFrame:
+    """Keep a small frame that several branches of one plan read.
+
+    Used on decision-sized results (dates x selected members), never on facts. Blocks spill
+    to disk, and a block lost with its executor is rebuilt from its lineage.
+    """
+    return df.persist(StorageLevel.MEMORY_AND_DISK)

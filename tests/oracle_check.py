@@ -22,6 +22,9 @@ TABLES = (
 ).split()
 
 
+TIMES: dict[str, float] = {}
+
+
 def connect(folder: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     con.execute("set threads to 4")
@@ -49,13 +52,17 @@ def rows_of(names, rows):
 
 def compare(spark, con, folder, query):
     df = query.run(spark, folder)
+    begin = time.time()
     got = [tuple(r) for r in df.collect()]
+    TIMES["spark"] = time.time() - begin
+    begin = time.time()
     sql = query.oracle()
     if sql is None:
         return len(got), None, "rows only"
     cursor = con.execute(sql)
     names = [d[0] for d in cursor.description]
     want = cursor.fetchall()
+    TIMES["sql"] = time.time() - begin
     if sorted(names) != sorted(df.columns):
         return len(got), False, f"columns {df.columns} vs {names}"
     left, right = rows_of(df.columns, got), rows_of(names, want)
@@ -95,7 +102,7 @@ def main(argv):
         bad += ok is False
         empty = " EMPTY" if n == 0 else ""
         label = {True: "ok  ", False: "FAIL", None: "rows"}[ok]
-        print(f"{label} {name} rows={n}{empty} {time.time() - begin:.1f}s {note}", flush=True)
+        print(f"{label} {name} rows={n}{empty} {time.time() - begin:.1f}s (spark {TIMES.get('spark', 0):.1f} sql {TIMES.get('sql', 0):.1f}) {note}", flush=True)
     print("failures:", bad)
     return bad
 
