@@ -65,15 +65,14 @@ def named_weights(
 
 def equal_weight(instruments: DataFrame, name: str = "equal_weight") -> DataFrame:
     """Equal shares truncated to eight places; the dust stays in cash."""
-    n = instruments.select(F.countDistinct("symbol").alias("__n"))
+    every = Window.partitionBy(F.lit(0))  # an instrument dimension, not facts
     return (
         instruments.select("symbol")
         .distinct()
-        .join(n, F.lit(True))
         .select(
             F.lit(name).alias("strategy"),
             "symbol",
-            (F.floor(1e8 / F.col("__n")) / 1e8).alias("weight"),
+            (F.floor(1e8 / F.count(F.lit(1)).over(every)) / 1e8).alias("weight"),
         )
     )
 
