@@ -268,7 +268,7 @@ from (select *, {gross} * sb / (lb + sb) / {k} as lw, {gross} * lb / (lb + sb) /
     "E11_beta_neutral_weights",
     "as_of:d symbol:s weight:f",
     BETA_NEUTRAL.format(
-        key="as_of", k=3, gross="1e0", cap="0.35e0", hi=1,
+        key="as_of", k=2, gross="1e0", cap="0.35e0", hi=1,
         source="""select g.as_of, g.symbol, b.beta, s.score from grid g
                   asof join (select x.symbol, x.session, x.score, y.beta from sector x
                              left join betas y using (symbol, session)) s

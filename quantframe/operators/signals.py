@@ -140,7 +140,7 @@ def sector_score(bars: DataFrame, skip: int = 21, short: int = 126, long: int =
 def beta_neutral_weights(
     scored: DataFrame,
     *,
-    per_side: int = 3,
+    per_side: int = 2,
     gross: float = 1.0,
     max_weight: float = 0.35,
     long_high: bool = True,
