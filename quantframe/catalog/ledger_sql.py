@@ -89,7 +89,7 @@ PNL = {
 }
 
 
-def segment_ctes(p: str, targets: str, cost: float = 0.0, initial: float = 100000.0) -> dict[str, str]:
+def segment_ctes(p: str, targets: str, cost: float | str = 0.0, initial: float = 100000.0) -> dict[str, str]:
     """CTEs ending in ``{p}nav(variant, session, nav, exposure, turnover)``."""
     return {
         **BOOK,

@@ -26,7 +26,7 @@ MISSING = {
     "flat_rows": """select symbol, island, sum(case when same then 1 else 0 end) as run from (
           select *, sum(case when same then 0 else 1 end) over
             (partition by symbol order by session) as island
-          from (select symbol, session, coalesce(floor(close) = lag(floor(close)) over
+          from (select symbol, session, coalesce(floor(close / 10) = lag(floor(close / 10)) over
                   (partition by symbol order by session), false) as same from bars) a) b
         group by 1, 2""",
     "zero_rows": """select symbol, sum(case when volume <= 3 then 1 else 0 end) as zeros,
@@ -35,8 +35,8 @@ MISSING = {
 
 
 def coarse(t):
-    """Bars as a lazy feed would deliver them: whole-unit closes, thin volume as none."""
-    return t.bars.withColumn("close", F.floor("close").cast("double")).withColumn(
+    """Bars as a lazy feed would deliver them: coarse closes, thin volume as none."""
+    return t.bars.withColumn("close", F.floor(F.col("close") / 10).cast("double") * 10).withColumn(
         "volume", F.when(F.col("volume") <= 3, 0.0).otherwise(F.col("volume"))
     )
 
@@ -111,8 +111,8 @@ def _(t):
          select symbol, case when count(*) > 5 then 'error' else 'warn' end as severity
            from absent group by 1
          union all select symbol, 'warn' from (
-           select symbol, max(abs(floor(close) / prev - 1)) as m from (
-             select symbol, close, lag(floor(close)) over (partition by symbol order by session)
+           select symbol, max(abs(floor(close / 10) * 10 / prev - 1)) as m from (
+             select symbol, close, lag(floor(close / 10) * 10) over (partition by symbol order by session)
                as prev from bars) q group by 1) j where m > 0.25
          union all select symbol, 'warn' from flat_rows group by 1 having max(run) >= 5
          union all select symbol, case when zeros > n * 0.01 then 'warn' else 'info' end

@@ -84,8 +84,16 @@ def eligible_at(
     cash_symbol: str,
     days: DataFrame | None = None,
 ) -> DataFrame:
-    """Features visible on each decision date for admitted, risky symbols."""
-    dims = instruments.select("symbol", "available_from")
+    """Features visible on each decision date for admitted, risky symbols.
+
+    ``instruments`` may carry several admission policies, one row per ``admission`` and symbol;
+    each policy is then ranked on its own.
+    """
+    dims = instruments.select(
+        "symbol",
+        "available_from",
+        (F.col("admission") if "admission" in instruments.columns else F.lit("")).alias("admission"),
+    )
     return (
         at_decisions(features, decisions, days=days)
         .filter(F.col("symbol") != cash_symbol)
@@ -103,21 +111,26 @@ def scored(seen: DataFrame, variants: Sequence[Mapping[str, Any]]) -> DataFrame:
     """
     pairs = sorted({(v["need"], m) for v in variants for m in v["lookbacks"]})
     per_pair = literal_grid(
-        seen.select("as_of", "symbol", "n", "close", "mom", "sma", "vol"),
+        seen.select("admission", "as_of", "symbol", "n", "close", "mom", "sma", "vol"),
         [{"pair_need": a, "months": b} for a, b in pairs],
         "pair_need int, months int",
     ).filter("n >= pair_need")
     ranked = signals.average_rank(
         per_pair.withColumn("value", F.col("mom")[F.col("months")]).drop("mom"),
-        ["pair_need", "months", "as_of"],
+        ["admission", "pair_need", "months", "as_of"],
         "value",
     )
     same = ("n", "close", "sma", "vol")  # equal on every row of the group
-    ranks = ranked.groupBy("pair_need", "as_of", "symbol").agg(
+    ranks = ranked.groupBy("admission", "pair_need", "as_of", "symbol").agg(
         F.map_from_entries(F.collect_list(F.struct("months", "rank"))).alias("ranks"),
         *[F.first(c).alias(c) for c in same],
     )
-    each = literal_grid(ranks, variants, VARIANT_DDL).filter("need = pair_need")
+    each = literal_grid(ranks, variants, VARIANT_DDL).filter("need = pair_need").withColumn(
+        "variant",
+        F.when(F.col("admission") == "", F.col("variant")).otherwise(
+            F.concat_ws("@", "variant", "admission")
+        ),
+    )
     size = Window.partitionBy("variant", "as_of")
     score = F.aggregate(
         "lookbacks", F.lit(0.0), lambda acc, m: acc + F.col("ranks")[m]
@@ -126,7 +139,7 @@ def scored(seen: DataFrame, variants: Sequence[Mapping[str, Any]]) -> DataFrame:
         each.withColumn("score", score)
         .withColumn("__k", F.count(F.lit(1)).over(size))
         .filter("__k >= 2")
-        .drop("__k", "ranks", "lookbacks", "pair_need")
+        .drop("__k", "ranks", "lookbacks", "pair_need", "admission")
     )
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantframe.operators.bars import filled_panel
@@ -43,15 +43,16 @@ def segment_nav(
     *,
     keys: Sequence[str] = ("variant",),
     initial: float = 100000.0,
-    cost_rate: float = 0.0,
+    cost_rate: Column | float = 0.0,
 ) -> DataFrame:
     """NAV, exposure and turnover per key and session.
 
     Within a segment the book is ``cash weight + sum(w * P(t) / P(t0))``; segments multiply.
-    ``cost_rate`` is charged on the turnover of each rebalance, measured against the drifted
-    weights of the previous segment. Weights that do not sum to one leave cash.
+    ``cost_rate`` (a number, or an expression over the keys) is charged on the turnover of each
+    rebalance, measured against the drifted weights of the previous segment. Weights that do not sum to one leave cash.
     """
     keys = list(keys)
+    rate = cost_rate if isinstance(cost_rate, Column) else F.lit(float(cost_rate))
     seq = calendar.select("session", "seq")
     panel = filled_panel(bars, calendar).join(seq, "session").select("symbol", "seq", "open", "close")
     targets = shared(targets)
@@ -111,7 +112,7 @@ def segment_nav(
         .withColumn(
             "__step",
             F.coalesce("__prev", F.lit(1.0))
-            * (1 - F.lit(cost_rate) * F.coalesce("turnover", F.lit(0.0))),
+            * (1 - rate * F.coalesce("turnover", F.lit(0.0))),
         )
         .withColumn("__base", initial * F.exp(F.sum(F.log("__step")).over(upto)))
         .select(*keys, "as_of", "__base", "turnover")
