@@ -34,6 +34,7 @@ MODULES = (
     "futures",
     "live",
     "sets",
+    "streams",
 )
 
 
