@@ -21,7 +21,7 @@ def margin_of(t):
 
 
 def book_of(t):
-    panel = filled_panel(t.bars, t.sessions)
+    panel = filled_panel(t.daily, t.sessions)
     held = ledger.holdings(t.fills, t.sessions)
     lines = ledger.marked_lines(held, panel)
     marks = ledger.mark_book(lines, ledger.cash_at_sessions(t.fills, t.sessions, INITIAL_CASH))
@@ -29,7 +29,7 @@ def book_of(t):
 
 
 def last_closes(t):
-    return t.bars.groupBy("symbol").agg(F.max_by("close", "session").alias("close"))
+    return t.daily.groupBy("symbol").agg(F.max_by("close", "session").alias("close"))
 
 
 def pnl_of(t):
@@ -205,8 +205,8 @@ def _(t):
     {**BASE, **segment_ctes("g_", "select * from m_targets", cost=0.0005)},
 )
 def _(t):
-    targets = mom.dual_momentum(t.bars, month_decisions(t), t.instruments)
-    return segment_nav(targets, t.bars, t.sessions, cost_rate=0.0005)
+    targets = mom.dual_momentum(t.daily, month_decisions(t), t.instruments)
+    return segment_nav(targets, t.daily, t.sessions, cost_rate=0.0005)
 
 
 # ---------------------------------------------------------------- costs
@@ -236,7 +236,7 @@ from (select *, floor(open * (1 + case when quantity > 0 then 1 else -1 end
 
 def priced_fills(t):
     orders = t.fills.select("portfolio", "symbol", "session", "execution_id", "quantity")
-    return costs.priced_orders(orders, t.bars, t.instruments)
+    return costs.priced_orders(orders, t.daily, t.instruments)
 
 
 @query(
@@ -343,7 +343,7 @@ def _(t):
         "session",
         F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("held"),
     )
-    return costs.feasibility(orders, t.bars, before, t.instruments)
+    return costs.feasibility(orders, t.daily, before, t.instruments)
 
 
 @query(

@@ -279,8 +279,8 @@ from (select *, {gross} * sb / (lb + sb) / {k} as lw, {gross} * lb / (lb + sb) /
 def _(t):
     from quantframe.operators.decisions import at_decisions
 
-    beta = signals.rolling_beta(signals.with_market(signals.log_returns(t.bars)))
-    both = signals.sector_score(t.bars).join(beta, ["symbol", "session"], "left")
+    beta = signals.rolling_beta(signals.with_market(signals.log_returns(t.daily)))
+    both = signals.sector_score(t.daily).join(beta, ["symbol", "session"], "left")
     seen = at_decisions(both, month_decisions(t)).drop("session")
     return signals.beta_neutral_weights(seen, key="as_of")
 
@@ -319,7 +319,7 @@ def _(t):
     ),
 )
 def _(t):
-    returns = signals.log_returns(t.bars)
+    returns = signals.log_returns(t.daily)
     score = signals.residual_reversal(signals.with_market(returns))
     return signals.reversal_weights(score, signals.regime(returns), symbols=12, threshold=9.0)
 
@@ -406,7 +406,7 @@ def _(t):
 def _lines(t):
     from quantframe.operators.decisions import at_decisions
 
-    returns = signals.simple_returns(t.bars)
+    returns = signals.simple_returns(t.daily)
     seen = at_decisions(trend.trend_features(returns), week_decisions(t)).filter("n >= 257")
     return trend.ewma_lines(seen.select("as_of", "symbol", "n", "direction"), returns)
 
@@ -441,7 +441,7 @@ def _(t):
                group by x.as_of) v) s using (as_of)""",
 )
 def _(t):
-    return trend.trend_targets(signals.simple_returns(t.bars), week_decisions(t))
+    return trend.trend_targets(signals.simple_returns(t.daily), week_decisions(t))
 
 
 @sql_query(
@@ -450,7 +450,7 @@ def _(t):
     "select as_of, symbol, n from trend_at where n < 257",
 )
 def _(t):
-    return trend.unavailable(signals.simple_returns(t.bars), week_decisions(t))
+    return trend.unavailable(signals.simple_returns(t.daily), week_decisions(t))
 
 
 @sql_query(

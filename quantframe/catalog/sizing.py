@@ -45,7 +45,7 @@ select as_of, symbol, weight from (
 
 def picks_of(t):
     rows = [mom.complete({})]
-    features = mom.signal_features(t.bars, rows)
+    features = mom.signal_features(t.daily, rows)
     seen = mom.eligible_at(features, month_decisions(t), t.instruments, "S00", days=t.ticks)
     return shared(mom.selected(mom.scored(seen, rows)))
 
@@ -65,7 +65,7 @@ def relative_of(t):
     SHARED,
 )
 def _(t):
-    return sizing.realised_vol(signals.simple_returns(t.bars))
+    return sizing.realised_vol(signals.simple_returns(t.daily))
 
 
 @query(
@@ -86,7 +86,7 @@ def _(t):
 )
 def _(t):
     return sizing.shrunk_covariance(
-        relative_of(t), sizing.numbered_returns(t.bars), ["variant", "as_of"]
+        relative_of(t), sizing.numbered_returns(t.daily), ["variant", "as_of"]
     ).withColumn("cov1e4", F.col("cov") * 1e4)
 
 
@@ -98,7 +98,7 @@ def _(t):
 )
 def _(t):
     return sizing.book_risk(
-        relative_of(t), sizing.numbered_returns(t.bars), ["variant", "as_of"]
+        relative_of(t), sizing.numbered_returns(t.daily), ["variant", "as_of"]
     )
 
 
@@ -124,7 +124,7 @@ F05 = {
     F05,
 )
 def _(t):
-    returns = sizing.numbered_returns(t.bars)
+    returns = sizing.numbered_returns(t.daily)
     weights, _ = mom.sized(picks_of(t), returns)
     kept = (
         weights.filter("passing")
@@ -141,7 +141,7 @@ def _(t):
     BASE,
 )
 def _(t):
-    _, risk = mom.sized(picks_of(t), sizing.numbered_returns(t.bars))
+    _, risk = mom.sized(picks_of(t), sizing.numbered_returns(t.daily))
     return sizing.vol_target(risk, 0.10)
 
 
@@ -155,7 +155,7 @@ def _(t):
     BASE,
 )
 def _(t):
-    weights, _ = mom.sized(picks_of(t), sizing.numbered_returns(t.bars))
+    weights, _ = mom.sized(picks_of(t), sizing.numbered_returns(t.daily))
     return sizing.cap_and_cash(weights, ["as_of"], "S00", 0.15)
 
 
@@ -163,7 +163,7 @@ def _(t):
     "F08_dual_momentum", "as_of:d symbol:s weight:f", "select * from m_targets", BASE
 )
 def flagship(t):
-    return mom.dual_momentum(t.bars, month_decisions(t), t.instruments)
+    return mom.dual_momentum(t.daily, month_decisions(t), t.instruments)
 
 
 @query(
@@ -199,8 +199,8 @@ def _(t):
     ).unionByName(allocation.equal_weight(t.instruments))
     hold = allocation.named_weights(t.instruments, {"buy_and_hold": {"S01": 1.0}})
     every = t.sessions.select(F.col("session").alias("as_of"))
-    return allocation.static_weights(month_decisions(t), t.bars, table).unionByName(
-        allocation.static_weights(every, t.bars, hold, once=True)
+    return allocation.static_weights(month_decisions(t), t.daily, table).unionByName(
+        allocation.static_weights(every, t.daily, hold, once=True)
     )
 
 
@@ -220,12 +220,12 @@ def _(t):
     },
 )
 def _(t):
-    lead = mom.dual_momentum(t.bars, month_decisions(t), t.instruments).select(
+    lead = mom.dual_momentum(t.daily, month_decisions(t), t.instruments).select(
         F.lit("momentum").alias("sleeve"), "as_of", "symbol", "weight"
     )
     dates = cal.monthly_offset(t.sessions, 10).select(F.col("session").alias("as_of"))
     table = allocation.named_weights(t.instruments, {"fixed": {"S01": 0.6, "S02": 0.4}})
-    fixed = allocation.static_weights(dates, t.bars, table).withColumnRenamed("strategy", "sleeve")
+    fixed = allocation.static_weights(dates, t.daily, table).withColumnRenamed("strategy", "sleeve")
     return allocation.blend(
         lead.unionByName(fixed),
         [{"sleeve": "momentum", "share": 0.5}, {"sleeve": "fixed", "share": 0.5}],
@@ -234,7 +234,7 @@ def _(t):
 
 @query("F11_tranche", "as_of:d symbol:s weight:f", blend_sql("t_sleeves", "0.25e0"), TRANCHED)
 def _(t):
-    return strategies.tranched(t.bars, t.sessions, t.instruments)
+    return strategies.tranched(t.daily, t.sessions, t.instruments)
 
 
 @query(
@@ -257,7 +257,7 @@ def _(t):
 def _(t):
     out = None
     for name in ("momentum", "momentum-single", "equal-weight", "60-40"):
-        made = strategies.build(name, t.bars, t.sessions, t.instruments)
+        made = strategies.build(name, t.daily, t.sessions, t.instruments)
         row = made.groupBy(F.lit(name).alias("strategy")).agg(
             F.countDistinct("as_of").alias("decisions"),
             (F.sum("weight") / F.countDistinct("as_of")).alias("mean_gross"),
@@ -270,7 +270,7 @@ def books(t):
     """Holdings, marks and prices on month-end sessions, keyed by as_of."""
     from quantframe.operators.bars import filled_panel
 
-    panel = filled_panel(t.bars, t.sessions)
+    panel = filled_panel(t.daily, t.sessions)
     held = ledger.holdings(t.fills, t.sessions)
     cash = ledger.cash_at_sessions(t.fills, t.sessions, INITIAL_CASH)
     marks = ledger.mark_book(ledger.marked_lines(held, panel), cash)
@@ -312,7 +312,7 @@ def orders_of(t):
     held, marks, panel = books(t)
     # Which portfolio follows which strategy; targets fan out along this key.
     follows = t.fills.select("portfolio").distinct().withColumn("variant", F.lit("base"))
-    targets = mom.dual_momentum(t.bars, month_decisions(t), t.instruments)
+    targets = mom.dual_momentum(t.daily, month_decisions(t), t.instruments)
     each = targets.join(follows, "variant").drop("variant")
     return each, held, marks, panel
 
@@ -391,8 +391,8 @@ TREND_UNITS = """select t.as_of, t.symbol, t.weight, q.close as price,
 def units_of(t):
     from quantframe.operators.bars import filled_panel
 
-    panel = filled_panel(t.bars, t.sessions).withColumnRenamed("session", "as_of")
-    made = mom.dual_momentum(t.bars, month_decisions(t), t.instruments)
+    panel = filled_panel(t.daily, t.sessions).withColumnRenamed("session", "as_of")
+    made = mom.dual_momentum(t.daily, month_decisions(t), t.instruments)
     return made.join(panel, ["as_of", "symbol"]).withColumn(
         "units", allocation.whole_units(F.col("weight"), F.lit(1e6), F.col("close"), 50.0)
     )

@@ -69,7 +69,7 @@ def trial_sql(p: str) -> str:
        group by 1, 2""",
 )
 def _(t):
-    return sweep.readiness(t.bars, sweep.battery())
+    return sweep.readiness(t.daily, sweep.battery())
 
 
 @query(
@@ -79,7 +79,7 @@ def _(t):
     sweep_sql_ctes("w", VARIANTS),
 )
 def _(t):
-    return sweep.run_sweep(t.bars, t.sessions, t.instruments, VARIANTS)
+    return sweep.run_sweep(t.daily, t.sessions, t.instruments, VARIANTS)
 
 
 HELD = perf_sql(
@@ -374,8 +374,8 @@ def _(t):
     tagged = cal.monthly_offsets(t.sessions, (0, 5, 10, 15)).select(
         F.col("offset").cast("string").alias("offset"), F.col("session").alias("as_of")
     )
-    targets = dual_momentum(t.bars, tagged, t.instruments).drop("variant").join(tagged, "as_of")
-    curves = segment_nav(targets, t.bars, t.sessions, keys=["offset"])
+    targets = dual_momentum(t.daily, tagged, t.instruments).drop("variant").join(tagged, "as_of")
+    curves = segment_nav(targets, t.daily, t.sessions, keys=["offset"])
     return screens.timing_luck(metrics.performance(curves, 0.0, ["offset"]), "offset")
 
 
@@ -425,7 +425,7 @@ def _(t):
                    from bars) b) t group by 1""",
 )
 def _(t):
-    thin = t.bars.withColumn(
+    thin = t.daily.withColumn(
         "volume", F.when(F.col("volume") <= 5, 0.0).otherwise(F.col("volume"))
     )
     return screens.liquidity_screen(thin)
@@ -453,7 +453,7 @@ def _(t):
 )
 def _(t):
     return sweep.sensitivity_table(
-        sweep.run_sweep(t.bars, t.sessions, t.instruments, VARIANTS)
+        sweep.run_sweep(t.daily, t.sessions, t.instruments, VARIANTS)
     )
 
 
@@ -467,7 +467,7 @@ def _(t):
     sweep_sql_ctes("g", GRID),
 )
 def _(t):
-    trials = sweep.run_sweep(t.bars, t.sessions, t.instruments, GRID)
+    trials = sweep.run_sweep(t.daily, t.sessions, t.instruments, GRID)
     return sweep.grid_table(trials, GRID_X, GRID_Y[0])
 
 
@@ -502,5 +502,5 @@ def policy_ctes() -> dict[str, str]:
     policy_ctes(),
 )
 def _(t):
-    return sweep.admission_sweep(t.bars, t.sessions, t.instruments, POLICIES)
+    return sweep.admission_sweep(t.daily, t.sessions, t.instruments, POLICIES)
 

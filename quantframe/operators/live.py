@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantframe.functions import div
-from quantframe.operators.asof import asof_join
 from quantframe.operators.quantiles import exact_quantile
 from quantframe.operators.scan import block_scan
 
@@ -243,63 +242,71 @@ def match_orders_to_trades(
 ) -> DataFrame:
     """Interval match, unique both ways: same keys, ``created < ts < created + window``.
 
-    Candidate pairs are never listed. Each side counts the other inside its interval as the
-    difference of two running counts read as of the interval's ends; when the count is one,
-    the reading at the upper end names the partner. A key with millions of orders and trades
-    costs the same per row as a quiet one. ``orders`` has ``order_id, created_at``; ``trades``
-    has ``trade_id, ts``. The result has one row per trade.
+    Candidate pairs are never listed. Orders, trades and the far ends of both intervals are
+    laid on one time line per key and swept once: a running count of trades read at an
+    order's start and end gives its number of candidates, and when that is one, the latest
+    trade at the end is the partner. The same sweep answers for trades. A key with millions of
+    rows costs the same per row as a quiet one, and spreads over its days.
+    ``orders`` has ``order_id, created_at``; ``trades`` has ``trade_id, ts``. The result has
+    one row per trade.
     """
     keys = list(keys)
     span = F.expr(f"interval {window}")
 
-    def numbered(df: DataFrame, stamp: str, ident: str) -> DataFrame:
-        day = df.select(*keys, stamp, ident).withColumn("__day", F.to_date(stamp))
-        return block_scan(
-            day, keys, "__day", [stamp, ident], {"__i": ("sum", F.lit(1))}
-        ).select(*keys, F.col(stamp).alias("__at"), F.col(ident).alias("__id"), "__i")
-
-    def last_of_instant(df: DataFrame) -> DataFrame:
-        return df.groupBy(*keys, "__at").agg(
-            F.max("__i").alias("__i"), F.max_by("__id", "__i").alias("__id")
+    def mark(df: DataFrame, at: Column, rank: int, order_id: Column, trade_id: Column) -> DataFrame:
+        return df.select(
+            *keys,
+            at.cast("timestamp").alias("__at"),
+            F.lit(rank).alias("__rank"),
+            order_id.cast("string").alias("__o"),
+            trade_id.cast("string").alias("__t"),
         )
 
-    def between(df, low, high, ident, other) -> DataFrame:
-        """Rows of ``df`` with the count of ``other`` strictly inside (low, high)."""
-        marks = last_of_instant(other)
-        base = df.withColumn("__lo", low).withColumn("__hi", high)
-        at_low = asof_join(
-            base, marks.withColumnRenamed("__i", "__c0"), keys, "__lo", "__at", ["__c0"]
-        )
-        both = asof_join(
-            at_low,
-            marks.select(*keys, "__at", F.col("__i").alias("__c1"), F.col("__id").alias("partner")),
-            keys,
-            "__hi",
-            "__at",
-            ["__c1", "partner"],
-            allow_exact=False,
-        )
-        found = F.greatest(
-            F.coalesce("__c1", F.lit(0)) - F.coalesce("__c0", F.lit(0)), F.lit(0)
-        )
-        return both.withColumn("candidates", found).select(
-            *keys, ident, "candidates", F.when(found == 1, F.col("partner")).alias("partner")
+    none = F.lit(None)
+    o, t = F.col("order_id"), F.col("trade_id")
+    # The rank settles equal instants: interval ends read before events, starts after them.
+    line = (
+        mark(orders, F.col("created_at") + span, 0, o, none)
+        .unionByName(mark(trades, F.col("ts"), 1, none, t))
+        .unionByName(mark(orders, F.col("created_at"), 2, o, none))
+        .unionByName(mark(trades, F.col("ts") - span, 3, none, t))
+        .withColumn("__day", F.to_date("__at"))
+    )
+    is_trade, is_order = F.col("__rank") == 1, F.col("__rank") == 2
+    swept = block_scan(
+        line,
+        keys,
+        "__day",
+        ["__at", "__rank", "__o", "__t"],
+        {
+            "__trades": ("sum", F.when(is_trade, 1).otherwise(0)),
+            "__orders": ("sum", F.when(is_order, 1).otherwise(0)),
+            "__trade": ("last", F.when(is_trade, F.col("__t"))),
+            "__order": ("last", F.when(is_order, F.col("__o"))),
+        },
+    )
+    at = lambda rank, c: F.max(F.when(F.col("__rank") == rank, F.col(c)))
+    from_order = (
+        swept.filter("__rank in (0, 2)")
+        .groupBy(F.col("__o").alias("order_id"))
+        .agg((at(0, "__trades") - at(2, "__trades")).alias("__back"), at(0, "__trade").alias("__mate"))
+    )
+    # A trade reads the orders strictly before it; an order that arrives with it comes later.
+    from_trade = (
+        swept.filter("__rank in (1, 3)")
+        .groupBy(F.col("__t").alias("__id"))
+        .agg(
+            (at(1, "__orders") - at(3, "__orders")).alias("candidates"),
+            at(1, "__order").alias("order_id"),
         )
-
-    o = orders.select(*keys, "order_id", "created_at")
-    t = trades.select(*keys, "trade_id", "ts")
-    from_trade = between(
-        t, F.col("ts") - span, F.col("ts"), "trade_id", numbered(orders, "created_at", "order_id")
-    ).withColumnRenamed("partner", "order_id")
-    from_order = between(
-        o, F.col("created_at"), F.col("created_at") + span, "order_id", numbered(trades, "ts", "trade_id")
-    ).select("order_id", F.col("candidates").alias("__back"), F.col("partner").alias("__trade"))
-    both = from_trade.join(from_order, "order_id", "left")
-    mutual = (F.col("candidates") == 1) & (F.col("__back") == 1) & (
-        F.col("__trade") == F.col("trade_id")
-    )
-    return both.select(
-        "trade_id",
+        .withColumn("order_id", F.when(F.col("candidates") == 1, F.col("order_id")))
+    )
+    mutual = (
+        (F.col("candidates") == 1) & (F.col("__back") == 1) & (F.col("__mate") == F.col("__id"))
+    )
+    kind = trades.schema["trade_id"].dataType
+    return from_trade.join(from_order, "order_id", "left").select(
+        F.col("__id").cast(kind).alias("trade_id"),
         F.when(mutual, F.col("order_id")).alias("order_id"),
         "candidates",
         F.when(mutual, "matched")

@@ -46,47 +46,76 @@ def pair_signals(panel: DataFrame, lookback: int = 252) -> DataFrame:
     Everything is fitted on the ``lookback`` rows before the current one and scored on it.
     """
     half = lookback // 2
-    train = BY_PAIR.rowsBetween(-lookback, -1)
-    early = BY_PAIR.rowsBetween(-lookback, -lookback + half - 1)
-    late = BY_PAIR.rowsBetween(-half, -1)
-    lagged = BY_PAIR.rowsBetween(-lookback + 1, -1)
     since_start = BY_PAIR.rowsBetween(Window.unboundedPreceding, 0)
 
     logs = panel.select(
-        "*",
+        "pair",
+        "session",
         (F.log("left_close") - F.first(F.log("left_close")).over(since_start)).alias("l"),
         (F.log("right_close") - F.first(F.log("right_close")).over(since_start)).alias("r"),
     ).select(
         "*",
-        F.lag("l").over(BY_PAIR).alias("l1"),
-        F.lag("r").over(BY_PAIR).alias("r1"),
+        F.lag("l", 1, 0.0).over(BY_PAIR).alias("l1"),
+        F.lag("r", 1, 0.0).over(BY_PAIR).alias("r1"),
     ).select(
         "*", (F.col("l") - F.col("l1")).alias("dl"), (F.col("r") - F.col("r1")).alias("dr")
     )
-    fitted = logs.select(
+    # Cumulative sums once; every rolling moment below is a difference of two of them, so the
+    # cost per row does not depend on the lookback.
+    level = ["l", "r"]
+    names = ["l", "r", "l1", "r1", "dl", "dr"]
+    products = {
+        f"{x}*{y}": F.col(x) * F.col(y) for i, x in enumerate(names) for y in names[i:]
+    }
+    sums = {**{x: F.col(x) for x in names}, **products}
+    running = logs.select(
+        "pair",
+        "session",
+        *level,
+        F.row_number().over(BY_PAIR).alias("__n"),
+        *[F.sum(expr).over(since_start).alias(f"S[{k}]") for k, expr in sums.items()],
+    )
+
+    def total(key: str, back: int, skip: int) -> Column:
+        """Sum over the rows ``-back .. -skip`` relative to the current one."""
+        upto = F.lag(f"`S[{key}]`", skip, 0.0).over(BY_PAIR)
+        return upto - F.lag(f"`S[{key}]`", back + 1, 0.0).over(BY_PAIR)
+
+    def moment(x: str, y: str, back: int, skip: int = 1) -> Column:
+        """Centred sum of products over a frame, divided by its row count."""
+        n = back - skip + 1
+        key = f"{x}*{y}" if f"{x}*{y}" in products else f"{y}*{x}"
+        return (total(key, back, skip) - total(x, back, skip) * total(y, back, skip) / n) / n
+
+    def slope(back: int, skip: int) -> Column:
+        return div(moment("l", "r", back, skip), moment("r", "r", back, skip))
+
+    scale = lookback / (lookback - 1)
+    short = lookback - 1
+    fitted = running.select(
         "pair",
         "session",
         "l",
         "r",
-        F.count("l").over(train).alias("n"),
-        F.regr_slope("l", "r").over(train).alias("beta"),
-        F.avg("l").over(train).alias("ml"),
-        F.avg("r").over(train).alias("mr"),
-        F.regr_slope("l", "r").over(early).alias("first_beta"),
-        F.regr_slope("l", "r").over(late).alias("second_beta"),
-        F.var_samp("l").over(train).alias("vl"),
-        F.var_samp("r").over(train).alias("vr"),
-        F.covar_samp("l", "r").over(train).alias("clr"),
-        F.covar_pop("dl", "l1").over(lagged).alias("c1"),
-        F.covar_pop("dl", "r1").over(lagged).alias("c2"),
-        F.covar_pop("dr", "l1").over(lagged).alias("c3"),
-        F.covar_pop("dr", "r1").over(lagged).alias("c4"),
-        F.var_pop("l1").over(lagged).alias("v1"),
-        F.var_pop("r1").over(lagged).alias("v2"),
-        F.covar_pop("l1", "r1").over(lagged).alias("v3"),
-        F.var_pop("dl").over(lagged).alias("w1"),
-        F.var_pop("dr").over(lagged).alias("w2"),
-        F.covar_pop("dl", "dr").over(lagged).alias("w3"),
+        F.least(F.col("__n") - 1, F.lit(lookback)).alias("n"),
+        slope(lookback, 1).alias("beta"),
+        (total("l", lookback, 1) / lookback).alias("ml"),
+        (total("r", lookback, 1) / lookback).alias("mr"),
+        slope(lookback, lookback - half + 1).alias("first_beta"),
+        slope(half, 1).alias("second_beta"),
+        (moment("l", "l", lookback) * scale).alias("vl"),
+        (moment("r", "r", lookback) * scale).alias("vr"),
+        (moment("l", "r", lookback) * scale).alias("clr"),
+        moment("dl", "l1", short).alias("c1"),
+        moment("dl", "r1", short).alias("c2"),
+        moment("dr", "l1", short).alias("c3"),
+        moment("dr", "r1", short).alias("c4"),
+        moment("l1", "l1", short).alias("v1"),
+        moment("r1", "r1", short).alias("v2"),
+        moment("l1", "r1", short).alias("v3"),
+        moment("dl", "dl", short).alias("w1"),
+        moment("dr", "dr", short).alias("w2"),
+        moment("dl", "dr", short).alias("w3"),
     )
     c, b, m = F.col, F.col("beta"), lookback - 1
     full = F.col("n") == lookback

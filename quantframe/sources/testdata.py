@@ -12,6 +12,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quantframe.session import shared
+
 SYMBOLS = 12
 PORTFOLIOS = 8
 
@@ -54,6 +56,12 @@ class Tables:
             F.sum("volume").alias("volume"),
         )
 
+    @cached_property
+    def daily(self) -> DataFrame:
+        """The same bars, kept after their first derivation: for plans that read them in
+        several branches, as they would read a stored table."""
+        return shared(self.bars)
+
     @cached_property
     def sessions(self) -> DataFrame:
         """Exchange calendar: traded weekdays, numbered in order."""
@@ -65,7 +73,7 @@ class Tables:
             .distinct()
             .filter("weekday(session) < 5")
         )
-        return number_sessions(days)
+        return shared(number_sessions(days))
 
     @cached_property
     def instruments(self) -> DataFrame:
