@@ -244,8 +244,8 @@ def match_orders_to_trades(
 
     Candidate pairs are never listed. Orders, trades and the far ends of both intervals are
     laid on one time line per key and swept once: a running count of trades read at an
-    order's start and end gives its number of candidates, and when that is one, the latest
-    trade at the end is the partner. The same sweep answers for trades. A key with millions of
+    order's start and end gives its number of candidates, and when that is one, the count at
+    the end is the partner's running number. The same sweep answers for trades. A key with millions of
     rows costs the same per row as a quiet one, and spreads over its days.
     ``orders`` has ``order_id, created_at``; ``trades`` has ``trade_id, ts``. The result has
     one row per trade.
@@ -253,60 +253,58 @@ def match_orders_to_trades(
     keys = list(keys)
     span = F.expr(f"interval {window}")
 
-    def mark(df: DataFrame, at: Column, rank: int, order_id: Column, trade_id: Column) -> DataFrame:
+    def mark(df: DataFrame, at: Column, rank: int, ident: str, is_order: bool) -> DataFrame:
         return df.select(
             *keys,
             at.cast("timestamp").alias("__at"),
             F.lit(rank).alias("__rank"),
-            order_id.cast("string").alias("__o"),
-            trade_id.cast("string").alias("__t"),
+            F.lit(is_order).alias("__is_order"),
+            F.col(ident).cast("string").alias("__id"),
         )
 
-    none = F.lit(None)
-    o, t = F.col("order_id"), F.col("trade_id")
     # The rank settles equal instants: interval ends read before events, starts after them.
     line = (
-        mark(orders, F.col("created_at") + span, 0, o, none)
-        .unionByName(mark(trades, F.col("ts"), 1, none, t))
-        .unionByName(mark(orders, F.col("created_at"), 2, o, none))
-        .unionByName(mark(trades, F.col("ts") - span, 3, none, t))
+        mark(orders, F.col("created_at") + span, 0, "order_id", True)
+        .unionByName(mark(trades, F.col("ts"), 1, "trade_id", False))
+        .unionByName(mark(orders, F.col("created_at"), 2, "order_id", True))
+        .unionByName(mark(trades, F.col("ts") - span, 3, "trade_id", False))
         .withColumn("__day", F.to_date("__at"))
     )
-    is_trade, is_order = F.col("__rank") == 1, F.col("__rank") == 2
+    rank = F.col("__rank")
     swept = block_scan(
         line,
         keys,
         "__day",
-        ["__at", "__rank", "__o", "__t"],
+        ["__at", "__rank", "__id"],
         {
-            "__trades": ("sum", F.when(is_trade, 1).otherwise(0)),
-            "__orders": ("sum", F.when(is_order, 1).otherwise(0)),
-            "__trade": ("last", F.when(is_trade, F.col("__t"))),
-            "__order": ("last", F.when(is_order, F.col("__o"))),
+            "__trades": ("sum", F.when(rank == 1, 1).otherwise(0)),
+            "__orders": ("sum", F.when(rank == 2, 1).otherwise(0)),
         },
     )
-    at = lambda rank, c: F.max(F.when(F.col("__rank") == rank, F.col(c)))
-    from_order = (
-        swept.filter("__rank in (0, 2)")
-        .groupBy(F.col("__o").alias("order_id"))
-        .agg((at(0, "__trades") - at(2, "__trades")).alias("__back"), at(0, "__trade").alias("__mate"))
-    )
-    # A trade reads the orders strictly before it; an order that arrives with it comes later.
-    from_trade = (
-        swept.filter("__rank in (1, 3)")
-        .groupBy(F.col("__t").alias("__id"))
-        .agg(
-            (at(1, "__orders") - at(3, "__orders")).alias("candidates"),
-            at(1, "__order").alias("order_id"),
-        )
-        .withColumn("order_id", F.when(F.col("candidates") == 1, F.col("order_id")))
-    )
-    mutual = (
-        (F.col("candidates") == 1) & (F.col("__back") == 1) & (F.col("__mate") == F.col("__id"))
+    # Per row: its own running number, and the other side's counts at its interval's ends.
+    # The count at the far end is also the running number of the last candidate.
+    sides = swept.groupBy(*keys, "__is_order", "__id").agg(
+        F.max(F.when(rank == 2, F.col("__orders")).when(rank == 1, F.col("__trades"))).alias("own"),
+        F.max(F.when(rank == 0, F.col("__trades")).when(rank == 1, F.col("__orders"))).alias("hi"),
+        F.max(F.when(rank == 2, F.col("__trades")).when(rank == 3, F.col("__orders"))).alias("lo"),
+    ).withColumn("candidates", F.col("hi") - F.col("lo"))
+    by_order = sides.filter("__is_order").select(
+        *keys,
+        F.col("__id").alias("order_id"),
+        F.col("own").alias("__at_order"),
+        F.when(F.col("candidates") == 1, F.col("hi")).alias("__wants"),
+    )
+    by_trade = sides.filter("not __is_order").select(
+        *keys,
+        F.col("__id").alias("__trade"),
+        "own",
+        "candidates",
+        F.when(F.col("candidates") == 1, F.col("hi")).alias("__at_order"),
     )
+    mutual = F.coalesce(F.col("__wants") == F.col("own"), F.lit(False))
     kind = trades.schema["trade_id"].dataType
-    return from_trade.join(from_order, "order_id", "left").select(
-        F.col("__id").cast(kind).alias("trade_id"),
+    return by_trade.join(by_order, [*keys, "__at_order"], "left").select(
+        F.col("__trade").cast(kind).alias("trade_id"),
         F.when(mutual, F.col("order_id")).alias("order_id"),
         "candidates",
         F.when(mutual, "matched")

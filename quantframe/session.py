@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -52,10 +53,28 @@ def cut_lineage(df: DataFrame, fallback: str | None = None) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def shared(df: DataFrame) -> DataFrame:
-    """Keep a small frame that several branches of one plan read.
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the cluster's shared checkpoint folder.
 
-    Used on decision-sized results (dates x selected members), never on facts. Blocks spill
-    to disk, and a block lost with its executor is rebuilt from its lineage.
+    Only a local master, where driver and executors share one disk, may fall back to a
+    temporary folder.
     """
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    named = checkpoint_dir(spark)
+    if named:
+        return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if spark.sparkContext.master.startswith("local"):
+        return tempfile.mkdtemp(prefix=f"spark-{name}-")
+    raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+
+
+def shared(df: DataFrame, name: str = "shared") -> DataFrame:
+    """Write a frame that several branches read, and continue from the written table.
+
+    The branches then start from a small scan instead of repeating (and re-planning) the work
+    above it, the optimiser sees the table's real size, and a lost executor re-reads files
+    instead of replaying lineage. Used on decision-sized results and dimensions.
+    """
+    spark = df.sparkSession
+    path = f"{scratch_folder(spark, name)}/rows"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

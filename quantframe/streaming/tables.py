@@ -7,28 +7,12 @@ machine-local folder: paths come from the shared folder the session names.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantframe.session import checkpoint_dir
-
-
-def scratch_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the cluster's shared checkpoint folder.
-
-    Only a local master, where driver and executors share one disk, may fall back to a
-    temporary folder.
-    """
-    named = checkpoint_dir(spark)
-    if named:
-        return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    if spark.sparkContext.master.startswith("local"):
-        return tempfile.mkdtemp(prefix=f"spark-{name}-")
-    raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+from quantframe.session import scratch_folder  # noqa: F401 - re-exported for jobs
 
 
 class VersionedTable:
