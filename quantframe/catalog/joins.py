@@ -192,7 +192,7 @@ def _(t):
 )
 def _(t):
     panel = pairs.pair_panel(t.bars, pair_list(t))
-    ret = lambda c: F.col(c) / F.lag(c).over(pairs.BY_PAIR) - 1
+    ret = lambda c: F.col(c) / F.lag(c).over(pairs.by_pair()) - 1
     moves = panel.select("pair", ret("left_close").alias("x"), ret("right_close").alias("y"))
     return moves.groupBy("pair").agg(
         F.count("x").alias("sessions"),

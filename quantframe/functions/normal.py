@@ -9,15 +9,16 @@ from statistics import NormalDist
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 _STANDARD = NormalDist()
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_cdf(x: pd.Series) -> pd.Series:
     return x.map(lambda v: None if pd.isna(v) else _STANDARD.cdf(v))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_ppf(p: pd.Series) -> pd.Series:
     return p.map(lambda v: None if pd.isna(v) or not 0 < v < 1 else _STANDARD.inv_cdf(v))

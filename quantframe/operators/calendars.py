@@ -8,17 +8,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-# The calendar is one group by construction; the constant key keeps that explicit.
-_ONE = Window.partitionBy(F.lit(0))
+
+def _one() -> WindowSpec:
+    """The calendar is one group by construction; the constant key keeps that explicit."""
+    return Window.partitionBy(F.lit(0))
 
 
 def number_sessions(days: DataFrame) -> DataFrame:
     """Dense zero-based numbering of distinct session dates."""
     return days.select(
-        "session", (F.row_number().over(_ONE.orderBy("session")) - 1).alias("seq")
+        "session", (F.row_number().over(_one().orderBy("session")) - 1).alias("seq")
     )
 
 
@@ -53,7 +55,7 @@ def continuous_sessions(bounds: DataFrame, first: str = "first", last: str = "la
 
 def neighbours(calendar: DataFrame) -> DataFrame:
     """Each session with the sessions on either side of it."""
-    w = _ONE.orderBy("session")
+    w = _one().orderBy("session")
     return calendar.select(
         "session",
         F.lag("session").over(w).alias("previous_session"),
@@ -70,7 +72,7 @@ def is_session(days: DataFrame, calendar: DataFrame, day: str = "day") -> DataFr
 
 def month_ends(calendar: DataFrame) -> DataFrame:
     """Last session of each completed month; the newest, still open month is left out."""
-    following = F.lead("session").over(_ONE.orderBy("session"))
+    following = F.lead("session").over(_one().orderBy("session"))
     flagged = calendar.select("session", "seq", following.alias("__next"))
     return flagged.filter(F.trunc("__next", "MM") != F.trunc("session", "MM")).select(
         "session", "seq"
@@ -105,7 +107,7 @@ def weekly(calendar: DataFrame, weekday: int = 4) -> DataFrame:
     A session fires when the weekday falls in ``[session, next_session)``. The newest
     session has no known successor and fires only on the weekday itself.
     """
-    nxt = F.lead("session").over(_ONE.orderBy("session"))
+    nxt = F.lead("session").over(_one().orderBy("session"))
     wait = F.pmod(F.lit(weekday) - F.weekday("session"), F.lit(7))
     hit = F.date_add("session", wait)
     return (

@@ -253,21 +253,26 @@ def match_orders_to_trades(
     keys = list(keys)
     span = F.expr(f"interval {window}")
 
-    def mark(df: DataFrame, at: Column, rank: int, ident: str, is_order: bool) -> DataFrame:
+    def marks(df: DataFrame, ident: str, is_order: bool, *points: tuple[Column, int]) -> DataFrame:
+        """Each row at its two instants, from one read of its side."""
+        at = F.array(
+            *[
+                F.struct(when.cast("timestamp").alias("__at"), F.lit(rank).alias("__rank"))
+                for when, rank in points
+            ]
+        )
         return df.select(
             *keys,
-            at.cast("timestamp").alias("__at"),
-            F.lit(rank).alias("__rank"),
             F.lit(is_order).alias("__is_order"),
             F.col(ident).cast("string").alias("__id"),
+            F.inline(at),
         )
 
     # The rank settles equal instants: interval ends read before events, starts after them.
+    opened, traded = F.col("created_at"), F.col("ts")
     line = (
-        mark(orders, F.col("created_at") + span, 0, "order_id", True)
-        .unionByName(mark(trades, F.col("ts"), 1, "trade_id", False))
-        .unionByName(mark(orders, F.col("created_at"), 2, "order_id", True))
-        .unionByName(mark(trades, F.col("ts") - span, 3, "trade_id", False))
+        marks(orders, "order_id", True, (opened + span, 0), (opened, 2))
+        .unionByName(marks(trades, "trade_id", False, (traded, 1), (traded - span, 3)))
         .withColumn("__day", F.to_date("__at"))
     )
     rank = F.col("__rank")

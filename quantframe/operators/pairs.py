@@ -7,12 +7,14 @@ depend on that shift. A pair has one row per common session.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from quantframe.functions import div
 
-BY_PAIR = Window.partitionBy("pair").orderBy("session")
+
+def by_pair() -> WindowSpec:
+    return Window.partitionBy("pair").orderBy("session")
 
 
 def pair_panel(bars: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -46,7 +48,7 @@ def pair_signals(panel: DataFrame, lookback: int = 252) -> DataFrame:
     Everything is fitted on the ``lookback`` rows before the current one and scored on it.
     """
     half = lookback // 2
-    since_start = BY_PAIR.rowsBetween(Window.unboundedPreceding, 0)
+    since_start = by_pair().rowsBetween(Window.unboundedPreceding, 0)
 
     logs = panel.select(
         "pair",
@@ -55,8 +57,8 @@ def pair_signals(panel: DataFrame, lookback: int = 252) -> DataFrame:
         (F.log("right_close") - F.first(F.log("right_close")).over(since_start)).alias("r"),
     ).select(
         "*",
-        F.lag("l", 1, 0.0).over(BY_PAIR).alias("l1"),
-        F.lag("r", 1, 0.0).over(BY_PAIR).alias("r1"),
+        F.lag("l", 1, 0.0).over(by_pair()).alias("l1"),
+        F.lag("r", 1, 0.0).over(by_pair()).alias("r1"),
     ).select(
         "*", (F.col("l") - F.col("l1")).alias("dl"), (F.col("r") - F.col("r1")).alias("dr")
     )
@@ -72,14 +74,14 @@ def pair_signals(panel: DataFrame, lookback: int = 252) -> DataFrame:
         "pair",
         "session",
         *level,
-        F.row_number().over(BY_PAIR).alias("__n"),
+        F.row_number().over(by_pair()).alias("__n"),
         *[F.sum(expr).over(since_start).alias(f"S[{k}]") for k, expr in sums.items()],
     )
 
     def total(key: str, back: int, skip: int) -> Column:
         """Sum over the rows ``-back .. -skip`` relative to the current one."""
-        upto = F.lag(f"`S[{key}]`", skip, 0.0).over(BY_PAIR)
-        return upto - F.lag(f"`S[{key}]`", back + 1, 0.0).over(BY_PAIR)
+        upto = F.lag(f"`S[{key}]`", skip, 0.0).over(by_pair())
+        return upto - F.lag(f"`S[{key}]`", back + 1, 0.0).over(by_pair())
 
     def moment(x: str, y: str, back: int, skip: int = 1) -> Column:
         """Centred sum of products over a frame, divided by its row count."""
@@ -191,9 +193,9 @@ def exit_reason(
 
 def exit_signals(judged: DataFrame, *, entry_z: float = 2.0) -> DataFrame:
     """Exit reason on each session, counting sessions since the latest entry signal."""
-    numbered = judged.withColumn("__n", F.row_number().over(BY_PAIR))
+    numbered = judged.withColumn("__n", F.row_number().over(by_pair()))
     entered = F.when(F.col("eligible") & (F.abs("zscore") >= entry_z), F.col("__n"))
-    before = BY_PAIR.rowsBetween(Window.unboundedPreceding, -1)
+    before = by_pair().rowsBetween(Window.unboundedPreceding, -1)
     return (
         numbered.withColumn("__e", entered)
         .withColumn("held", F.col("__n") - F.last("__e", ignorenulls=True).over(before))

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-BY_SYMBOL = Window.partitionBy("symbol").orderBy("session")
 MIN_SESSIONS = 260
 JUMP = 0.25
 SEVERITIES = ("info", "warn", "error")
 
 
+def by_symbol() -> WindowSpec:
+    return Window.partitionBy("symbol").orderBy("session")
+
+
 def history_issues(dims: DataFrame, bars: DataFrame, need: int = MIN_SESSIONS) -> DataFrame:
     """Symbols without bars, and symbols with too few for a twelve-month signal."""
     counts = bars.groupBy("symbol").agg(F.count(F.lit(1)).alias("rows"))
@@ -67,7 +70,7 @@ def missing_issues(missing: DataFrame) -> DataFrame:
 
 def price_jumps(bars: DataFrame, threshold: float = JUMP) -> DataFrame:
     """Moves beyond the threshold, the largest one and the first day it happened."""
-    move = F.col("close") / F.nullif(F.lag("close").over(BY_SYMBOL), F.lit(0.0)) - 1
+    move = F.col("close") / F.nullif(F.lag("close").over(by_symbol()), F.lit(0.0)) - 1
     big = bars.select("symbol", "session", move.alias("m")).filter(F.abs("m") > threshold)
     worst = F.max(F.struct(F.abs("m").alias("k"), (-F.unix_date("session")).alias("d"), "m", "session"))
     return big.groupBy("symbol").agg(F.count(F.lit(1)).alias("moves"), worst.alias("w")).select(
@@ -83,8 +86,8 @@ def price_jumps(bars: DataFrame, threshold: float = JUMP) -> DataFrame:
 
 def flatlines(bars: DataFrame, longest: int = 5) -> DataFrame:
     """Longest run of unchanged closes, when it reaches ``longest``."""
-    same = F.col("close") == F.lag("close").over(BY_SYMBOL)
-    upto = BY_SYMBOL.rowsBetween(Window.unboundedPreceding, 0)
+    same = F.col("close") == F.lag("close").over(by_symbol())
+    upto = by_symbol().rowsBetween(Window.unboundedPreceding, 0)
     runs = (
         bars.select("symbol", "session", F.coalesce(same, F.lit(False)).alias("same"))
         .withColumn("island", F.sum((~F.col("same")).cast("int")).over(upto))

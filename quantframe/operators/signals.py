@@ -9,24 +9,28 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from quantframe.functions import div
 
 SESSIONS_PER_MONTH = 21
 SESSIONS_PER_YEAR = 252
-BY_SYMBOL = Window.partitionBy("symbol").orderBy("session")
+
+
+def by_symbol() -> WindowSpec:
+    """One symbol in session order: at most one row per calendar day."""
+    return Window.partitionBy("symbol").orderBy("session")
 
 
 def trailing(n: int, skip: int = 0):
     """Frame over the last ``n`` rows, ending ``skip`` rows before the current one."""
-    return BY_SYMBOL.rowsBetween(-(n + skip - 1), -skip)
+    return by_symbol().rowsBetween(-(n + skip - 1), -skip)
 
 
 def simple_returns(bars: DataFrame) -> DataFrame:
     """Close over previous close; the first row and non-positive bases produce nothing."""
-    prev = F.lag("close").over(BY_SYMBOL)
+    prev = F.lag("close").over(by_symbol())
     return (
         bars.select("symbol", "session", "close", prev.alias("__prev"))
         .filter("__prev > 0")
@@ -39,15 +43,15 @@ def log_returns(bars: DataFrame) -> DataFrame:
         bars.filter("close > 0")
         .select("symbol", "session", F.log("close").alias("__l"))
         .select(
-            "symbol", "session", (F.col("__l") - F.lag("__l").over(BY_SYMBOL)).alias("ret")
+            "symbol", "session", (F.col("__l") - F.lag("__l").over(by_symbol())).alias("ret")
         )
         .filter("ret is not null")
     )
 
 
 def momentum_column(months: int, skip: int = 1) -> Column:
-    end = F.lag("close", SESSIONS_PER_MONTH * skip).over(BY_SYMBOL) if skip else F.col("close")
-    start = F.lag("close", SESSIONS_PER_MONTH * (skip + months)).over(BY_SYMBOL)
+    end = F.lag("close", SESSIONS_PER_MONTH * skip).over(by_symbol()) if skip else F.col("close")
+    start = F.lag("close", SESSIONS_PER_MONTH * (skip + months)).over(by_symbol())
     return F.when(start > 0, end / start - 1)
 
 
@@ -106,7 +110,7 @@ def required_sessions(
 
 def warmup_gate(bars: DataFrame, need: int) -> DataFrame:
     return bars.select(
-        "symbol", "session", F.row_number().over(BY_SYMBOL).alias("n")
+        "symbol", "session", F.row_number().over(by_symbol()).alias("n")
     ).withColumn("ready", F.col("n") >= need)
 
 
@@ -131,9 +135,9 @@ def rolling_beta(paired: DataFrame, window: int = SESSIONS_PER_YEAR) -> DataFram
 
 def sector_score(bars: DataFrame, skip: int = 21, short: int = 126, long: int = 252) -> DataFrame:
     """Six-one plus twelve-one momentum."""
-    end = F.lag("close", skip).over(BY_SYMBOL)
-    six = div(end, F.lag("close", short).over(BY_SYMBOL)) - 1
-    twelve = div(end, F.lag("close", long).over(BY_SYMBOL)) - 1
+    end = F.lag("close", skip).over(by_symbol())
+    six = div(end, F.lag("close", short).over(by_symbol())) - 1
+    twelve = div(end, F.lag("close", long).over(by_symbol())) - 1
     return bars.select("symbol", "session", (six + twelve).alias("score"))
 
 
@@ -257,7 +261,7 @@ def annualised_unit_risk(
     bars: DataFrame, multiplier: float, *, window: int = 63, yield_contract: bool = False
 ) -> DataFrame:
     """Annualised currency volatility of one contract."""
-    prev = F.lag("close").over(BY_SYMBOL)
+    prev = F.lag("close").over(by_symbol())
     move = F.col("close") - prev if yield_contract else div("close", prev) - 1
     scale = F.lit(100.0 * multiplier) if yield_contract else F.col("close") * multiplier
     frame = trailing(window)

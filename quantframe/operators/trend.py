@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quantframe.functions import div, round_at
 from quantframe.operators.decisions import at_decisions
-from quantframe.operators.signals import BY_SYMBOL, SESSIONS_PER_YEAR, trailing
+from quantframe.operators.signals import SESSIONS_PER_YEAR, by_symbol, trailing
 from quantframe.operators.sizing import return_tails
 
 LOOKBACKS = (63, 126, 252)
@@ -34,7 +34,7 @@ def trend_features(
         "symbol",
         "session",
         "ret",
-        F.row_number().over(BY_SYMBOL).alias("n"),
+        F.row_number().over(by_symbol()).alias("n"),
         *[horizon_return(w, skip).alias(h) for w, h in zip(lookbacks, names, strict=True)],
     ).withColumn("direction", trend_vote(names))
 
@@ -50,7 +50,7 @@ def ewma_lines(at_dates: DataFrame, returns: DataFrame, span: int = 63) -> DataF
     """The last ``span`` returns per date and symbol with their decay weights."""
     tails = return_tails(
         at_dates.select("symbol", "n", F.lit(span).alias("length")),
-        returns.select("symbol", F.row_number().over(BY_SYMBOL).alias("n"), "ret"),
+        returns.select("symbol", F.row_number().over(by_symbol()).alias("n"), "ret"),
     )
     return (
         at_dates.join(tails, ["symbol", "n"])
@@ -161,5 +161,5 @@ def unavailable(
     returns: DataFrame, decisions: DataFrame, need: int = 257
 ) -> DataFrame:
     """Markets seen on a decision date without enough history to be used."""
-    numbered = returns.select("symbol", "session", F.row_number().over(BY_SYMBOL).alias("n"))
+    numbered = returns.select("symbol", "session", F.row_number().over(by_symbol()).alias("n"))
     return at_decisions(numbered, decisions).filter(F.col("n") < need)

@@ -47,7 +47,7 @@ def complete(variant: Mapping[str, Any]) -> dict[str, Any]:
 
 def signal_features(bars: DataFrame, variants: Sequence[Mapping[str, Any]]) -> DataFrame:
     """Per-symbol features for the union of all variants' windows: one shuffle, one sort."""
-    by = signals.BY_SYMBOL
+    by = signals.by_symbol()
     months = sorted({m for v in variants for m in v["lookbacks"]})
     trends = sorted({v["trend_window"] for v in variants})
     vols = sorted({v["vol_lookback"] for v in variants})
