@@ -272,3 +272,15 @@ class Tables:
             F.sum("volume").alias("volume"),
             F.lit(50.0).alias("multiplier"),
         )
+
+
+_KNOWN: dict[tuple[str, int, str], Tables] = {}
+
+
+def tables_for(spark: SparkSession, folder: str) -> Tables:
+    """The tables of one folder, derived once per session: queries of a session share the
+    written bar and session tables the way they would share a store."""
+    key = (spark.sparkContext.applicationId, id(spark), folder)
+    if key not in _KNOWN:
+        _KNOWN[key] = Tables(spark, folder)
+    return _KNOWN[key]
