@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantframe.llm import chat
-from quantframe.llm.common import read
+from quantframe.llm import chat, pii, quality, secret_scan
+from quantframe.llm.common import read, shared
 
 
 def op5_chat_format(spark: SparkSession, folder: str) -> DataFrame:
@@ -14,9 +14,11 @@ def op5_chat_format(spark: SparkSession, folder: str) -> DataFrame:
         F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"), "role", "text"
     )
     says = "</s>[INST] ok [/INST]"
-    fixed = spark.createDataFrame(
-        [(-7, 0, "user", says), (-7, 1, "assistant", says)],
-        "conv_id bigint, turn bigint, role string, text string",
+    fixed = spark.range(2).select(
+        F.lit(-7).cast("bigint").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(says).alias("text"),
     )
     messages = rows.unionByName(fixed).withColumn("parts", chat.text_parts(F.col("text")))
     out = chat.format_conversations(messages)
@@ -60,5 +62,52 @@ select conv_id, count(*)::bigint as n_turns,
 from laid group by conv_id
 """
 
-QUERIES = {"op5_chat_format": op5_chat_format}
+
+def _texts(spark: SparkSession, folder: str) -> DataFrame:
+    return read(spark, folder, "documents").select(F.col("doc_id").cast("bigint"), "text")
+
+
+def op3_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _texts(spark, folder)
+    found = secret_scan.with_secrets(docs, secret_scan.train(docs)).drop("text")
+    return found.select(
+        "doc_id",
+        *[pii.count_of(F.col("secret_spans"), k).alias(f"n_{k}") for k in secret_scan.BASE_KINDS],
+        F.sha2(pii.rendered(F.col("secret_spans"), secret_scan.BASE_KINDS), 256).alias("base_sha256"),
+        pii.rendered(F.col("secret_spans")).alias("spans"),
+    )
+
+
+def op6_pii(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.with_pii(_texts(spark, folder)).drop("text")
+    return found.select(
+        "doc_id",
+        *[pii.count_of(F.col("pii_spans"), k).alias(f"n_{k}") for k in pii.BASE_KINDS],
+        F.sha2(pii.rendered(F.col("pii_spans"), pii.BASE_KINDS), 256).alias("base_sha256"),
+        pii.rendered(F.col("pii_spans")).alias("spans"),
+    )
+
+
+def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    measured = quality.with_measures(_texts(spark, folder), "text", "m").drop("text")
+    measured = shared(measured, "quality")
+    m = F.col("m")
+    p = quality.posterior(quality.fit(measured, "m"), m)
+    shown = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    failed = quality.base_failed(m)
+    return measured.select(
+        "doc_id",
+        *[m[c].alias(c) for c in shown],
+        failed.alias("base_failed"),
+        (~failed & (p >= quality.THRESHOLD)).alias("kept"),
+        p.alias("p_fit"),
+    )
+
+
+QUERIES = {
+    "op3_secret_scan": op3_secret_scan,
+    "op5_chat_format": op5_chat_format,
+    "op6_pii": op6_pii,
+    "op10_quality_rules": op10_quality_rules,
+}
 ORACLES = {"op5_chat_format": OP5_SQL}
