@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantframe.llm import chat, pii, quality, secret_scan
+from quantframe.llm import chat, pii, quality, secret_scan, tokens
 from quantframe.llm.common import read, shared
 
 
@@ -104,10 +104,31 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def op7_token_counts(spark: SparkSession, folder: str, tokenizer: str | None = None) -> DataFrame:
+    if tokenizer is None:
+        import public_tokenizers
+
+        tokenizer = public_tokenizers.path(TOKENIZER)
+    with open(tokenizer, encoding="utf-8") as f:
+        definition = f.read()
+    counted = tokens.with_token_counts(_texts(spark, folder), definition).drop("text")
+    n = F.col("token_count")
+    return counted.select(
+        "doc_id",
+        n["n_bytes"].alias("n_bytes"),
+        n["n_tokens"].alias("n_tokens"),
+        (n["n_tokens"] > tokens.LIMIT).alias("over_limit"),
+    )
+
+
 QUERIES = {
     "op3_secret_scan": op3_secret_scan,
     "op5_chat_format": op5_chat_format,
     "op6_pii": op6_pii,
+    "op7_token_counts": op7_token_counts,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLES = {"op5_chat_format": OP5_SQL}
