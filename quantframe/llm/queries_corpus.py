@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantframe.llm import simhash
+from quantframe.llm import lm, simhash
 from quantframe.llm.common import read, shared
 
 
@@ -21,5 +21,20 @@ def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_simhash": op1_simhash}
+def op9_class_lm(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _texts(spark, folder).withColumn("held_out", lm.held_out(F.col("doc_id")))
+    model, rest = lm.train(docs, "text", ~F.col("held_out"))
+    scored = lm.with_scores(docs, model, rest)
+    return scored.select(
+        "doc_id",
+        "held_out",
+        "n_tokens",
+        "n_known",
+        F.lit(model.tokens).cast("bigint").alias("train_tokens"),
+        "base_score",
+        "score",
+    )
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op9_class_lm": op9_class_lm}
 ORACLES: dict[str, str] = {}
