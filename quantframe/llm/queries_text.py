@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantframe.llm import chat, pii, quality, secret_scan, tokens
+from quantframe.llm import chat, pieces, pii, quality, secret_scan, tokens
 from quantframe.llm.common import read, shared
 
 
@@ -124,11 +124,37 @@ def op7_token_counts(spark: SparkSession, folder: str, tokenizer: str | None = N
     )
 
 
+PIECE_MODEL, SAMPLING_SEED = "piece_bpe_32k.model", 8
+
+
+def piece_model(path: str | None = None) -> bytes:
+    """The model file's bytes, from ``path`` or from the installed public tokenizers."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path(PIECE_MODEL)
+    with open(path, "rb") as f:
+        return f.read()
+
+
+def op8_sentencepiece(spark: SparkSession, folder: str, path: str | None = None) -> DataFrame:
+    key = pieces.row_key(SAMPLING_SEED, F.col("doc_id"))
+    out = pieces.with_pieces(_texts(spark, folder), piece_model(path), key).drop("text")
+    p = F.col("pieces")
+    return out.select(
+        "doc_id",
+        F.size(p["ids"]).cast("bigint").alias("n_pieces"),
+        p["ids"].alias("piece_ids"),
+        p["lossless"].alias("lossless"),
+    )
+
+
 QUERIES = {
     "op3_secret_scan": op3_secret_scan,
     "op5_chat_format": op5_chat_format,
     "op6_pii": op6_pii,
     "op7_token_counts": op7_token_counts,
+    "op8_sentencepiece": op8_sentencepiece,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLES = {"op5_chat_format": OP5_SQL}
