@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantframe.llm import chat, pieces, pii, quality, secret_scan, tokens
+from quantframe.llm import chat, decontam, html_text, pieces, pii, quality, secret_scan, tokens
 from quantframe.llm.common import read, shared
 
 
@@ -149,8 +149,33 @@ def op8_sentencepiece(spark: SparkSession, folder: str, path: str | None = None)
     )
 
 
+def op4_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontam.with_leaks(_texts(spark, folder), read(spark, folder, "benchmark"))
+    rows = found.select("doc_id", F.explode("leaks").alias("m"))
+    return rows.select(
+        "doc_id",
+        F.col("m.item_id").alias("item_id"),
+        F.col("m.start").cast("bigint").alias("start"),
+        F.col("m.end").cast("bigint").alias("end"),
+        F.col("m.edits").cast("bigint").alias("edits"),
+    )
+
+
+def op2_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    pages = read(spark, folder, "pages").select(F.col("page_id").cast("bigint"), "url", "html")
+    held = html_text.with_main_text(pages, html_text.train(pages)).drop("html")
+    return held.select(
+        "page_id",
+        "url",
+        F.col("main_text").alias("text"),
+        F.length("main_text").cast("bigint").alias("n_chars"),
+    )
+
+
 QUERIES = {
+    "op2_html_text": op2_html_text,
     "op3_secret_scan": op3_secret_scan,
+    "op4_decontaminate": op4_decontaminate,
     "op5_chat_format": op5_chat_format,
     "op6_pii": op6_pii,
     "op7_token_counts": op7_token_counts,
