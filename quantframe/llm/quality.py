@@ -25,7 +25,7 @@ from quantframe.llm.common import free_name, shared
 
 MIN_WORDS, MAX_REPEATED, WINDOW = 10, 20, 5
 THRESHOLD = 0.5
-PRIOR_VOTES = 50.0
+PRIOR_VOTES = 20.0
 #: Votes against are cast far outside the usual range: fit texts draw one from a rule this rarely.
 FALSE_ALARM = 0.002
 
@@ -142,7 +142,7 @@ def fit_votes(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> Mo
     good = np.where(against == 0, 0.99, 0.05)
     onehot = np.stack([patterns == v for v in (1, -1)], axis=2).astype(float)
     weight = max(PRIOR_VOTES, 0.01 * total)
-    believe = {1: np.array([0.98, 0.02]), 0: np.array([0.5, 0.5])}
+    believe = {1: np.array([0.98, 0.02]), 0: np.array([0.8, 0.2])}
     for _ in range(rounds):
         chance = {}
         for y, share in ((1, good * counts), (0, (1 - good) * counts)):

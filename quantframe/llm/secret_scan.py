@@ -33,7 +33,7 @@ KINDS = (*BASE_KINDS, "random")
 RANK = {k: i for i, k in enumerate(KINDS)}
 MIN_TOKEN, MIN_NAME = 20, 8
 THRESHOLD, PER_CHAR = 12.0, 0.5
-PSEUDO = 0.5
+PSEUDO, BACKOFF = 0.5, 10.0
 
 _KEY = ("password", "passwd", "secret", "token", "api")
 _ASSIGN = re.compile(
@@ -111,9 +111,13 @@ def train(docs: DataFrame, text: str = "text") -> np.ndarray:
         .agg(F.sum("n").alias("n"))
         .collect()
     )
-    counts = np.full((2, _SIDE, _SIDE), PSEUDO)
+    counts = np.zeros((2, _SIDE, _SIDE))
     for r in rows:
         counts[r["kind"], r["pair"] // _SIDE, r["pair"] % _SIDE] += r["n"]
+    # A symbol's own share stands in where its transitions are rare.
+    share = counts.sum(axis=1) + PSEUDO
+    share /= share.sum(axis=1, keepdims=True)
+    counts += BACKOFF * share[:, None, :]
     logs = np.log(counts) - np.log(counts.sum(axis=2, keepdims=True))
     return logs[1] - logs[0]
 
