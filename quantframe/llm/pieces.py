@@ -10,9 +10,9 @@ numbers are hashes of (seed, row key, place in the text, step): the same row get
 pieces in every run and on every executor, whatever else is in its partition.
 
 No piece crosses from a character to a following space, so every path passes the node before a
-run of spaces, and between two characters that stand side by side in no piece. The lattice is cut
-there; filtering is done once for equal parts and for many new parts at once, sampling for all
-parts of many texts at once.
+run of spaces, and around line ends where no piece holds one. The lattice is cut there; filtering is
+done once for equal stretches and for many new ones at once, sampling for all stretches of
+many texts at once.
 
 Encoding does not normalise: spaces become U+2581, everything else stays, and a literal U+2581
 in the text is spelled in bytes, so :func:`decode` gives back the text exactly. Defined
@@ -36,7 +36,7 @@ SHARPNESS, BYTE_WEIGHT = 1.0, 1e-6
 MARK = "▁"
 _BASE, _BYTE_LOG = 0x9E3779B97F4A7C15, float(np.log(BYTE_WEIGHT))
 #: Characters sampled at once, and edges kept, per Python worker.
-GROUP, MOST_EDGES = 1 << 20, 3_000_000
+GROUP, MOST_EDGES = 1 << 18, 2_000_000
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -75,8 +75,6 @@ class Model:
             raise ValueError("the model has pieces across words")
         apart = "".join(c for c in "\n\t\r" if not any(c in p for p in self.piece))
         self.cut = re.compile(rf" *[^ {apart}]+| +|[{apart}]" if apart else r" *[^ ]+| +")
-        #: Neighbours inside some piece; between any others every path has a node.
-        self.joined = {p[i : i + 2] for p in self.piece for i in range(len(p) - 1)}
         self._index()
         self._clear()
 
@@ -96,33 +94,14 @@ class Model:
         self.hash_log = np.array([found[int(h)][1] for h in self.hashes])
 
     def _clear(self) -> None:
-        #: Last nodes of the parts of a stretch, and of a part.
-        self.ends: dict[str, list[int]] = {}
-        self.part_end: dict[str, int] = {}
+        #: Last node of a stretch.
+        self.ends: dict[str, int] = {}
         self.nodes = self.edges = 0
         #: Edges by the node they end in: node + cumulated share, node they start in, piece.
         self.key = np.empty(1 << 16)
         self.back = np.empty(1 << 16, dtype=np.int64)
         self.id = np.empty(1 << 16, dtype=np.int32)
 
-    def parts(self, stretch: str) -> list[str]:
-        out, at, joined = [], 0, self.joined
-        for i in range(1, len(stretch)):
-            if stretch[i - 1 : i + 1] not in joined:
-                out.append(stretch[at:i])
-                at = i
-        out.append(stretch[at:])
-        return out
-
-    def learn(self, stretches: list[str]) -> None:
-        """Compile what is new of the stretches, all at once."""
-        cut = {s: self.parts(s) for s in sorted(stretches)}
-        new = list(dict.fromkeys(p for ps in cut.values() for p in ps if p not in self.part_end))
-        if new:
-            self._filter(new)
-        for s, ps in cut.items():
-            self.ends[s] = [self.part_end[p] for p in ps]
-
     def _edges(self, codes: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, ...]:
         """(first character, last character, piece, log weight), walking all beginnings at once."""
         firsts, lasts, ids, logs = [], [], [], []
@@ -142,10 +121,10 @@ class Model:
             at, h = at[on], h[on]
         return tuple(map(np.concatenate, (firsts, lasts, ids, logs)))
 
-    def _filter(self, parts: list[str]) -> None:
-        """Forward-filter new parts side by side: node k of the batch follows its character k."""
-        sizes = np.array([len(p) for p in parts])
-        codes = np.frombuffer("".join(parts).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+    def learn(self, stretches: list[str]) -> None:
+        """Forward-filter new stretches side by side: node k of them follows character k."""
+        sizes = np.array([len(s) for s in stretches])
+        codes = np.frombuffer("".join(stretches).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
         n = len(codes)
         begin = np.repeat(np.cumsum(sizes) - sizes, sizes)
         depth = np.arange(n) - begin
@@ -194,8 +173,7 @@ class Model:
         base = self.nodes
         backs = np.where(start < 0, -1, start + base)
         self._append((base + last + cumulated)[order], backs[order], piece[order])
-        for p, end in zip(parts, (np.cumsum(sizes) - 1 + base).tolist()):
-            self.part_end[p] = end
+        self.ends.update(zip(stretches, (np.cumsum(sizes) - 1 + base).tolist()))
         self.nodes += chained
 
     def _append(self, keys: np.ndarray, backs: np.ndarray, ids: np.ndarray) -> None:
@@ -213,14 +191,11 @@ class Model:
         if self.edges > MOST_EDGES:
             self._clear()
         cut, ends = [self.cut.findall(t) for t in texts], self.ends
-        self.learn(list({s for found in cut for s in found if s not in ends}))
-        nodes: list[int] = []
-        many = []
-        for found in cut:
-            before = len(nodes)
-            for s in found:
-                nodes += ends[s]
-            many.append(len(nodes) - before)
+        new = {s for found in cut for s in found if s not in ends}
+        if new:
+            self.learn(sorted(new))
+        nodes = [ends[s] for found in cut for s in found]
+        many = [len(found) for found in cut]
         if not nodes:
             return [np.empty(0, dtype=np.int32) for _ in texts]
         many = np.array(many)
@@ -232,7 +207,7 @@ class Model:
         owners, taken, steps = [], [], []
         while len(who):
             bits = mixed(seed[who] + np.uint64(step * 0x9E3779B97F4A7C15 % (1 << 64)))
-            u = (mixed(bits) >> np.uint64(11)).astype(float) * 2.0**-53
+            u = (bits >> np.uint64(11)).astype(float) * 2.0**-53
             edge = np.searchsorted(key, at + u, side="right")
             owners.append(who)
             taken.append(self.id[edge])
