@@ -24,7 +24,7 @@ def _(t):
 
 @query(
     "D02_asof_close",
-    "execution_id:l symbol:s session:d last_close:f last_session:d",
+    "execution_id:s symbol:s session:d last_close:f last_session:d",
     """select f.execution_id, f.symbol, f.session, b.close as last_close, b.session as last_session
        from fills f asof left join bars b on b.symbol = f.symbol and f.session > b.session""",
 )
@@ -83,7 +83,7 @@ def _(t):
 
 @query(
     "D05_latest_amendment",
-    "execution_id:l price:f commission:m amended:b",
+    "execution_id:s price:f commission:m amended:b",
     f"select * from ({EFFECTIVE}) e",
 )
 def _(t):
@@ -106,7 +106,7 @@ def _(t):
 
 @query(
     "D07_known_instruments_semi",
-    "execution_id:l symbol:s",
+    "execution_id:s symbol:s",
     """select execution_id, symbol from fills f where exists (
          select 1 from instruments i where i.symbol = f.symbol and not i.trades_continuously)""",
 )
@@ -117,7 +117,7 @@ def _(t):
 
 @query(
     "D07_new_executions_anti",
-    "execution_id:l order_id:s",
+    "execution_id:s order_id:s",
     """select execution_id, order_id from fills f where not exists (
          select 1 from fills g where g.execution_id = f.execution_id and g.venue = 'F')""",
 )
@@ -133,7 +133,7 @@ CANDIDATES = """select t.execution_id as trade_id, o.order_id
 
 @query(
     "D08_interval_match",
-    "trade_id:l order_id:s candidates:l status:s",
+    "trade_id:s order_id:s candidates:l status:s",
     f"""with c as ({CANDIDATES}),
         by_t as (select trade_id, count(*) as n, max(order_id) as order_id from c group by 1),
         by_o as (select order_id, count(*) as n from c group by 1)

@@ -48,7 +48,7 @@ def _(t):
 
 @query(
     "G02_cash_ledger",
-    "portfolio:s session:d entry:l impact:m cash:m",
+    "portfolio:s session:d entry:s impact:m cash:m",
     f"""with rows_ as (
           select portfolio, session, ts, execution_id as entry, {IMPACT} as cents from fills
           union all
@@ -165,8 +165,8 @@ def calendar_days(t):
        c as (select d.day, r.annual_rate as r from days d asof join rates r on d.day >= r.date),
        m as (select d.day, r.annual_rate as r from days d asof join margin r on d.day >= r.date)
        select g.portfolio, g.session, g.until, g.cash,
-              floor(g.cash * (exp(sum(ln(1 + case when g.cash > 0 then c.r else m.r end / 365)))
-                    - 1) * 100 + 0.5e0) / 100 as interest
+              round_even(g.cash * (exp(sum(ln(1 + case when g.cash > 0 then c.r else m.r end
+                    / 365))) - 1), 2) as interest
        from gaps g join c on c.day >= g.session and c.day < g.until join m on m.day = c.day
        where g.until is not null group by 1, 2, 3, 4""",
     BOOK,
@@ -241,7 +241,7 @@ def priced_fills(t):
 
 @query(
     "G12_commission",
-    "execution_id:l commission:m",
+    "execution_id:s commission:m",
     """select execution_id, case when cents - 100 * (cents // 100) > 50
               or (cents - 100 * (cents // 100) = 50 and (cents // 100) % 2 <> 0)
            then cents // 100 + 1 else cents // 100 end / 100e0 as commission
@@ -257,7 +257,7 @@ def _(t):
 
 @query(
     "G13_half_spread",
-    "execution_id:l symbol:s half_spread_bps:f",
+    "execution_id:s symbol:s half_spread_bps:f",
     """select execution_id, symbol, coalesce(half_spread_bps, 2) as half_spread_bps
        from fills left join instruments using (symbol)""",
 )
@@ -267,7 +267,7 @@ def _(t):
 
 @query(
     "G14_impact_bps",
-    "execution_id:l impact:f",
+    "execution_id:s impact:f",
     """select execution_id, case when adv > 0 then 30 * sqrt(least(abs(quantity) / adv, 1))
               else 0 end as impact from priced""",
     COSTED,
@@ -278,7 +278,7 @@ def _(t):
 
 @query(
     "G15_fill_price_slippage",
-    "execution_id:l fill_price:f slippage_cash:f",
+    "execution_id:s fill_price:f slippage_cash:f",
     executed_sql("select * from priced", "1"),
     COSTED,
 )

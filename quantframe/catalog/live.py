@@ -84,7 +84,7 @@ def execution_feed(t):
 
 @query(
     "L03_dedupe_executions",
-    "execution_id:l copies:l verdict:s",
+    "execution_id:s copies:l verdict:s",
     """select execution_id, count(*) as copies,
          case when count(distinct price) > 1 then 'conflict' when count(*) > 1 then 'repeat'
               else 'new' end as verdict
@@ -138,7 +138,7 @@ EFFECTIVE = """select f.execution_id, f.symbol, f.quantity, coalesce(a.price, f.
 
 @query(
     "L08_effective_fills",
-    "execution_id:l symbol:s quantity:f price:f commission:m amended:b",
+    "execution_id:s symbol:s quantity:f price:f commission:m amended:b",
     EFFECTIVE,
 )
 def _(t):

@@ -94,7 +94,7 @@ def _(t):
 
 @query(
     "C07_round_to_lot",
-    "execution_id:l lots:f",
+    "execution_id:s lots:f",
     """select execution_id, sign(q) * floor(abs(q) / lot_size) * lot_size as lots
        from (select execution_id, symbol, quantity * 1.37e0 as q from fills) f
        join instruments using (symbol)""",
@@ -109,7 +109,7 @@ def _(t):
 
 @query(
     "C08_money_rounding",
-    "execution_id:l cash:m price8:f unit_cost:f",
+    "execution_id:s cash:m price8:f unit_cost:f",
     """select execution_id,
          (case when v - 100 * cast(floor(v / 100e0) as bigint) > 50
                  or (v - 100 * cast(floor(v / 100e0) as bigint) = 50
@@ -149,7 +149,7 @@ def _(t):
 
 @query(
     "C10_recent_fills",
-    "portfolio:s execution_id:l symbol:s session:d",
+    "portfolio:s execution_id:s symbol:s session:d",
     """select portfolio, execution_id, symbol, session from fills
        where session >= date '2001-01-01'
        order by session desc, execution_id desc limit 100""",

@@ -194,12 +194,12 @@ def _(t):
     """select i.symbol, b.last, coalesce(greatest(date '1995-03-01', b.last - 7),
               date '1995-03-01') as fetch_start
        from instruments i left join (
-         select symbol, max(session) as last from bars where volume > 300 group by 1) b
+         select symbol, max(session) as last from bars group by 1) b
          using (symbol)""",
 )
 def _(t):
     return ops.incremental_window(
-        t.instruments, t.bars.filter("volume > 300"), dt.date(1995, 3, 1)
+        t.instruments, t.bars, dt.date(1995, 3, 1)
     )
 
 
@@ -284,7 +284,8 @@ def statement_lines(t):
             (-F.col("commission")).cast("decimal(18,4)").cast("string"),
         ).alias("line"),
     )
-    return heads.unionByName(data)
+    width = F.lit(str(10**26)).cast("decimal(38,0)")
+    return heads.unionByName(data).withColumn("block", F.floor(F.col("pos") / width))
 
 
 @query(
@@ -338,16 +339,16 @@ def _(t):
 
 @query(
     "A15_session_gate",
-    "session:d kind:s",
-    """select s.session, 'missing session' as kind from sessions s
-       left join (select session from bars where symbol = 'S03') b using (session)
-       where b.session is null
+    "symbol:s session:d kind:s",
+    """select w.symbol, w.session, 'missing session' as kind
+       from (select i.symbol, s.session from instruments i cross join sessions s) w
+       left join bars b using (symbol, session) where b.session is null
        union all
-       select b.session, 'extra session' from bars b left join sessions s using (session)
-       where b.symbol = 'S03' and s.session is null""",
+       select b.symbol, b.session, 'extra session' from bars b left join sessions s using (session)
+       where s.session is null""",
 )
 def _(t):
-    return gates.session_violations(t.bars.filter("symbol = 'S03'"), t.sessions)
+    return gates.session_violations(t.bars, t.sessions, keys=("symbol",))
 
 
 @query(
@@ -391,7 +392,7 @@ def fill_fingerprint(t, fills):
 
 @query(
     "A17_table_fingerprint",
-    "portfolio:s rows:l fingerprint:l",
+    "portfolio:s rows:l fingerprint:s",
     f"""select portfolio, count(*) as rows,
                sum(cast('0x' || substr(sha256({HASHED}), 1, 9) as bigint)) as fingerprint
         from fills group by 1""",

@@ -21,7 +21,7 @@ def _(t):
 
 @query(
     "M02_topk_per_group",
-    "portfolio:s execution_id:l value:m",
+    "portfolio:s execution_id:s value:m",
     """select portfolio, execution_id, value from (
          select portfolio, execution_id, quantity * price as value, row_number() over
            (partition by portfolio order by quantity * price desc, execution_id) as r from fills) t
@@ -65,7 +65,7 @@ def _(t):
 
 @query(
     "M06_duplicates",
-    "symbol:s session:d first_id:l last_id:l copies:l",
+    "symbol:s session:d first_id:s last_id:s copies:l",
     """select symbol, session, min(execution_id) as first_id, max(execution_id) as last_id,
               count(*) as copies from fills group by 1, 2 having count(*) > 1""",
 )

@@ -54,7 +54,9 @@ SHARED = {
     "pair_list": """select concat('PAIR', cast(k as varchar)) as pair,
                       concat('S', lpad(cast(2 * k as varchar), 2, '0')) as left_symbol,
                       concat('S', lpad(cast(2 * k + 1 as varchar), 2, '0')) as right_symbol
-                    from range(0, 5) t(k)""",
+                    from (select distinct cast(substr(symbol, 2) as int) // 2 as k from instruments) t
+                    where concat('S', lpad(cast(2 * k as varchar), 2, '0')) in (select symbol from instruments)
+                      and concat('S', lpad(cast(2 * k + 1 as varchar), 2, '0')) in (select symbol from instruments)""",
     "pair_rows": """select p.pair, a.session, ln(a.close) as l, ln(b.close) as r
                     from pair_list p join bars a on a.symbol = p.left_symbol
                     join bars b on b.symbol = p.right_symbol and b.session = a.session""",
@@ -157,7 +159,7 @@ def week_decisions(t):
 def pair_list(t):
     """Adjacent symbols of the instrument dimension, two by two."""
     numbered = t.instruments.selectExpr("symbol", "cast(substr(symbol, 2) as int) as k")
-    left = numbered.filter("k % 2 = 0 and k < 10")
+    left = numbered.filter("k % 2 = 0")
     right = numbered.selectExpr("symbol as right_symbol", "k - 1 as k")
     return left.join(right, "k").selectExpr(
         "concat('PAIR', cast(cast(k / 2 as int) as string)) as pair",

@@ -249,14 +249,27 @@ def _(t):
                                 group by symbol))
           union all select '60-40', e.as_of, v.w from ends e cross join (values (0.6e0), (0.4e0)) v(w)
               where e.as_of >= (select max(f) from (select min(session) as f from bars
-                                where symbol in ('S01', 'S02') group by symbol)))
+                                where symbol in ('S01', 'S02') group by symbol))
+          union all select v.name, min(s.session), 1 from sessions s
+              cross join (values ('buy-and-hold'), ('spy')) v(name)
+              where s.session >= (select min(session) from bars where symbol = 'S01') group by 1
+          union all select 'balanced', as_of, weight from ({blend_sql("halves", "0.5e0")}) c)
         select strategy, count(distinct as_of) as decisions,
                sum(weight) / count(distinct as_of) as mean_gross from every group by 1""",
-    {**BASE, **TRANCHED},
+    {
+        **BASE,
+        **TRANCHED,
+        "halves": f"""select 'momentum' as sleeve, as_of, symbol, weight
+                        from ({blend_sql("t_sleeves", "0.25e0")}) m
+                      union all select 'sixty_forty', e.as_of, v.symbol, v.w from ends e
+                        cross join (values ('S01', 0.6e0), ('S02', 0.4e0)) v(symbol, w)
+                        where e.as_of >= (select max(f) from (select min(session) as f from bars
+                                          where symbol in ('S01', 'S02') group by symbol))""",
+    },
 )
 def _(t):
     out = None
-    for name in ("momentum", "momentum-single", "equal-weight", "60-40"):
+    for name in strategies.STRATEGIES:
         made = strategies.build(name, t.daily, t.sessions, t.instruments)
         row = made.groupBy(F.lit(name).alias("strategy")).agg(
             F.countDistinct("as_of").alias("decisions"),

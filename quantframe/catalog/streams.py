@@ -45,7 +45,7 @@ def _(t):
 
 @query(
     "L03_stream_executions",
-    "execution_id:l verdict:s",
+    "execution_id:s verdict:s",
     """select execution_id, case when max(conflict) = 1 then 'conflict' else 'archived' end as verdict
        from (select execution_id, case when tax = 0.02 then 1 else 0 end as conflict from fills) t
        group by 1""",
@@ -81,7 +81,7 @@ def _(t):
     return jobs.run_session_marks(fill_stream(t), scratch_folder(t.spark, "marks"))
 
 
-@query("L07_stream_interval_join", "trade_id:l order_id:s", CANDIDATES)
+@query("L07_stream_interval_join", "trade_id:s order_id:s", CANDIDATES)
 def _(t):
     orders = fill_stream(t).selectExpr(
         "concat('I', cast(execution_id as string)) as order_id",

@@ -188,9 +188,9 @@ def paired_of(t):
     "portfolio:s low:f high:f",
     f"""with d as (select s.portfolio, d.draw,
             ({draw_sql(1102026, 'd.draw', 'b.blk', 's.n')} + k.k) % s.n as i
-          from (select distinct portfolio, n from prets) s cross join range(0, 500) d(draw)
-          join range(0, 40) b(blk) on b.blk < ceil(s.n / 63e0)
-          cross join range(0, 63) k(k) where b.blk * 63 + k.k < s.n),
+          from (select distinct portfolio, n from prets) s cross join range(0, 2000) d(draw)
+          join range(0, 40) b(blk) on b.blk < ceil(s.n / 252e0)
+          cross join range(0, 252) k(k) where b.blk * 252 + k.k < s.n),
         s as (select d.portfolio, d.draw, avg(r.ex_b) / stddev_samp(r.ret_b) * sqrt(252e0)
                 - avg(r.ex_a) / stddev_samp(r.ret_a) * sqrt(252e0) as diff
               from d join prets r on r.portfolio = d.portfolio and r.i = d.i group by 1, 2)
@@ -199,7 +199,7 @@ def paired_of(t):
     PAIRED,
 )
 def _(t):
-    return bootstrap.paired_sharpe_interval(paired_of(t), ["portfolio"], block=63, draws=500)
+    return bootstrap.paired_sharpe_interval(paired_of(t), ["portfolio"], block=252, draws=2000)
 
 
 @query(
@@ -283,7 +283,7 @@ def _(t):
     "factor:s low:f high:f",
     f"""with d as (select s.factor, d.draw,
             ({draw_sql(7, 'd.draw', 'b.blk', 's.n')} + k.k) % s.n as i
-          from (select distinct factor, n from frows) s cross join range(0, 1000) d(draw)
+          from (select distinct factor, n from frows) s cross join range(0, 2000) d(draw)
           join range(0, 40) b(blk) on b.blk < ceil(s.n / 12e0)
           cross join range(0, 12) k(k) where b.blk * 12 + k.k < s.n),
         c as (select d.factor, d.draw, corr(r.core_excess, r.ret) as x
@@ -294,7 +294,7 @@ def _(t):
 )
 def _(t):
     return bootstrap.correlation_interval(
-        factor_rows_of(t), ["factor"], "core_excess", "ret", draws=1000, seed=7
+        factor_rows_of(t), ["factor"], "core_excess", "ret", draws=2000, seed=7
     )
 
 

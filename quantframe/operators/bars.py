@@ -47,7 +47,8 @@ def read_bars(
 
 
 def upsert_bars(stored: DataFrame, new: DataFrame) -> DataFrame:
-    """Merge two histories; the new row wins on ``(symbol, session)``.
+    """Merge two histories; the new row wins on ``(symbol, session)``, among equally new rows
+    the one that sorts last by its columns.
 
     One hash aggregate keyed by row identity: a hot symbol spreads over its sessions.
     """
@@ -55,8 +56,8 @@ def upsert_bars(stored: DataFrame, new: DataFrame) -> DataFrame:
     tagged = stored.withColumn("__batch", F.lit(0)).unionByName(new.withColumn("__batch", F.lit(1)))
     return (
         tagged.groupBy("symbol", "session")
-        .agg(F.max_by(F.struct(*cols), "__batch").alias("__bar"))
-        .select("symbol", "session", "__bar.*")
+        .agg(F.max(F.struct("__batch", *cols)).alias("__bar"))
+        .select("symbol", "session", *[F.col(f"__bar.{c}").alias(c) for c in cols])
     )
 
 

@@ -388,7 +388,7 @@ def interest_accrual(
             "session",
             "until",
             "cash",
-            (F.floor(F.col("cash") * earned * 100 + 0.5) / 100).alias("interest"),
+            quantize_cash(F.col("cash") * earned).alias("interest"),
         )
     )
 

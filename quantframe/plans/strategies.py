@@ -89,6 +89,7 @@ STRATEGIES: dict[str, Callable[..., DataFrame]] = {
     "momentum-single": momentum,
     "60-40": fixed({"S01": 0.6, "S02": 0.4}),
     "buy-and-hold": fixed({"S01": 1.0}, once=True),
+    "spy": fixed({"S01": 1.0}, once=True),
     "equal-weight": equal,
     "balanced": balanced,
 }
@@ -96,5 +97,5 @@ STRATEGIES: dict[str, Callable[..., DataFrame]] = {
 
 def build(name: str, bars: DataFrame, calendar: DataFrame, instruments: DataFrame, **knobs):
     if name not in STRATEGIES:
-        raise KeyError(f"unknown strategy {name!r}; known: {sorted(STRATEGIES)}")
+        raise KeyError(f"no strategy named {name!r} among {', '.join(STRATEGIES)}")
     return STRATEGIES[name](bars, calendar, instruments, **knobs)

@@ -47,7 +47,7 @@ def two_way(x: tuple[str, Sequence[Any]], y: tuple[str, Sequence[Any]]) -> list[
 def with_knobs(changes: Mapping[str, Any]) -> dict[str, Any]:
     unknown = set(changes) - set(KNOBS)
     if unknown:
-        raise KeyError(f"unknown parameter {sorted(unknown)}; known: {sorted(KNOBS)}")
+        raise KeyError(f"no such knob: {', '.join(sorted(unknown))}")
     return {"variant": " ".join(label(k, v) for k, v in changes.items()) or "base", **changes}
 
 
@@ -83,7 +83,7 @@ def cost_rate(variants: Sequence[Mapping[str, Any]], base: float = BASE_COST_RAT
     for v in variants:
         scale = float(v.get("cost_scale", 1.0))
         if scale < 0:
-            raise ValueError("cost scaling factor must not be negative")
+            raise ValueError(f"negative cost multiple {scale}")
         if scale != 1.0:
             rate = F.when(F.col("variant") == v["variant"], base * scale).otherwise(rate)
     return rate
@@ -189,5 +189,3 @@ def admission_sweep(
     curves = segment_nav(targets, bars, calendar, cost_rate=BASE_COST_RATE)
     return metrics.performance(curves, rates, ["variant"])
 
-
-DEFAULT_KNOBS = DEFAULTS

@@ -1,4 +1,4 @@
-"""Session construction and lineage cutting."""
+"""Session construction and written intermediate tables."""
 
 from __future__ import annotations
 
@@ -39,20 +39,6 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
     return holder.get() if holder.isDefined() else None
 
 
-def cut_lineage(df: DataFrame, fallback: str | None = None) -> DataFrame:
-    """Materialise ``df`` with a reliable checkpoint so a lost executor replays little.
-
-    ``fallback`` is only honoured when the session names no shared folder (tests). With
-    neither, the plan is returned unchanged: recomputation is slower but always right.
-    """
-    spark = df.sparkSession
-    folder = checkpoint_dir(spark) or fallback
-    if folder is None:
-        return df
-    spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
-
-
 def scratch_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder under the cluster's shared checkpoint folder.
 

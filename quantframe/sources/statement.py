@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from quantframe.operators.calendars import exchange_local_to_utc
 from quantframe.operators.scan import block_scan
 
-MAX_FIELDS = 24
 BLOCK_LINES = 4096
+#: One cell and the comma that ends it; quotes may hold commas and doubled quotes.
+_CELL = r'("(?:[^"]|"")*"|[^",]*),'
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -37,19 +38,33 @@ def number(value: Column | str) -> Column:
     return F.regexp_replace(v, ",", "").cast("double")
 
 
+def split_cells(line: Column) -> Column:
+    """The cells of a CSV line of any width, unquoted; empty ones are null."""
+    cells = F.regexp_extract_all(F.concat(line, F.lit(",")), F.lit(_CELL), F.lit(1))
+
+    def bare(c: Column) -> Column:
+        inner = F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))
+        return F.nullif(F.when(c.startswith('"'), inner).otherwise(c), F.lit(""))
+
+    return F.transform(cells, bare)
+
+
 def sectioned(lines: DataFrame) -> DataFrame:
     """Data rows as ``file, pos, section, values`` with ``values`` a map by field name."""
-    ddl = ", ".join(f"c{i} string" for i in range(MAX_FIELDS))
     if "block" not in lines.columns:
         lines = lines.withColumn("block", F.floor(F.col("pos") / BLOCK_LINES))
-    cells = lines.select("file", "block", "pos", F.from_csv("line", ddl).alias("c")).select(
-        "file",
-        "block",
-        "pos",
-        F.regexp_replace("c.c0", "^﻿", "").alias("section"),
-        F.col("c.c1").alias("kind"),
-        F.array(*[F.col(f"c.c{i}") for i in range(2, MAX_FIELDS)]).alias("fields"),
-    ).filter("kind in ('Header', 'Data')")
+    cells = (
+        lines.select("file", "block", "pos", split_cells(F.col("line")).alias("c"))
+        .select(
+            "file",
+            "block",
+            "pos",
+            F.regexp_replace(F.get("c", F.lit(0)), "^\ufeff", "").alias("section"),
+            F.get("c", F.lit(1)).alias("kind"),
+            F.slice("c", 3, F.greatest(F.size("c") - 2, F.lit(0))).alias("fields"),
+        )
+        .filter("kind in ('Header', 'Data')")
+    )
     named = block_scan(
         cells,
         ["file", "section"],

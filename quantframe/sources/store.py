@@ -21,10 +21,10 @@ BAR_SCHEMA = (
 JOURNAL_SCHEMAS = {
     "orders": "order_id string, portfolio string, created_at timestamp, symbol string,"
     " quantity decimal(28,8), reason string",
-    "fills": "execution_id bigint, order_id string, portfolio string, ts timestamp,"
+    "fills": "execution_id decimal(38,0), order_id string, portfolio string, ts timestamp,"
     " symbol string, quantity decimal(28,8), price decimal(28,8), commission decimal(18,2),"
     " slippage decimal(28,8)",
-    "fill_amendments": "execution_id bigint, version int, ts timestamp, price decimal(28,8),"
+    "fill_amendments": "execution_id decimal(38,0), version int, ts timestamp, price decimal(28,8),"
     " commission decimal(18,2), slippage decimal(28,8), source_sha256 string, source_row int",
     "statement_recoveries": "source_sha256 string, confirmation_sha256 string,"
     " created_at timestamp, audit string",

@@ -17,7 +17,13 @@ from quantframe.session import shared
 SYMBOLS = 12
 PORTFOLIOS = 8
 
-ROW_KEY = "l_orderkey * 1000000000000 + l_partkey * 1000000 + l_suppkey * 10 + l_linenumber"
+#: A row's place among all rows, and its id: order, part, supplier and line number side by side
+#: in 38 digits, with room for 10^15 orders and 10^11 parts and suppliers.
+ROW_KEY = (
+    "cast(cast(l_orderkey as decimal(38,0)) * 100000000000000000000000BD"
+    " + cast(l_partkey as decimal(38,0)) * 1000000000000BD"
+    " + cast(l_suppkey as decimal(38,0)) * 10BD + l_linenumber as decimal(38,0))"
+)
 RAW_PRICE = "95 + (l_extendedprice / l_quantity) / 400"
 SYMBOL = f"concat('S', lpad(cast(l_suppkey % {SYMBOLS} as string), 2, '0'))"
 
@@ -156,7 +162,6 @@ class Tables:
 
         daily = (
             self.raw("orders")
-            .filter("o_orderdate < timestamp_ntz'2001-01-01 00:00:00'")
             .selectExpr(
                 f"concat('P', cast(o_custkey % {PORTFOLIOS} as string)) as portfolio",
                 "cast(o_orderdate as date) as session",

@@ -85,7 +85,7 @@ def run_collapse(fills: DataFrame, folder: str) -> DataFrame:
 
 
 EXECUTION_SCHEMA = (
-    "execution_id bigint, order_id string, symbol string, ts timestamp, quantity double,"
+    "execution_id decimal(38,0), order_id string, symbol string, ts timestamp, quantity double,"
     " price double, commission double"
 )
 PAYLOAD = ("order_id", "symbol", "ts", "quantity", "price", "commission")
@@ -101,12 +101,12 @@ def run_ingest(executions: DataFrame, folder: str) -> tuple[DataFrame, DataFrame
     spark = executions.sparkSession
     archive = VersionedTable(spark, f"{folder}/archive", EXECUTION_SCHEMA)
     conflicts = VersionedTable(
-        spark, f"{folder}/conflicts", "execution_id bigint, copies bigint, verdict string"
+        spark, f"{folder}/conflicts", "execution_id decimal(38,0), copies bigint, verdict string"
     )
     columns = ["execution_id", *PAYLOAD]
 
     def ingest(batch: DataFrame, batch_id: int) -> None:
-        arrived = batch.select(*columns)
+        arrived = batch.select(F.col("execution_id").cast("decimal(38,0)"), *PAYLOAD)
         known = archive.versions(before=batch_id).select(*columns)
         touched = known.join(arrived.select("execution_id"), "execution_id", "left_semi")
         verdicts = live.execution_verdicts(arrived.unionByName(touched), PAYLOAD)
@@ -155,7 +155,7 @@ def advance_positions(state: DataFrame, fills: DataFrame) -> DataFrame:
         "symbol",
         start.cast("date").alias("session"),
         start.cast("timestamp").alias("ts"),
-        F.lit(-1).cast("bigint").alias("execution_id"),
+        F.lit(-1).cast("decimal(38,0)").alias("execution_id"),
         "quantity",
         F.col("avg_cost").alias("price"),
         F.lit(0.0).alias("commission"),

@@ -524,3 +524,65 @@ def test_bar_reasons_ignore_float_noise(spark):
     )
     good, bad = bar_ops.validate_bar_rows(df)
     assert [r.symbol for r in good.collect()] == ["a"] and bad.count() == 2
+
+
+# --- keys and widths at scale -----------------------------------------------------------------
+
+
+def test_row_keys_stay_ordered_and_distinct_for_large_tables(spark):
+    from quantframe.sources.testdata import ROW_KEY
+
+    rows = [(10**9, 7, 5, 1), (10**9, 7, 5, 2), (10**9, 8, 1, 1), (10**14, 10**10, 10**10, 7), (1, 10**10, 1, 1)]
+    lines = spark.createDataFrame(
+        rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int"
+    ).selectExpr("*", f"{ROW_KEY} as k")
+    ordered = [tuple(r)[:4] for r in lines.orderBy("k").collect()]
+    assert ordered == sorted(rows)
+    assert lines.select("k").distinct().count() == len(rows)
+
+
+def test_fingerprint_sums_beyond_bigint(spark):
+    from quantframe.sources.gates import fingerprint
+
+    one = fingerprint(spark.createDataFrame([("a", 1)], "g string, x int"), [F.col("x").cast("string")], ["g"])
+    assert dict(one.dtypes)["fingerprint"].startswith("decimal(38")
+
+
+def test_statement_rows_of_any_width(spark):
+    from quantframe.sources.statement import sectioned
+
+    names = [f"N{i}" for i in range(60)]
+    lines = [
+        ("f", 0, "Trades,Header," + ",".join(names)),
+        ("f", 1, "Trades,Data," + ",".join(f'"v, ""{i}"""' if i % 2 else str(i) for i in range(60))),
+        ("f", 2, "Trades,Data," + "," * 58 + "last"),
+    ]
+    out = sectioned(spark.createDataFrame(lines, "file string, pos long, line string")).orderBy("pos").collect()
+    assert out[0]["values"]["N59"] == 'v, "59"' and out[0]["values"]["N58"] == "58"
+    assert out[1]["values"] == {"N58": "last"}
+
+
+def test_upsert_ties_do_not_depend_on_order(spark):
+    from quantframe.operators.bars import upsert_bars
+
+    schema = "symbol string, session date, open double, close double"
+    import datetime as dt
+
+    day = dt.date(2020, 1, 2)
+    old = spark.createDataFrame([("S", day, 9.0, 9.0)], schema)
+    new = [("S", day, 1.0, 2.0), ("S", day, 1.0, 3.0)]
+    for rows in (new, new[::-1]):
+        got = upsert_bars(old, spark.createDataFrame(rows, schema)).collect()
+        assert [tuple(r) for r in got] == [("S", day, 1.0, 3.0)]
+
+
+def test_session_gate_by_key(spark):
+    from quantframe.sources.gates import session_violations
+
+    bars = spark.createDataFrame(
+        [("A", 1, 1.0, 1.0), ("A", 2, 1.0, 1.0), ("B", 1, 1.0, None), ("B", 9, 1.0, 1.0)],
+        "symbol string, session int, open double, close double",
+    )
+    days = spark.createDataFrame([(1,), (2,)], "session int")
+    got = {tuple(r) for r in session_violations(bars, days, keys=("symbol",)).collect()}
+    assert got == {("B", 2, "missing session"), ("B", 9, "extra session"), ("B", 1, "missing price")}
