@@ -37,48 +37,50 @@ def file_stream(
 # ---------------------------------------------------------------- collapse
 
 
-INTENTION_SCHEMA = (
+PART_SCHEMA = (
     "portfolio string, session date, symbol string, buying boolean, quantity double,"
-    " price double, commission double, pieces bigint"
+    " size double, value double, commission double, pieces bigint"
 )
+INTENTION = ("portfolio", "session", "symbol", "buying")
 
 
-def collapse_stream(fills: DataFrame) -> DataFrame:
-    """One intention per day, symbol and direction: a one-day tumbling window."""
+def collapse_parts(fills: DataFrame) -> DataFrame:
+    """Sums of one micro-batch per day, symbol and direction; parts of a day add up."""
     size = F.abs("quantity")
     return (
         fills.withColumn("buying", F.col("quantity") > 0)
-        .withWatermark("ts", WATERMARK)
-        .groupBy(F.window("ts", "1 day"), "portfolio", "symbol", "buying")
+        .groupBy("portfolio", F.to_date("ts").alias("session"), "symbol", "buying")
         .agg(
             F.sum("quantity").alias("quantity"),
-            (F.sum(size * F.col("price")) / F.sum(size)).alias("price"),
+            F.sum(size).alias("size"),
+            F.sum(size * F.col("price")).alias("value"),
             F.sum("commission").alias("commission"),
             F.count(F.lit(1)).alias("pieces"),
         )
-        .select(
-            "portfolio",
-            F.to_date("window.start").alias("session"),
-            "symbol",
-            "buying",
-            "quantity",
-            "price",
-            "commission",
-            "pieces",
-        )
     )
 
 
 def run_collapse(fills: DataFrame, folder: str) -> DataFrame:
-    """Keep the newest value of every window, open ones included."""
-    table = VersionedTable(fills.sparkSession, f"{folder}/intentions", INTENTION_SCHEMA)
-    writer = (
-        collapse_stream(fills)
-        .writeStream.outputMode("update")
-        .foreachBatch(lambda df, batch: table.write(df, batch))
+    """One intention per day, symbol and direction, whenever its fills arrive.
+
+    The stored parts are the state, so no watermark closes a day: a fill that comes weeks late
+    adds its part like any other, and the result does not depend on where batches are cut.
+    """
+    table = VersionedTable(fills.sparkSession, f"{folder}/intentions", PART_SCHEMA)
+    writer = fills.writeStream.foreachBatch(
+        lambda df, batch: table.write(collapse_parts(df), batch)
     )
     run_available(writer, f"{folder}/checkpoint")
-    return table.view(["portfolio", "session", "symbol", "buying"])
+    summed = table.versions().groupBy(*INTENTION).agg(
+        *[F.sum(c).alias(c) for c in ("quantity", "size", "value", "commission", "pieces")]
+    )
+    return summed.select(
+        *INTENTION,
+        "quantity",
+        (F.col("value") / F.col("size")).alias("price"),
+        "commission",
+        "pieces",
+    )
 
 
 # ---------------------------------------------------------------- executions

@@ -103,3 +103,20 @@ def test_streak_state_crosses_batches(spark, tmp_path):
     drop(range(2, 8))
     got = [r.event for r in run().orderBy("event_id").collect()]
     assert got == ["ok", "ok", "alert", "ok", "recovered", "ok", "ok", "alert"]
+
+
+@pytest.mark.parametrize("cuts", [(12, 24), (5, 9, 24)])
+def test_collapse_counts_late_fills_at_any_cut(spark, feed, rows, cuts):
+    drop, stream, out = feed
+    late, rest = range(0, 3), range(3, 24)
+    start = 3
+    for end in cuts:
+        drop(fills(spark, range(start, end)))
+        start = end
+    drop(fills(spark, range(200, 210)))
+    jobs.run_collapse(stream(), out)
+    drop(fills(spark, late))
+    got = jobs.run_collapse(stream(), out)
+    want = live.collapse_fills(fills(spark, [*late, *rest, *range(200, 210)]), ["portfolio"])
+    columns = ["portfolio", "session", "symbol", "quantity", "price", "commission"]
+    assert rows(got, *columns) == rows(want, *columns)
