@@ -17,22 +17,19 @@ from quantframe.plans.momentum import complete, dual_momentum
 from quantframe.plans.nav import segment_nav
 from quantframe.sources.gates import factor_panel
 
-VARIANTS = [
-    sweep.with_knobs({}),
-    *sweep.one_at_a_time(
-        {
-            "top_n": (3, 8),
-            "trend_window": (150, 250),
-            "target_vol": (0.06, 0.15),
-            "vol_lookback": (20, 90),
-            "lookbacks": ((12,), (1, 3, 6, 12)),
-            "cost_scale": (0.0, 3.0, 5.0),
-        }
-    ),
-]
-GRID_X = ("top_n", (3, 5))
-GRID_Y = ("trend_window", (100, 200))
+VARIANTS = sweep.battery()
+AXES = {
+    v["variant"]: v
+    for v in [
+        sweep.with_knobs({}),
+        *sweep.one_at_a_time(sweep.SENSITIVITY_AXES),
+        *sweep.one_at_a_time({"cost_scale": sweep.COST_SCALES}),
+    ]
+}
+AXES = list(AXES.values())
+GRID_X, GRID_Y = sweep.GRID_AXES
 GRID = sweep.two_way(GRID_X, GRID_Y)
+TOP_NS = GRID_X[1]
 
 
 def sweep_sql_ctes(p: str, variants, dates="select as_of from ends") -> dict[str, str]:
@@ -449,20 +446,22 @@ def _(t):
     "knob:s value:s sharpe:f cagr:f max_drawdown:f",
     f"""select split_part(variant, '=', 1) as knob, split_part(variant, '=', 2) as value, sharpe,
                cagr, max_drawdown from ({sweep_perf("w")}) p where variant <> 'base'""",
-    sweep_sql_ctes("w", VARIANTS),
+    sweep_sql_ctes("w", AXES),
 )
 def _(t):
     return sweep.sensitivity_table(
-        sweep.run_sweep(t.daily, t.sessions, t.instruments, VARIANTS)
+        sweep.run_sweep(t.daily, t.sessions, t.instruments, AXES)
     )
 
 
 @query(
     "I13_grid_table",
-    "trend_window:s top_n_3:f top_n_5:f",
-    f"""select regexp_extract(variant, 'trend_window=([0-9]+)', 1) as trend_window,
-          max(case when variant like '%top_n=3' then sharpe end) as top_n_3,
-          max(case when variant like '%top_n=5' then sharpe end) as top_n_5
+    "trend_window:s " + " ".join(f"top_n_{n}:f" for n in TOP_NS),
+    "select regexp_extract(variant, 'trend_window=([0-9]+)', 1) as trend_window, "
+    + ", ".join(
+        f"max(case when variant like '%top_n={n}' then sharpe end) as top_n_{n}" for n in TOP_NS
+    )
+    + f"""
         from ({sweep_perf("g")}) p group by 1""",
     sweep_sql_ctes("g", GRID),
 )
