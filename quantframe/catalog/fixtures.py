@@ -49,10 +49,12 @@ select concat('I', cast(execution_id as varchar)) as order_id, portfolio, symbol
             else ts - interval 5 day end as created_at
 from fills""",
     "amendments": """
-select execution_id, 1 as version, price + 0.01 as price, commission
+select execution_id, 1 as version, ts, price + 0.01 as price, commission,
+       slippage + 0.5e0 as slippage, 'first import' as import_id
 from fills where tax >= 0.08
 union all
-select execution_id, 2, price + 0.02, null from fills where tax >= 0.08""",
+select execution_id, 2, ts + interval 1 hour, price + 0.02, null, null, 'second import'
+from fills where tax >= 0.08""",
     "nav": """
 select portfolio, session,
        floor(100000 * exp(sum(ln(1 + r)) over (partition by portfolio order by session))

@@ -83,7 +83,7 @@ def _(t):
 
 @query(
     "D05_latest_amendment",
-    "execution_id:s price:f commission:m amended:b",
+    "execution_id:s ts:t price:f commission:m slippage:m import_id:s amended:b",
     f"select * from ({EFFECTIVE}) e",
 )
 def _(t):

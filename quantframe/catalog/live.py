@@ -75,7 +75,8 @@ def _(t):
 def execution_feed(t):
     """The fill feed with repeats: rows at the zero tax band arrive twice, those at the two
     percent band arrive again with another price."""
-    cols = ["execution_id", "order_id", "symbol", "ts", "quantity", "price", "commission", "tax"]
+    cols = ["execution_id", "order_id", "symbol", "ts", "quantity", "price", "commission"]
+    cols += ["slippage", "tax"]
     base = t.fills.select(*cols)
     again = base.filter("tax = 0.0")
     changed = base.filter("tax = 0.02").withColumn("price", F.col("price") + 0.5)
@@ -95,7 +96,8 @@ def execution_feed(t):
 )
 def _(t):
     return live.execution_verdicts(
-        execution_feed(t), ["order_id", "symbol", "ts", "quantity", "price", "commission"]
+        execution_feed(t),
+        ["order_id", "symbol", "ts", "quantity", "price", "commission", "slippage"],
     )
 
 
@@ -129,16 +131,18 @@ def _(t):
     return live.order_completion(orders, t.fills.filter("venue = 'F'"))
 
 
-EFFECTIVE = """select f.execution_id, f.symbol, f.quantity, coalesce(a.price, f.price) as price,
-                 coalesce(a.commission, f.commission) as commission, a.execution_id is not null
-                   as amended
+EFFECTIVE = """select f.execution_id, f.symbol, coalesce(a.ts, f.ts) as ts, f.quantity,
+                 coalesce(a.price, f.price) as price,
+                 coalesce(a.commission, f.commission) as commission,
+                 coalesce(a.slippage, f.slippage) as slippage, a.import_id,
+                 a.execution_id is not null as amended
                from fills f left join (select * from amendments where version = 2) a
                  on a.execution_id = f.execution_id"""
 
 
 @query(
     "L08_effective_fills",
-    "execution_id:s symbol:s quantity:f price:f commission:m amended:b",
+    "execution_id:s symbol:s ts:t quantity:f price:f commission:m slippage:m import_id:s amended:b",
     EFFECTIVE,
 )
 def _(t):

@@ -26,6 +26,7 @@ def fill_stream(t):
         "case when l_returnflag = 'R' then -l_quantity else l_quantity end as quantity",
         f"floor(({RAW_PRICE}) * 10000 + 0.5D) / 10000 as price",
         "greatest(0.35D, floor(0.35D * l_quantity + 0.5D) / 100) as commission",
+        "floor(l_quantity * 100 * l_tax + 0.5D) / 100 as slippage",
         "concat('O', cast(l_orderkey as string)) as order_id",
         f"{ROW_KEY} as execution_id",
         "l_tax as tax",
@@ -57,7 +58,7 @@ def _(t):
     both = feed.unionByName(changed.drop("tax")).unionByName(again.drop("tax"))
     archived, conflicts = jobs.run_ingest(both, scratch_folder(t.spark, "ingest"))
     return archived.select("execution_id", F.lit("archived").alias("verdict")).unionByName(
-        conflicts.select("execution_id", "verdict")
+        conflicts.select("execution_id", "verdict").distinct()
     )
 
 

@@ -176,16 +176,22 @@ def order_completion(orders: DataFrame, executions: DataFrame) -> DataFrame:
 
 
 def effective_fills(fills: DataFrame, amendments: DataFrame) -> DataFrame:
-    """Fills with their newest amendment laid over them, column by column."""
+    """Fills with their newest amendment laid over them, column by column.
+
+    Whatever the amendment leaves null stays as filled. Columns of the amendment that a fill has
+    not, such as the import it came from, are added.
+    """
+    corrected = [c for c in amendments.columns if c not in ("execution_id", "version")]
     latest = amendments.groupBy("execution_id").agg(
-        F.max_by(F.struct("price", "commission"), "version").alias("__a")
+        F.max_by(F.struct(*corrected), "version").alias("__a")
     )
+    laid = [
+        F.coalesce(F.col(f"__a.{c}"), F.col(c)).alias(c) if c in corrected else F.col(c)
+        for c in fills.columns
+    ]
+    added = [F.col(f"__a.{c}").alias(c) for c in corrected if c not in fills.columns]
     return fills.join(latest, "execution_id", "left").select(
-        "execution_id",
-        *[c for c in fills.columns if c not in ("execution_id", "price", "commission")],
-        F.coalesce("__a.price", "price").alias("price"),
-        F.coalesce("__a.commission", "commission").alias("commission"),
-        F.col("__a").isNotNull().alias("amended"),
+        *laid, *added, F.col("__a").isNotNull().alias("amended")
     )
 
 

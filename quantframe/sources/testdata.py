@@ -133,21 +133,28 @@ class Tables:
 
     @cached_property
     def amendments(self) -> DataFrame:
-        """Two successive corrections for every fill at the top tax band."""
-        hit = self.fills.filter("tax >= 0.08").select("execution_id", "price", "commission")
+        """Two successive corrections for every fill at the top tax band; the second leaves
+        the commission and the slippage as they were."""
+        hit = self.fills.filter("tax >= 0.08")
         return hit.select(
             "execution_id",
             F.explode(
                 F.array(
                     F.struct(
                         F.lit(1).alias("version"),
+                        F.col("ts").alias("ts"),
                         (F.col("price") + 0.01).alias("price"),
                         F.col("commission").alias("commission"),
+                        (F.col("slippage") + 0.5).alias("slippage"),
+                        F.lit("first import").alias("import_id"),
                     ),
                     F.struct(
                         F.lit(2).alias("version"),
+                        F.expr("ts + interval 1 hour").alias("ts"),
                         (F.col("price") + 0.02).alias("price"),
                         F.lit(None).cast("double").alias("commission"),
+                        F.lit(None).cast("double").alias("slippage"),
+                        F.lit("second import").alias("import_id"),
                     ),
                 )
             ).alias("a"),

@@ -88,41 +88,36 @@ def run_collapse(fills: DataFrame, folder: str) -> DataFrame:
 
 EXECUTION_SCHEMA = (
     "execution_id decimal(38,0), order_id string, symbol string, ts timestamp, quantity double,"
-    " price double, commission double"
+    " price double, commission double, slippage double"
 )
-PAYLOAD = ("order_id", "symbol", "ts", "quantity", "price", "commission")
+PAYLOAD = ("order_id", "symbol", "ts", "quantity", "price", "commission", "slippage")
 
 
 def run_ingest(executions: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Archive executions once; report ids that came back with another payload.
+    """(executions archived once, every payload of the ids that came with more than one).
 
-    A repeat with the same payload changes nothing. A conflicting one is never archived over
-    the first: it goes to a side table for a person to settle. The archive is the state, so
-    ids are remembered beyond any watermark.
+    A repeat with the same payload changes nothing. An id with two payloads leaves the archive
+    and all its payloads stand in the second table, for a person to settle. Both follow from
+    the set of rows that ever came: the archive keeps each distinct payload once and is the
+    state, so nothing depends on where batches are cut or how late a row comes.
     """
-    spark = executions.sparkSession
-    archive = VersionedTable(spark, f"{folder}/archive", EXECUTION_SCHEMA)
-    conflicts = VersionedTable(
-        spark, f"{folder}/conflicts", "execution_id decimal(38,0), copies bigint, verdict string"
-    )
+    archive = VersionedTable(executions.sparkSession, f"{folder}/archive", EXECUTION_SCHEMA)
     columns = ["execution_id", *PAYLOAD]
+    same = F.expr(" and ".join(f"a.{c} <=> k.{c}" for c in columns))
 
     def ingest(batch: DataFrame, batch_id: int) -> None:
-        arrived = batch.select(F.col("execution_id").cast("decimal(38,0)"), *PAYLOAD)
+        arrived = batch.select(F.col("execution_id").cast("decimal(38,0)"), *PAYLOAD).distinct()
         known = archive.versions(before=batch_id).select(*columns)
-        touched = known.join(arrived.select("execution_id"), "execution_id", "left_semi")
-        verdicts = live.execution_verdicts(arrived.unionByName(touched), PAYLOAD)
-        bad = verdicts.filter("verdict = 'conflict'")
-        fresh = (
-            arrived.join(bad.select("execution_id"), "execution_id", "left_anti")
-            .join(known.select("execution_id"), "execution_id", "left_anti")
-            .dropDuplicates(["execution_id"])
-        )
-        conflicts.write(bad, batch_id)
-        archive.write(fresh, batch_id)
+        archive.write(arrived.alias("a").join(known.alias("k"), same, "left_anti"), batch_id)
 
     run_available(executions.writeStream.foreachBatch(ingest), f"{folder}/checkpoint")
-    return archive.versions().drop("batch"), conflicts.view(["execution_id"])
+    kept = archive.versions().select(*columns)
+    payloads = kept.groupBy("execution_id").agg(F.count(F.lit(1)).alias("payloads"))
+    disputed = payloads.filter("payloads > 1")
+    return (
+        kept.join(disputed, "execution_id", "left_anti"),
+        kept.join(disputed, "execution_id").withColumn("verdict", F.lit("conflict")),
+    )
 
 
 def dedupe_stream(executions: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from quantframe.streaming import jobs
 
 SCHEMA = (
     "portfolio string, symbol string, ts timestamp, session date, quantity double, price double,"
-    " commission double, order_id string, execution_id bigint"
+    " commission double, slippage double, order_id string, execution_id bigint"
 )
 
 
@@ -19,7 +19,7 @@ def fills(spark, ids, *, price=0.0):
     for i in ids:
         ts = dt.datetime(2020, 1, 1) + dt.timedelta(hours=7 * i)
         q = float((i % 5 + 1) * (-1 if i % 3 == 0 else 1))
-        rows.append((f"p{i % 2}", "ab"[i % 2], ts, ts.date(), q, 50.0 + i % 11 + price, 0.5, f"o{i}", i))
+        rows.append((f"p{i % 2}", "ab"[i % 2], ts, ts.date(), q, 50.0 + i % 11 + price, 0.5, 0.1, f"o{i}", i))
     return spark.createDataFrame(rows, SCHEMA)
 
 
@@ -63,16 +63,21 @@ def test_a_late_fill_re_marks_its_session(spark, feed, rows):
     assert rows(got, *cols) == rows(want, *cols)
 
 
-def test_repeats_are_ignored_and_conflicts_set_aside(spark, feed):
+@pytest.mark.parametrize("cut", [True, False])
+def test_repeats_are_ignored_and_conflicts_set_aside(spark, feed, cut):
     drop, stream, out = feed
-    drop(fills(spark, range(10)))
-    jobs.run_ingest(stream(), out)
-    drop(fills(spark, [3, 4]))
-    drop(fills(spark, [5], price=1.0))
+    parts = [fills(spark, range(10)), fills(spark, [3, 4]), fills(spark, [5], price=1.0)]
+    if cut:
+        drop(parts[0])
+        jobs.run_ingest(stream(), out)
+        drop(parts[1])
+        drop(parts[2])
+    else:
+        drop(parts[0].union(parts[1]).union(parts[2]))
     archived, conflicts = jobs.run_ingest(stream(), out)
-    assert archived.count() == 10
-    assert [r.execution_id for r in conflicts.collect()] == [5]
-    assert archived.filter("execution_id = 5").first().price == 55.0
+    assert sorted(int(r.execution_id) for r in archived.collect()) == [0, 1, 2, 3, 4, 6, 7, 8, 9]
+    got = sorted((int(r.execution_id), r.price, r.slippage) for r in conflicts.collect())
+    assert got == [(5, 55.0, 0.1), (5, 56.0, 0.1)]
 
 
 def test_collapse_over_files_equals_the_batch(spark, feed, rows):
