@@ -10,6 +10,7 @@ from quantframe.catalog.momentum_sql import momentum_ctes
 from quantframe.catalog.registry import query
 from quantframe.catalog.signals import SHARED
 from quantframe.catalog.sizing import OFFSETS
+from quantframe.functions.normal import normal_cdf_sql, normal_ppf_sql
 from quantframe.operators import bootstrap, metrics, screens
 from quantframe.operators import calendars as cal
 from quantframe.plans import sweep
@@ -312,23 +313,39 @@ def _(t):
     return screens.crisis_windows(factor_rows_of(t), WINDOWS)
 
 
+TRIALS = (1 + len(VARIANTS), 100, 1000)
+MOMENTS = """select portfolio, count(*) as observations, any_value(mu) / any_value(sd) as per_session,
+         avg(power((ret - mu) / sd, 3)) as skew, avg(power((ret - mu) / sd, 4)) as kurtosis
+       from (select portfolio, ret, avg(ret) over (partition by portfolio) as mu,
+               stddev_samp(ret) over (partition by portfolio) as sd
+             from curve where ret is not null) t group by 1"""
+
+
 @query(
     "I07_deflated_sharpe",
     "portfolio:s trials:l observed:f expected_maximum:f probability:f",
+    f"""with m as ({MOMENTS}),
+       t as (select *, 1e0 - 1e0 / trials as p, 1e0 - 1e0 / (trials * exp(1e0)) as q
+             from m cross join (values {", ".join(f"({n})" for n in TRIALS)}) v(trials)
+             where observations >= 3),
+       e as (select *, 0.02e0 * ((1 - {screens.EULER_GAMMA}e0) * {normal_ppf_sql("p")}
+               + {screens.EULER_GAMMA}e0 * {normal_ppf_sql("q")}) as best,
+               1 - skew * per_session + (kurtosis - 1) / 4 * per_session * per_session as var from t),
+       z as (select *, case when var > 0 then (per_session - best) * sqrt(observations - 1)
+               / sqrt(var) end as z from e)
+       select portfolio, trials, per_session * sqrt(252e0) as observed,
+         best * sqrt(252e0) as expected_maximum, {normal_cdf_sql("z")} as probability from z""",
+    CURVE,
 )
 def _(t):
     shape = screens.moments(metrics.returns(t.nav), ["portfolio"])
-    return screens.deflated_sharpe(shape, (1 + len(VARIANTS), 100, 1000), F.lit(0.02))
+    return screens.deflated_sharpe(shape, TRIALS, F.lit(0.02))
 
 
 @query(
     "I07_return_moments",
     "portfolio:s observations:l per_session:f skew:f kurtosis:f",
-    """select portfolio, count(*) as observations, any_value(mu) / any_value(sd) as per_session,
-         avg(power((ret - mu) / sd, 3)) as skew, avg(power((ret - mu) / sd, 4)) as kurtosis
-       from (select portfolio, ret, avg(ret) over (partition by portfolio) as mu,
-               stddev_samp(ret) over (partition by portfolio) as sd
-             from curve where ret is not null) t group by 1""",
+    MOMENTS,
     CURVE,
 )
 def _(t):

@@ -33,18 +33,19 @@ def deflated_sharpe(
     """Probability that a Sharpe ratio beats the best of ``trials`` skill-free ones.
 
     ``shape`` comes from ``moments``. ``spread`` is the deviation of per-session Sharpe across
-    trials; half the observed ratio stands in when it is not given. The distribution
-    functions run on one row per curve and trial count.
+    trials; half the observed ratio stands in when it is not given.
     """
     if any(t < 1 for t in trials):
         raise ValueError(f"trial counts start at 1, got {min(trials)}")
-    rows = literal_grid(shape, [{"trials": int(t)} for t in trials], "trials int").filter(
-        "observations >= 3"
+    rows = (
+        literal_grid(shape, [{"trials": int(t)} for t in trials], "trials int")
+        .filter("observations >= 3")
+        .withColumn("__p", 1 - 1 / F.col("trials").cast("double"))
+        .withColumn("__q", 1 - 1 / (F.col("trials").cast("double") * math.e))
     )
     width = spread if spread is not None else F.col("per_session") / 2
-    n = F.col("trials").cast("double")
     best = width * (
-        (1 - EULER_GAMMA) * normal_ppf(1 - 1 / n) + EULER_GAMMA * normal_ppf(1 - 1 / (n * math.e))
+        (1 - EULER_GAMMA) * normal_ppf("__p") + EULER_GAMMA * normal_ppf("__q")
     )
     s = F.col("per_session")
     variance = 1 - F.col("skew") * s + (F.col("kurtosis") - 1) / 4 * s * s
@@ -63,7 +64,7 @@ def deflated_sharpe(
         .withColumn("probability", normal_cdf("__z"))
         .withColumn("observed", s * ROOT)
         .withColumn("expected_maximum", F.col("expected_maximum") * ROOT)
-        .drop("__var", "__z")
+        .drop("__var", "__z", "__p", "__q")
     )
 
 

@@ -586,3 +586,18 @@ def test_session_gate_by_key(spark):
     days = spark.createDataFrame([(1,), (2,)], "session int")
     got = {tuple(r) for r in session_violations(bars, days, keys=("symbol",)).collect()}
     assert got == {("B", 2, "missing session"), ("B", 9, "extra session"), ("B", 1, "missing price")}
+
+
+def test_normal_functions_match_the_standard_library(spark):
+    from statistics import NormalDist
+
+    from quantframe.functions.normal import normal_cdf, normal_ppf
+
+    xs = [-40.0, -8.5, -7.2, -3.0, -1e-9, 0.0, 0.3, 2.0, 7.0, 7.5, 40.0]
+    ps = [1e-300, 1e-20, 1e-9, 0.01, 0.074, 0.3, 0.5, 0.926, 0.99, 1 - 1e-12]
+    out = spark.createDataFrame([(x,) for x in xs], "x double").select("x", normal_cdf("x").alias("y")).collect()
+    assert all(r["y"] == pytest.approx(NormalDist().cdf(r["x"]), rel=1e-9, abs=1e-14) for r in out)
+    out = spark.createDataFrame([(p,) for p in ps], "p double").select("p", normal_ppf("p").alias("y")).collect()
+    assert all(r["y"] == pytest.approx(NormalDist().inv_cdf(r["p"]), rel=1e-12) for r in out)
+    edges = spark.createDataFrame([(0.0,), (1.0,), (None,)], "p double").select(normal_ppf("p").alias("y"))
+    assert [r["y"] for r in edges.collect()] == [None] * 3
