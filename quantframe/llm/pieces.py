@@ -22,7 +22,7 @@ results: a null or empty text has no pieces; equal row keys with equal texts get
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -34,6 +34,7 @@ from quantframe.llm.common import free_name
 
 SHARPNESS, BYTE_WEIGHT = 1.0, 1e-6
 MARK = "▁"
+_SLOT_SHIFT = np.uint64(44)
 _BASE, _BYTE_LOG = 0x9E3779B97F4A7C15, float(np.log(BYTE_WEIGHT))
 #: Characters sampled at once, and edges kept, per Python worker.
 GROUP, MOST_EDGES = 1 << 18, 2_000_000
@@ -90,6 +91,8 @@ class Model:
                 else:
                     found.setdefault(h, (-1, 0.0))
         self.hashes = np.array(sorted(found), dtype=np.uint64)
+        self.slots = np.zeros(1 << 20, dtype=bool)
+        self.slots[(self.hashes >> _SLOT_SHIFT).astype(np.intp)] = True
         self.hash_id = np.array([found[int(h)][0] for h in self.hashes], dtype=np.int64)
         self.hash_log = np.array([found[int(h)][1] for h in self.hashes])
 
@@ -97,10 +100,12 @@ class Model:
         #: Last node of a stretch.
         self.ends: dict[str, int] = {}
         self.nodes = self.edges = 0
-        #: Edges by the node they end in: node + cumulated share, node they start in, piece.
-        self.key = np.empty(1 << 16)
+        #: Edges by the node they end in: cumulated share, node they start in, piece; and each
+        #: node's first edge.
+        self.share = np.empty(1 << 16)
         self.back = np.empty(1 << 16, dtype=np.int64)
         self.id = np.empty(1 << 16, dtype=np.int32)
+        self.first = np.empty(1 << 16, dtype=np.int64)
 
     def _edges(self, codes: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, ...]:
         """(first character, last character, piece, log weight), walking all beginnings at once."""
@@ -108,6 +113,8 @@ class Model:
         at, h, size = np.arange(len(codes)), np.zeros(len(codes), dtype=np.uint64), 0
         while len(at):
             h = h * np.uint64(_BASE) + codes[at + size] + np.uint64(1)
+            may = self.slots[(h >> _SLOT_SHIFT).astype(np.intp)]
+            at, h = at[may], h[may]
             where = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
             known = self.hashes[where] == h
             i = np.where(known, self.hash_id[where], -1)
@@ -130,7 +137,9 @@ class Model:
         depth = np.arange(n) - begin
         first, last, piece, logw = self._edges(codes, np.repeat(sizes, sizes) - depth)
         start = np.where(depth[first] == 0, -1, first - 1)
-        bare = np.setdiff1d(np.arange(n), last[first == last])
+        spelled_whole = np.zeros(n, dtype=bool)
+        spelled_whole[last[first == last]] = True
+        bare = np.flatnonzero(~spelled_whole)
         more: list[tuple[int, int, int, float]] = []
         chained = n
         for k in bare.tolist():
@@ -172,19 +181,26 @@ class Model:
         order = np.argsort(last, kind="stable")
         base = self.nodes
         backs = np.where(start < 0, -1, start + base)
-        self._append((base + last + cumulated)[order], backs[order], piece[order])
+        many = np.bincount(last, minlength=chained)
+        first = self.edges + np.cumsum(many) - many
+        self._append(cumulated[order], backs[order], piece[order], first)
         self.ends.update(zip(stretches, (np.cumsum(sizes) - 1 + base).tolist()))
         self.nodes += chained
 
-    def _append(self, keys: np.ndarray, backs: np.ndarray, ids: np.ndarray) -> None:
-        upto = self.edges + len(keys)
-        while upto > len(self.key):
-            self.key = np.concatenate((self.key, np.empty_like(self.key)))
-            self.back = np.concatenate((self.back, np.empty_like(self.back)))
-            self.id = np.concatenate((self.id, np.empty_like(self.id)))
-        at = slice(self.edges, upto)
-        self.key[at], self.back[at], self.id[at] = keys, backs, ids
-        self.edges = upto
+    def _append(self, shares, backs, ids, first) -> None:
+        def put(name: str, at: int, new: np.ndarray) -> None:
+            held = getattr(self, name)
+            if at + len(new) > len(held):
+                more = np.empty(max(len(held), len(new)), dtype=held.dtype)
+                held = np.concatenate((held[:at], more))
+                setattr(self, name, held)
+            held[at : at + len(new)] = new
+
+        put("share", self.edges, shares)
+        put("back", self.edges, backs)
+        put("id", self.edges, ids)
+        put("first", self.nodes, first)
+        self.edges += len(ids)
 
     def encode_all(self, texts: list[str], keys: np.ndarray) -> list[np.ndarray]:
         """One sampled segmentation of each text."""
@@ -203,12 +219,16 @@ class Model:
         place = np.arange(len(nodes)) - np.repeat(first, many)
         seed = np.repeat(keys.view(np.uint64), many) + (place.astype(np.uint64) << np.uint64(24))
         at, who = np.array(nodes, dtype=np.int64), np.arange(len(nodes))
-        key, step = self.key[: self.edges], 0
+        step = 0
         owners, taken, steps = [], [], []
         while len(who):
             bits = mixed(seed[who] + np.uint64(step * 0x9E3779B97F4A7C15 % (1 << 64)))
             u = (bits >> np.uint64(11)).astype(float) * 2.0**-53
-            edge = np.searchsorted(key, at + u, side="right")
+            edge = self.first[at]
+            later = np.flatnonzero(u >= self.share[edge])
+            while len(later):
+                edge[later] += 1
+                later = later[u[later] >= self.share[edge[later]]]
             owners.append(who)
             taken.append(self.id[edge])
             steps.append(np.full(len(who), step))
@@ -244,23 +264,24 @@ def with_pieces(
 ) -> DataFrame:
     """``docs`` with ``struct<ids, lossless>``; ``content`` is the model file's bytes.
 
-    ``lossless`` says that decoding the ids gave the text back.
+    ``lossless`` says that decoding the ids gave the text back. Results leave the worker group
+    by group, so it never holds the pieces of a whole Arrow batch.
     """
 
-    def each(texts: pd.Series, keys: pd.Series) -> pd.DataFrame:
+    def each(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         model = loaded(content)
-        whole, seeds = [t or "" for t in texts], keys.to_numpy(dtype=np.int64)
-        ids: list[np.ndarray] = []
-        at = 0
-        while at < len(whole):
-            end, chars = at, 0
-            while end < len(whole) and (end == at or chars + len(whole[end]) <= GROUP):
-                chars += len(whole[end])
-                end += 1
-            ids += model.encode_all(whole[at:end], seeds[at:end])
-            at = end
-        same = [model.decode(i.tolist()) == t for i, t in zip(ids, whole)]
-        return pd.DataFrame({"ids": ids, "lossless": same})
+        for texts, keys in batches:
+            whole, seeds = [t or "" for t in texts], keys.to_numpy(dtype=np.int64)
+            at = 0
+            while at < len(whole):
+                end, chars = at, 0
+                while end < len(whole) and (end == at or chars + len(whole[end]) <= GROUP):
+                    chars += len(whole[end])
+                    end += 1
+                ids = model.encode_all(whole[at:end], seeds[at:end])
+                same = [model.decode(i.tolist()) == t for i, t in zip(ids, whole[at:end])]
+                yield pd.DataFrame({"ids": ids, "lossless": same})
+                at = end
 
     encode = F.pandas_udf(each, "struct<ids:array<int>,lossless:boolean>")
     return docs.withColumn(free_name(docs, out), encode(F.col(text), key))
