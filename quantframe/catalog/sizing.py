@@ -356,7 +356,36 @@ def _(t):
 @query(
     "F15_limit_filter",
     "portfolio:s as_of:d seq:l symbol:s allowed:b reason:s",
-    None,
+    f"""with recursive queue as (
+         select *, row_number() over (partition by portfolio, as_of order by symbol) as seq
+         from ({ORDERS_SQL}) o),
+       first_gross as (
+         select h.portfolio, h.session as as_of, sum(abs(h.quantity * q.close)) as gross
+         from held h join panel q on q.symbol = h.symbol and q.session = h.session
+         where h.quantity <> 0 group by 1, 2),
+       judged as (
+         select o.portfolio, o.as_of, o.seq, o.symbol, m.nav,
+           abs(coalesce(h.quantity, 0) + o.delta) * o.price / m.nav > 0.3e0 as heavy,
+           (abs(coalesce(h.quantity, 0) + o.delta) - abs(coalesce(h.quantity, 0))) * o.price as step,
+           coalesce(g.gross, 0) as gross
+         from queue o join marks m on m.portfolio = o.portfolio and m.session = o.as_of
+         left join held h on h.portfolio = o.portfolio and h.session = o.as_of
+           and h.symbol = o.symbol
+         left join first_gross g on g.portfolio = o.portfolio and g.as_of = o.as_of
+         where m.nav > 0),
+       walk as (
+         select portfolio, as_of, 0::bigint as seq, cast(null as varchar) as symbol,
+           cast(null as varchar) as reason, gross from judged where seq = 1
+         union all
+         select portfolio, as_of, seq, symbol, reason,
+           case when reason is null then gross + step else gross end
+         from (select j.portfolio, j.as_of, j.seq, j.symbol, w.gross, j.step,
+                 case when j.heavy then 'weight cap'
+                      when (w.gross + j.step) / j.nav > 0.6e0 then 'gross cap' end as reason
+               from walk w join judged j on j.portfolio = w.portfolio and j.as_of = w.as_of
+                 and j.seq = w.seq + 1) n)
+       select portfolio, as_of, seq, symbol, reason is null as allowed, reason
+       from walk where seq > 0""",
     {**BASE, **BOOK},
 )
 def _(t):
