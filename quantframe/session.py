@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -53,14 +55,23 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of this session, unless the session or the folder is gone already."""
+    with contextlib.suppress(Exception):
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def shared(df: DataFrame, name: str = "shared") -> DataFrame:
     """Write a frame that several branches read, and continue from the written table.
 
     The branches then start from a small scan instead of repeating (and re-planning) the work
     above it, the optimiser sees the table's real size, and a lost executor re-reads files
-    instead of replaying lineage. Used on decision-sized results and dimensions.
+    instead of replaying lineage. The table goes when the driver's Python ends.
     """
     spark = df.sparkSession
-    path = f"{scratch_folder(spark, name)}/rows"
+    folder = scratch_folder(spark, name)
+    path = f"{folder}/rows"
+    atexit.register(_remove, spark, folder)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
