@@ -164,10 +164,13 @@ def _(t):
     return cal.staleness(stored, t.sessions, F.lit(dt.date(2001, 8, 15)))
 
 
-@query(
-    "B11_start_date_grid",
-    "n:l session:d",
-    """with b as (select min(session) as first, max(session) as last from bars),
+def start_grid(t):
+    return cal.start_date_grid(
+        t.ticks.agg(F.min("session").alias("first"), F.max("session").alias("last"))
+    )
+
+
+START_GRID = """with b as (select min(session) as first, max(session) as last from bars),
         g as (select first, last, n,
                      cast(date_trunc('month', first) + n * 18 * interval 1 month
                        + (least(day(first), 28) - 1) * interval 1 day as date) as session
@@ -179,12 +182,16 @@ def _(t):
          cast(date_trunc('month', first) + interval 120 month
            + (least(day(first), 28) - 1) * interval 1 day as date),
          cast(date_trunc('month', last) - interval 36 month
-           + (least(day(last), 28) - 1) * interval 1 day as date))""",
+           + (least(day(last), 28) - 1) * interval 1 day as date))"""
+
+
+@query(
+    "B11_start_date_grid",
+    "n:l session:d",
+    START_GRID,
 )
 def _(t):
-    return cal.start_date_grid(
-        t.ticks.agg(F.min("session").alias("first"), F.max("session").alias("last"))
-    )
+    return start_grid(t)
 
 
 @query(

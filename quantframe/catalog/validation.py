@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quantframe.catalog.ledger_sql import segment_ctes
 from quantframe.catalog.metrics import CURVE, PERF, perf_sql
 from quantframe.catalog.momentum_sql import momentum_ctes
+from quantframe.catalog.calendars import START_GRID, start_grid
 from quantframe.catalog.registry import query
 from quantframe.catalog.signals import SHARED
 from quantframe.catalog.sizing import OFFSETS
@@ -80,6 +81,26 @@ def _(t):
     return sweep.run_sweep(t.daily, t.sessions, t.instruments, VARIANTS)
 
 
+STARTS = {
+    **SHARED,
+    **momentum_ctes("d_", "select as_of from ends", [{}]),
+    "starts": START_GRID,
+    "begun": """select concat('start=', cast(g.session as varchar)) as variant, t.as_of, t.symbol,
+                  t.weight from d_targets t join starts g on t.as_of >= g.session""",
+    **segment_ctes("ds_", "select * from begun", cost=f"({sweep.BASE_COST_RATE})"),
+}
+
+
+@query(
+    "I02_start_dates",
+    "variant:s sessions:l cagr:f volatility:f sharpe:f max_drawdown:f",
+    perf_sql("variant", "select variant, session, nav, 0e0 as annual_rate from ds_nav"),
+    STARTS,
+)
+def _(t):
+    return sweep.start_date_sweep(t.daily, t.sessions, t.instruments, start_grid(t))
+
+
 HELD = perf_sql(
     "portfolio, win",
     """select n.portfolio, n.session, n.nav, 0e0 as annual_rate, w.win from nav n

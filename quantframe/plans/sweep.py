@@ -189,3 +189,29 @@ def admission_sweep(
     curves = segment_nav(targets, bars, calendar, cost_rate=BASE_COST_RATE)
     return metrics.performance(curves, rates, ["variant"])
 
+
+def start_date_sweep(
+    bars: DataFrame,
+    calendar: DataFrame,
+    instruments: DataFrame,
+    starts: DataFrame,
+    *,
+    rates: DataFrame | float = 0.0,
+    cash_symbol: str = "S00",
+) -> DataFrame:
+    """The base strategy begun at each date of ``starts`` (column ``session``), in one plan.
+
+    Signals are computed once; a start adds the decision rows from its date on. ``starts`` is a
+    start-date grid, a handful of rows at any size of the history.
+    """
+    dates = cal.month_ends(calendar).select(F.col("session").alias("as_of"))
+    targets = dual_momentum(bars, dates, instruments, variants=[{}], cash_symbol=cash_symbol)
+    begun = starts.select(F.col("session").alias("__start"))
+    each = (
+        targets.drop("variant")
+        .join(begun, F.col("as_of") >= F.col("__start"))
+        .withColumn("variant", F.concat(F.lit("start="), F.col("__start").cast("string")))
+        .drop("__start")
+    )
+    curves = segment_nav(each, bars, calendar, cost_rate=BASE_COST_RATE)
+    return metrics.performance(curves, rates, ["variant"])
