@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantframe.session import shared
 
-__all__ = ["digest_spans", "free_name", "read", "shared", "sorted_spans", "text_words"]
+__all__ = ["documents", "free_name", "read", "shared", "text_words"]
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    """What the per-text queries read: the whole table, two columns."""
+    return read(spark, folder, "documents").select(F.col("doc_id").cast("bigint"), "text")
+
+
 def free_name(df: DataFrame, base: str) -> str:
     """``base``, with underscores added until no column has that name (case ignored)."""
     taken = {c.lower() for c in df.columns}
@@ -25,13 +30,3 @@ def free_name(df: DataFrame, base: str) -> str:
 def text_words(text: str | None) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` as UTF-8; bytes split on exactly those six characters."""
     return (text or "").encode().split()
-
-
-def sorted_spans(spans: Column) -> Column:
-    """Spans by start, then by the rank of their kind, then by end."""
-    return F.array_sort(spans)
-
-
-def digest_spans(spans: list[tuple[int, int, str, int]]) -> str:
-    """``kind:start:end`` of (start, rank, kind, end), comma-joined in order."""
-    return ",".join(f"{kind}:{start}:{end}" for start, _, kind, end in sorted(spans))

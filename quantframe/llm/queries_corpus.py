@@ -6,15 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantframe.llm import lm, simhash
-from quantframe.llm.common import read, shared
-
-
-def _texts(spark: SparkSession, folder: str) -> DataFrame:
-    return read(spark, folder, "documents").select(F.col("doc_id").cast("bigint"), "text")
+from quantframe.llm.common import documents, shared
 
 
 def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
-    hashed = simhash.with_fingerprint(_texts(spark, folder), "text", "fp").drop("text")
+    hashed = simhash.with_fingerprint(documents(spark, folder), "text", "fp").drop("text")
     joined = simhash.with_components(shared(hashed, "simhash"), "doc_id", "fp", "component_id")
     return joined.select(
         "doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id"
@@ -22,7 +18,7 @@ def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op9_class_lm(spark: SparkSession, folder: str) -> DataFrame:
-    docs = _texts(spark, folder).withColumn("held_out", lm.held_out(F.col("doc_id")))
+    docs = documents(spark, folder).withColumn("held_out", lm.held_out(F.col("doc_id")))
     model, rest = lm.train(docs, "text", ~F.col("held_out"))
     scored = lm.with_scores(docs, model, rest)
     return scored.select(

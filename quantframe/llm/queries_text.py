@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantframe.llm import chat, decontam, html_text, pieces, pii, quality, secret_scan, tokens
-from quantframe.llm.common import read, shared
+from quantframe.llm.common import documents, read, shared
 
 
 def op5_chat_format(spark: SparkSession, folder: str) -> DataFrame:
@@ -63,12 +63,8 @@ from laid group by conv_id
 """
 
 
-def _texts(spark: SparkSession, folder: str) -> DataFrame:
-    return read(spark, folder, "documents").select(F.col("doc_id").cast("bigint"), "text")
-
-
 def op3_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
-    docs = _texts(spark, folder)
+    docs = documents(spark, folder)
     found = secret_scan.with_secrets(docs, secret_scan.train(docs)).drop("text")
     return found.select(
         "doc_id",
@@ -79,7 +75,7 @@ def op3_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op6_pii(spark: SparkSession, folder: str) -> DataFrame:
-    found = pii.with_pii(_texts(spark, folder)).drop("text")
+    found = pii.with_pii(documents(spark, folder)).drop("text")
     return found.select(
         "doc_id",
         *[pii.count_of(F.col("pii_spans"), k).alias(f"n_{k}") for k in pii.BASE_KINDS],
@@ -89,7 +85,7 @@ def op6_pii(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
-    measured = quality.with_measures(_texts(spark, folder), "text", "m").drop("text")
+    measured = quality.with_measures(documents(spark, folder), "text", "m").drop("text")
     measured = shared(measured, "quality")
     m = F.col("m")
     p = quality.posterior(quality.fit(measured, "m"), m)
@@ -114,7 +110,7 @@ def op7_token_counts(spark: SparkSession, folder: str, tokenizer: str | None = N
         tokenizer = public_tokenizers.path(TOKENIZER)
     with open(tokenizer, encoding="utf-8") as f:
         definition = f.read()
-    counted = tokens.with_token_counts(_texts(spark, folder), definition).drop("text")
+    counted = tokens.with_token_counts(documents(spark, folder), definition).drop("text")
     n = F.col("token_count")
     return counted.select(
         "doc_id",
@@ -139,7 +135,7 @@ def piece_model(path: str | None = None) -> bytes:
 
 def op8_sentencepiece(spark: SparkSession, folder: str, path: str | None = None) -> DataFrame:
     key = pieces.row_key(SAMPLING_SEED, F.col("doc_id"))
-    out = pieces.with_pieces(_texts(spark, folder), piece_model(path), key).drop("text")
+    out = pieces.with_pieces(documents(spark, folder), piece_model(path), key).drop("text")
     p = F.col("pieces")
     return out.select(
         "doc_id",
@@ -150,7 +146,7 @@ def op8_sentencepiece(spark: SparkSession, folder: str, path: str | None = None)
 
 
 def op4_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
-    found = decontam.with_leaks(_texts(spark, folder), read(spark, folder, "benchmark"))
+    found = decontam.with_leaks(documents(spark, folder), read(spark, folder, "benchmark"))
     rows = found.select("doc_id", F.explode("leaks").alias("m"))
     return rows.select(
         "doc_id",
