@@ -11,7 +11,6 @@ from quantframe.catalog.registry import query
 from quantframe.catalog.signals import SHARED, month_decisions, pair_eligibility
 from quantframe.operators import allocation, ledger, pairs, signals, sizing
 from quantframe.operators import calendars as cal
-from quantframe.operators.decisions import at_decisions
 from quantframe.plans import momentum as mom
 from quantframe.plans import strategies
 from quantframe.session import shared
