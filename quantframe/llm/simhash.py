@@ -31,6 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quantframe.llm import resemblance
 from quantframe.llm.common import free_name, shared, text_words
 
 BITS, RADIUS, SHINGLE, SEED = 64, 3, 3, 42
@@ -244,6 +245,9 @@ def hex_fingerprint(fp: Column) -> Column:
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each component: the one with the smallest ``doc_id``, nulls last.
 
+    Fingerprints within the radius link, and so do texts whose five-word shingles are similar at
+    0.8 or more, which often differ in more bits.
+
     Rows are numbered when the fingerprints are written, so of equal rows one stays.
     """
     fp, row, whole = (free_name(docs, n) for n in ("fp", "row_number", "component"))
@@ -253,7 +257,8 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     )
     order = F.struct(F.col(doc_id).isNull(), F.col(doc_id), F.col(row))
     points = hashed.groupBy(F.col(fp).alias("fp")).agg(F.min(order).alias("first"))
-    labels = components(links(points.select("fp")))
+    near = links(points.select("fp"))
+    labels = components(near.union(resemblance.links(hashed, text, fp, row, near, components)))
     held = points.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     first = held.groupBy("label").agg(F.min("first").alias("first"))
     stay = first.select(F.col("first")[row].alias(row))

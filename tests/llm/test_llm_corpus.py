@@ -98,6 +98,44 @@ def test_one_row_of_each_component_stays(table):
     assert simhash.keep_one(docs.limit(0)).count() == 0
 
 
+def plain_similar(a, b, width=5):
+    sets = []
+    for t in (a, b):
+        words = WORD.findall(lower(t or ""))
+        shingles = {" ".join(words[i : i + width]) for i in range(len(words) - width + 1)}
+        sets.append(shingles or ({" ".join(words)} if words else set()))
+    both = len(sets[0] & sets[1])
+    return both > 0 and 5 * both >= 4 * len(sets[0] | sets[1])
+
+
+def test_similar_texts_meet_beyond_the_radius(table):
+    rnd = random.Random(5)
+    prose = lambda n: ["".join(rnd.choice("abcdefg") for _ in range(5)) for _ in range(n)]
+    line, texts = prose(30), []
+    for n in (20, 60, 61, 120, 200, 300):
+        base = prose(n)
+        texts.append(base)
+        for k in range(12):
+            words = list(base)
+            for _ in range(1 + k % 4 * n // 60):
+                words[rnd.randrange(n)] = prose(1)[0]
+            texts.append(words)
+        texts += [[*line, *prose(40)] for _ in range(8)]
+    rnd.shuffle(texts)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    fps = [simhash.fingerprint(t) for _, t in rows]
+    pairs = list(itertools.combinations(range(len(rows)), 2))
+    alike = {p for p in pairs if plain_similar(rows[p[0]][1], rows[p[1]][1])}
+    close = {p for p in pairs if (fps[p[0]] ^ fps[p[1]]).bit_count() <= 3}
+    assert len(alike - close) > 20
+    root = list(range(len(rows)))
+    for _ in rows:
+        for a, b in alike | close:
+            root[a] = root[b] = min(root[a], root[b])
+    kept = sorted(r["doc_id"] for r in simhash.keep_one(table(rows)).collect())
+    assert kept == sorted(set(root))
+
+
 # --- language model ------------------------------------------------------------------------
 
 
