@@ -224,37 +224,80 @@ def run_session_marks(fills: DataFrame, folder: str) -> DataFrame:
 # ---------------------------------------------------------------- matching
 
 
-def match_stream(orders: DataFrame, trades: DataFrame, *, outer: bool = False) -> DataFrame:
-    """Stream-stream interval join: same symbol and quantity, trade within four days.
+ORDER_SCHEMA = "symbol string, quantity double, order_id string, created_at timestamp"
+TRADE_SCHEMA = "symbol string, quantity double, trade_id decimal(38,0), ts timestamp"
+MATCH_DAYS = 4
+MATCHED = ("order_id", "trade_id", "symbol", "created_at", "ts")
 
-    Both sides carry watermarks, so state older than the interval is dropped. With ``outer``
-    orders that found no trade appear once their interval has closed.
+
+def matches(orders: DataFrame, trades: DataFrame) -> DataFrame:
+    """Same symbol and quantity, trade within four days after the order.
+
+    Trades go to every day bucket that an order able to match them can lie in, so the join has
+    the day among its keys.
     """
-    o = orders.select(
-        F.col("symbol").alias("o_symbol"),
-        F.col("quantity").alias("o_quantity"),
-        "order_id",
-        "created_at",
-    ).withWatermark("created_at", WATERMARK)
-    t = trades.select("symbol", "quantity", "trade_id", "ts").withWatermark("ts", WATERMARK)
-    when = F.expr(
-        "symbol = o_symbol and quantity = o_quantity and ts > created_at"
-        " and ts < created_at + interval 4 days"
-    )
-    return o.join(t, when, "leftOuter" if outer else "inner").select(
-        "order_id", "trade_id", F.col("o_symbol").alias("symbol"), "created_at", "ts"
-    )
+    day = lambda c: F.unix_date(F.to_date(c))
+    o = orders.withColumn("day", day("created_at"))
+    t = trades.withColumn("day", F.explode(F.sequence(day("ts") - MATCH_DAYS, day("ts"))))
+    late = f"ts > created_at and ts < created_at + interval {MATCH_DAYS} days"
+    return o.join(t, ["symbol", "quantity", "day"]).filter(late).select(*MATCHED)
 
 
 def run_match(orders: DataFrame, trades: DataFrame, folder: str, *, outer: bool = False) -> DataFrame:
-    writer = (
-        match_stream(orders, trades, outer=outer)
-        .writeStream.outputMode("append")
-        .format("parquet")
-        .option("path", f"{folder}/pairs")
+    """Order and trade pairs, whenever either side arrives.
+
+    Both sides are kept as written parts. A micro-batch matches its orders with all trades so
+    far and its trades with the orders before it, so each pair is found once and neither late
+    rows nor the place of a cut change the result. With ``outer`` orders without a trade so far
+    come too; they follow from the stored rows and leave when a trade arrives.
+    """
+    spark = orders.sparkSession
+    kind = trades.schema["trade_id"].dataType.simpleString()
+    sides = {
+        "order": VersionedTable(spark, f"{folder}/orders", ORDER_SCHEMA),
+        "trade": VersionedTable(
+            spark, f"{folder}/trades", TRADE_SCHEMA.replace("decimal(38,0)", kind)
+        ),
+    }
+    pairs = VersionedTable(
+        spark,
+        f"{folder}/pairs",
+        f"order_id string, trade_id {kind}, symbol string, created_at timestamp, ts timestamp",
+    )
+    none = F.lit(None)
+    both = orders.select(
+        "symbol", F.col("quantity").cast("double"), F.col("order_id").cast("string"), "created_at",
+        none.cast(kind).alias("trade_id"), none.cast("timestamp").alias("ts"),
+        F.lit("order").alias("side"),
+    ).unionByName(
+        trades.select(
+            "symbol", F.col("quantity").cast("double"), none.cast("string").alias("order_id"),
+            none.cast("timestamp").alias("created_at"), "trade_id", "ts",
+            F.lit("trade").alias("side"),
+        )
+    )
+
+    def rows(side: str, through: int) -> DataFrame:
+        return sides[side].versions(before=through + 1)
+
+    def match(batch: DataFrame, batch_id: int) -> None:
+        for side, table in sides.items():
+            columns = [c.split()[0] for c in table.schema.split(", ")]
+            table.write(batch.filter(F.col("side") == side).select(*columns), batch_id)
+        new_orders = rows("order", batch_id).filter(F.col("batch") == batch_id)
+        new_trades = rows("trade", batch_id).filter(F.col("batch") == batch_id)
+        found = matches(new_orders.drop("batch"), rows("trade", batch_id).drop("batch"))
+        back = matches(rows("order", batch_id - 1).drop("batch"), new_trades.drop("batch"))
+        pairs.write(found.unionByName(back), batch_id)
+
+    run_available(both.writeStream.foreachBatch(match), f"{folder}/checkpoint")
+    found = pairs.versions().select(*MATCHED)
+    if not outer:
+        return found
+    alone = sides["order"].versions().join(found.select("order_id").distinct(), "order_id", "left_anti")
+    return found.unionByName(
+        alone.withColumns({"trade_id": none.cast(kind), "ts": none.cast("timestamp")}).select(*MATCHED)
     )
-    run_available(writer, f"{folder}/checkpoint")
-    return orders.sparkSession.read.parquet(f"{folder}/pairs")
 
 
 # ---------------------------------------------------------------- failure watch

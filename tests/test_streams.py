@@ -125,3 +125,35 @@ def test_collapse_counts_late_fills_at_any_cut(spark, feed, rows, cuts):
     want = live.collapse_fills(fills(spark, [*late, *rest, *range(200, 210)]), ["portfolio"])
     columns = ["portfolio", "session", "symbol", "quantity", "price", "commission"]
     assert rows(got, *columns) == rows(want, *columns)
+
+
+@pytest.mark.parametrize("per_batch", [1, 100])
+def test_matches_do_not_depend_on_lateness_or_cuts(spark, tmp_path, per_batch):
+    sides = {
+        "order": ("symbol string, quantity double, order_id string, created_at timestamp", "o"),
+        "trade": ("symbol string, quantity double, trade_id bigint, ts timestamp", 0),
+    }
+    day = lambda n: dt.datetime(2020, 1, 1) + dt.timedelta(days=n)
+    # Days of the orders and trades that arrive in turn; the last ones are weeks late.
+    arrivals = [([0], [1]), ([40], [41]), ([5, 20], []), ([], [8]), ([10], [13.5, 14])]
+
+    def stream(side):
+        schema, _ = sides[side]
+        return jobs.file_stream(
+            spark, str(tmp_path / side), "*.parquet", spark.createDataFrame([], schema).schema,
+            files_per_batch=per_batch,
+        )
+
+    def drop(side, days):
+        schema, _ = sides[side]
+        rows = [("a", 1.0, f"o{d}" if side == "order" else int(d * 10), day(d)) for d in days]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / side))
+
+    for orders, trades in arrivals:
+        drop("order", orders)
+        drop("trade", trades)
+        if per_batch == 1:
+            jobs.run_match(stream("order"), stream("trade"), str(tmp_path / "out"))
+    got = jobs.run_match(stream("order"), stream("trade"), str(tmp_path / "out"), outer=True)
+    pairs = sorted((r.order_id, -1 if r.trade_id is None else r.trade_id) for r in got.collect())
+    assert pairs == [("o0", 10), ("o10", 135), ("o20", -1), ("o40", 410), ("o5", 80)]
