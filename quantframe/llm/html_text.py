@@ -100,6 +100,9 @@ _BARRED = frozenset(
     "menu header footer sidebar notice advert form comments sharing unseen".split()
 )
 
+#: First words of compounds that name what an element has or lacks, not what it is.
+_OTHERS = frozenset("no not non has have with without".split())
+
 #: Prior counts (content, not content) of a kind.
 _PRIOR = {
     "article": (20.0, 0.5), "paragraph": (8.0, 2.0), "heading": (4.0, 2.0), "item": (1.0, 1.0),
@@ -134,6 +137,24 @@ class Tree:
         return f"kind:{self.kind[n]}", f"length:{length}", f"links:{linked}"
 
 
+def _named(token: str) -> str:
+    """The role that a class token names, or nothing.
+
+    ``no-sidebar`` and ``has-sidebar`` speak of another element; ``entry-header`` is the title
+    and lead of an article. In other compounds a word for what is no article decides.
+    """
+    if token in _WORDS:
+        return _WORDS[token]
+    words = [w for w in re.split(r"[^a-z]+", token) if w]
+    if len(words) > 1 and words[0] in _OTHERS:
+        return ""
+    kinds = [_WORDS[w] for w in words if w in _WORDS]
+    barred = [k for k in kinds if k in _BARRED]
+    if barred and set(barred) == {"header"} and words[0] in _WORDS and kinds[0] == "article":
+        return ""
+    return (barred or kinds or [""])[0]
+
+
 def _role(tag: str, attributes: str) -> tuple[str, bool, bool]:
     """(kind, whether a class names it, whether it marks an article)."""
     kind = _BY_TAG.get(tag, "box")
@@ -151,10 +172,10 @@ def _role(tag: str, attributes: str) -> tuple[str, bool, bool]:
             marks |= value == "articlebody"
             continue
         for token in value.split():
-            for word in (token, *re.split(r"[^a-z]+", token)):
-                found = _WORDS.get(word)
-                if found and (not named or found in _BARRED):
-                    named = found
+            found = _named(token)
+            wins = _WORDS.get(token) == "article"
+            if found and (wins or named != "article" and (not named or found in _BARRED)):
+                named = found
     if named and kind not in _BARRED and tag not in ("html", "body", "article", "main"):
         return named, True, marks
     return kind, bool(named), marks

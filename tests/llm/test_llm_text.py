@@ -339,6 +339,19 @@ def test_main_text_of_labelled_and_other_pages(spark):
     assert html_text.main_text(HIDDEN, model) == want
 
 
+def test_words_about_other_elements_do_not_bar_an_article():
+    model = html_text.fit({})
+    want = "A title of the page\n" + "Text of the article that is long enough to be read. " * 3
+    body = "<h1>A title of the page</h1><p>" + want.partition("\n")[2] + "</p></div></body>"
+    for name in ("content no-sidebar", "post has-sidebar", "has-sidebar post", "sidebar content", "content with-ads"):
+        assert html_text.main_text(f"<body><div class='{name}'>{body}", model) == want.strip()
+    for name in ("article-header", "entry-header"):
+        page = f"<body><div class=content><div class='{name}'>{body}"
+        assert html_text.main_text(page, model) == want.strip()
+    for name in ("site-header", "main-menu", "post-comments", "sidebar-content", "sidebar", "screen-reader-text"):
+        assert html_text.main_text(f"<body><div class='{name}'>{body}", model) == ""
+
+
 def test_marginals_equal_enumeration():
     from itertools import product
 
