@@ -7,6 +7,7 @@ import contextlib
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,6 +63,20 @@ def _remove(spark: SparkSession, path: str) -> None:
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def shared_at(df: DataFrame, name: str = "shared") -> tuple[DataFrame, Callable[[], None]]:
+    """Like :func:`shared`, with a call that removes the table once nothing reads it any more."""
+    spark = df.sparkSession
+    folder = scratch_folder(spark, name)
+    path = f"{folder}/rows"
+
+    def discard() -> None:
+        _remove(spark, folder)
+
+    atexit.register(discard)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path), discard
+
+
 def shared(df: DataFrame, name: str = "shared") -> DataFrame:
     """Write a frame that several branches read, and continue from the written table.
 
@@ -69,9 +84,4 @@ def shared(df: DataFrame, name: str = "shared") -> DataFrame:
     above it, the optimiser sees the table's real size, and a lost executor re-reads files
     instead of replaying lineage. The table goes when the driver's Python ends.
     """
-    spark = df.sparkSession
-    folder = scratch_folder(spark, name)
-    path = f"{folder}/rows"
-    atexit.register(_remove, spark, folder)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return shared_at(df, name)[0]
