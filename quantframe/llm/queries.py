@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quantframe.llm import queries_corpus, queries_text
+from quantframe.llm import queries_corpus, queries_select, queries_text
 
-QUERIES = {**queries_corpus.QUERIES, **queries_text.QUERIES}
-ORACLES = {**queries_corpus.ORACLES, **queries_text.ORACLES}
+QUERIES = {**queries_corpus.QUERIES, **queries_text.QUERIES, **queries_select.QUERIES}
+ORACLES = {**queries_corpus.ORACLES, **queries_text.ORACLES, **queries_select.ORACLES}
