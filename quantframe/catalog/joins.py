@@ -131,10 +131,7 @@ CANDIDATES = """select t.execution_id as trade_id, o.order_id
     and o.created_at < t.ts and t.ts < o.created_at + interval 4 day"""
 
 
-@query(
-    "D08_interval_match",
-    "trade_id:s order_id:s candidates:l status:s",
-    f"""with c as ({CANDIDATES}),
+INTERVAL_MATCH = f"""with c as ({CANDIDATES}),
         by_t as (select trade_id, count(*) as n, max(order_id) as order_id from c group by 1),
         by_o as (select order_id, count(*) as n from c group by 1)
         select f.execution_id as trade_id,
@@ -143,8 +140,10 @@ CANDIDATES = """select t.execution_id as trade_id, o.order_id
           case when b.n is null then 'unmatched' when b.n = 1 and o.n = 1 then 'matched'
                else 'ambiguous' end as status
         from fills f left join by_t b on b.trade_id = f.execution_id
-        left join by_o o on o.order_id = b.order_id""",
-)
+        left join by_o o on o.order_id = b.order_id"""
+
+
+@query("D08_interval_match", "trade_id:s order_id:s candidates:l status:s", INTERVAL_MATCH)
 def _(t):
     trades = t.fills.select(F.col("execution_id").alias("trade_id"), "symbol", "quantity", "ts")
     return live.match_orders_to_trades(t.order_book, trades)

@@ -12,6 +12,7 @@ from quantframe.functions import quantize, quantize_cash, round_to_lot, safe_div
 from quantframe.operators import bars as ops
 from quantframe.operators import calendars as cal
 from quantframe.operators.decisions import at_decisions
+from quantframe.sources.feeds import ExecutionFeed, HistoricalFeed
 
 AS_OF = dt.date(1999, 6, 30)
 
@@ -73,6 +74,39 @@ def _(t):
     return orders.join(t.bars.select("symbol", "session", "open"), ["symbol", "session"], "left")
 
 
+@query(
+    "C04_execution_feed",
+    "order_id:s symbol:s session:d open:f adv:f",
+    """select o.order_id, o.symbol, cast(o.created_at as date) as session, b.open, b.adv
+       from order_book o left join (
+         select symbol, session, open, avg(volume) over (partition by symbol order by session
+                  rows between 20 preceding and 1 preceding) as adv from bars) b
+         on b.symbol = o.symbol and b.session = cast(o.created_at as date)""",
+)
+def _(t):
+    orders = t.order_book.select(
+        "order_id", "symbol", F.to_date("created_at").alias("session")
+    )
+    venue = ExecutionFeed(t.bars)
+    return venue.average_volume(venue.open_price(orders))
+
+
+@query(
+    "C01_feed_history",
+    "symbol:s session:d close:f kind:s",
+    """select symbol, session, close, 'history' as kind from bars where session <= date '1999-06-30'
+       qualify row_number() over (partition by symbol order by session desc) <= 5
+       union all
+       select symbol, max(session), max_by(close, session), 'latest' from bars
+       where session <= date '1999-06-30' group by 1""",
+)
+def _(t):
+    feed = HistoricalFeed(t.bars)
+    columns = ["symbol", "session", "close"]
+    known = feed.history(as_of=AS_OF, count=5).select(*columns, F.lit("history").alias("kind"))
+    return known.unionByName(feed.latest(as_of=AS_OF).select(*columns, F.lit("latest").alias("kind")))
+
+
 @query(
     "C05_average_volume",
     "symbol:s session:d adv:f",

@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 
 from quantframe.catalog.registry import query
 from quantframe.operators import bars as ops
-from quantframe.sources import dimensions, gates, rates, statement, store
+from quantframe.session import scratch_folder
+from quantframe.sources import dimensions, gates, provider, rates, statement, store
+from quantframe.sources.ranged import RangedStore
+from quantframe.streaming.jobs import run_bars
 
 AS_OF = dt.date(1999, 6, 30)
 SYMBOLS = [f"S{i:02d}" for i in range(12)]
@@ -35,6 +38,58 @@ def _(t):
     return ops.read_bars(t.bars, as_of=AS_OF)
 
 
+def stored_bars(t) -> RangedStore:
+    """The bars as a store of their own, which providers can read."""
+    kept = RangedStore(t.spark, f"{scratch_folder(t.spark, 'bars')}/store")
+    kept.upsert(t.bars)
+    return kept
+
+
+@query(
+    "A01_provider_bars",
+    "symbol:s session:d open:f high:f low:f close:f volume:f",
+    """select * from bars where symbol = 'S03' and session >= date '1997-01-01'
+       and session <= date '2000-12-31' and session <= date '1999-06-30'""",
+)
+def _(t):
+    return provider.provider_bars(
+        t.spark,
+        where="symbol = 'S03' and session between date'1997-01-01' and date'2000-12-31'"
+        " and session <= date'1999-06-30'",
+        path=stored_bars(t).path,
+    )
+
+
+RESTATED = """select symbol, session, open, high, low,
+         case when session between date '2000-06-23' and date '2000-06-30' then close * 1.001
+              else close end as close, volume
+       from bars"""
+
+
+def restated_store(t) -> RangedStore:
+    """The store after a re-sync of one week with corrected closes."""
+    kept = stored_bars(t)
+    week = F.col("session").between(F.lit(dt.date(2000, 6, 23)), F.lit(dt.date(2000, 6, 30)))
+    kept.upsert(t.bars.filter(week).withColumn("close", F.col("close") * 1.001))
+    return kept
+
+
+@query(
+    "A01_stream_bars",
+    "symbol:s session:d open:f high:f low:f close:f volume:f",
+    RESTATED,
+)
+def _(t):
+    folder = scratch_folder(t.spark, "bar-stream")
+    stream = provider.provider_stream(t.spark, path=restated_store(t).path)
+    return run_bars(stream, folder)
+
+
+@query("A02_store_upsert", "symbol:s session:d close:f volume:f", RESTATED)
+def _(t):
+    return restated_store(t).read()
+
+
 @query(
     "A02_upsert_bars",
     "symbol:s session:d close:f volume:f",

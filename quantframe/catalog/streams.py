@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quantframe.catalog.joins import CANDIDATES
+from quantframe.catalog.joins import INTERVAL_MATCH
 from quantframe.catalog.ledger_sql import BOOK, POSITIONS
 from quantframe.catalog.registry import query
 from quantframe.sources.testdata import PORTFOLIOS, RAW_PRICE, ROW_KEY, SYMBOL
@@ -82,7 +82,11 @@ def _(t):
     return jobs.run_session_marks(fill_stream(t), scratch_folder(t.spark, "marks"))
 
 
-@query("L07_stream_interval_join", "trade_id:s order_id:s", CANDIDATES)
+@query(
+    "L07_stream_interval_join",
+    "trade_id:s order_id:s candidates:l status:s",
+    INTERVAL_MATCH,
+)
 def _(t):
     orders = fill_stream(t).selectExpr(
         "concat('I', cast(execution_id as string)) as order_id",
@@ -92,7 +96,7 @@ def _(t):
                 else ts - interval 5 days end as created_at""",
     )
     trades = fill_stream(t).selectExpr("execution_id as trade_id", "symbol", "quantity", "ts")
-    return jobs.run_match(orders, trades, scratch_folder(t.spark, "match"))
+    return jobs.run_match(orders, trades, scratch_folder(t.spark, "match"))[0]
 
 
 @query(

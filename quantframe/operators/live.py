@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StringType
 
 from quantframe.functions import div
 from quantframe.operators.quantiles import exact_quantile
@@ -248,13 +249,31 @@ def match_orders_to_trades(
 ) -> DataFrame:
     """Interval match, unique both ways: same keys, ``created < ts < created + window``.
 
+    ``orders`` has ``order_id, created_at``; ``trades`` has ``trade_id, ts``. The result has
+    one row per trade. See :func:`interval_counts` for how it scales.
+    """
+    counts = interval_counts(orders, trades, window=window, keys=keys)
+    return matched_trades(counts, trades.schema["trade_id"].dataType, keys).select(
+        "trade_id", "order_id", "candidates", "status"
+    )
+
+
+def interval_counts(
+    orders: DataFrame,
+    trades: DataFrame,
+    *,
+    window: str = "4 days",
+    keys: Sequence[str] = ("symbol", "quantity"),
+    carried: Sequence[str] = (),
+) -> DataFrame:
+    """Per order and per trade its running number, its candidates, and the only one's number.
+
     Candidate pairs are never listed. Orders, trades and the far ends of both intervals are
     laid on one time line per key and swept once: a running count of trades read at an
     order's start and end gives its number of candidates, and when that is one, the count at
-    the end is the partner's running number. The same sweep answers for trades. A key with millions of
-    rows costs the same per row as a quiet one, and spreads over its days.
-    ``orders`` has ``order_id, created_at``; ``trades`` has ``trade_id, ts``. The result has
-    one row per trade.
+    the end is the partner's running number. The same sweep answers for trades. A key with
+    millions of rows costs the same per row as a quiet one, and spreads over its days.
+    ``carried`` columns of either side come along.
     """
     keys = list(keys)
     span = F.expr(f"interval {window}")
@@ -269,8 +288,10 @@ def match_orders_to_trades(
         )
         return df.select(
             *keys,
+            *carried,
             F.lit(is_order).alias("__is_order"),
             F.col(ident).cast("string").alias("__id"),
+            F.xxhash64(ident).alias("__tie"),
             F.inline(at),
         )
 
@@ -286,7 +307,7 @@ def match_orders_to_trades(
         line,
         keys,
         "__day",
-        ["__at", "__rank", "__id"],
+        ["__at", "__rank", "__tie", "__id"],
         {
             "__trades": ("sum", F.when(rank == 1, 1).otherwise(0)),
             "__orders": ("sum", F.when(rank == 2, 1).otherwise(0)),
@@ -294,29 +315,48 @@ def match_orders_to_trades(
     )
     # Per row: its own running number, and the other side's counts at its interval's ends.
     # The count at the far end is also the running number of the last candidate.
-    sides = swept.groupBy(*keys, "__is_order", "__id").agg(
+    sides = swept.groupBy(*keys, *carried, "__is_order", "__id").agg(
         F.max(F.when(rank == 2, F.col("__orders")).when(rank == 1, F.col("__trades"))).alias("own"),
         F.max(F.when(rank == 0, F.col("__trades")).when(rank == 1, F.col("__orders"))).alias("hi"),
         F.max(F.when(rank == 2, F.col("__trades")).when(rank == 3, F.col("__orders"))).alias("lo"),
     ).withColumn("candidates", F.col("hi") - F.col("lo"))
-    by_order = sides.filter("__is_order").select(
+    return sides.withColumn("wants", F.when(F.col("candidates") == 1, F.col("hi")))
+
+
+def matched_trades(
+    counts: DataFrame, kind: DataType, keys: Sequence[str] = ("symbol", "quantity"), carried: Sequence[str] = ()
+) -> DataFrame:
+    """One row per trade with its order, if each is the other's only candidate. ``kind`` is the
+    type of a trade's id."""
+    mine, theirs = counts.filter("not __is_order"), counts.filter("__is_order")
+    return _matched(mine, theirs, keys, carried, trade_id=kind, order_id=StringType())
+
+
+def matched_orders(
+    counts: DataFrame, kind: DataType, keys: Sequence[str] = ("symbol", "quantity"), carried: Sequence[str] = ()
+) -> DataFrame:
+    """The same, one row per order."""
+    mine, theirs = counts.filter("__is_order"), counts.filter("not __is_order")
+    return _matched(mine, theirs, keys, carried, order_id=StringType(), trade_id=kind)
+
+
+def _matched(
+    own: DataFrame, other: DataFrame, keys: Sequence[str], carried: Sequence[str], **ids: DataType
+) -> DataFrame:
+    (ident, kind), (partner, partner_kind) = ids.items()
+    theirs = other.select(
         *keys,
-        F.col("__id").alias("order_id"),
-        F.col("own").alias("__at_order"),
-        F.when(F.col("candidates") == 1, F.col("hi")).alias("__wants"),
+        F.col("__id").alias("__partner"),
+        F.col("own").alias("__at"),
+        F.col("wants").alias("__back"),
     )
-    by_trade = sides.filter("not __is_order").select(
+    mutual = F.coalesce(F.col("__back") == F.col("own"), F.lit(False))
+    met = own.withColumn("__at", F.col("wants")).join(theirs, [*keys, "__at"], "left")
+    return met.select(
         *keys,
-        F.col("__id").alias("__trade"),
-        "own",
-        "candidates",
-        F.when(F.col("candidates") == 1, F.col("hi")).alias("__at_order"),
-    )
-    mutual = F.coalesce(F.col("__wants") == F.col("own"), F.lit(False))
-    kind = trades.schema["trade_id"].dataType
-    return by_trade.join(by_order, [*keys, "__at_order"], "left").select(
-        F.col("__trade").cast(kind).alias("trade_id"),
-        F.when(mutual, F.col("order_id")).alias("order_id"),
+        *carried,
+        F.col("__id").cast(kind).alias(ident),
+        F.when(mutual, F.col("__partner")).cast(partner_kind).alias(partner),
         "candidates",
         F.when(mutual, "matched")
         .when(F.col("candidates") == 0, "unmatched")
@@ -364,15 +404,23 @@ def corroborate(trades: DataFrame, confirmations: DataFrame) -> DataFrame:
 
 
 def failure_streaks(
-    runs: DataFrame, key: str, ts: str, failed: Column, tie: str, *, threshold: int = 3
+    runs: DataFrame,
+    key: str,
+    ts: str,
+    failed: Column,
+    tie: str,
+    *,
+    threshold: int = 3,
+    block: Column | None = None,
+    carried: DataFrame | None = None,
 ) -> DataFrame:
     """Length of the current failure run, one alert per outage, and the recovery after it.
 
-    Runs are unbounded per key, so positions come from block scans instead of one window.
+    Runs are unbounded per key, so positions come from block scans (of a day, or of ``block``)
+    instead of one window. ``carried`` has a ``streak`` a key: the failures up to the first row.
     """
-    rows = runs.select(key, ts, tie, failed.alias("failed")).withColumn(
-        "__day", F.to_date(F.col(ts))
-    )
+    block = F.to_date(F.col(ts)) if block is None else block
+    rows = runs.select(key, ts, tie, failed.alias("failed")).withColumn("__day", block)
     numbered = block_scan(
         rows, [key], "__day", [ts, tie], {"__n": ("sum", F.lit(1).cast("bigint"))}
     )
@@ -380,7 +428,11 @@ def failure_streaks(
     tracked = block_scan(
         numbered, [key], "__day", [ts, tie], {"__ok": ("max", ok)}, exclusive=True
     )
-    before = F.col("__n") - 1 - F.coalesce("__ok", F.lit(0))
+    start = F.lit(0)
+    if carried is not None:
+        tracked = tracked.join(carried.select(key, F.col("streak").alias("__c")), key, "left")
+        start = -F.coalesce("__c", F.lit(0))
+    before = F.col("__n") - 1 - F.coalesce("__ok", start)
     return tracked.select(
         key,
         ts,

@@ -1,25 +1,28 @@
 """Incremental versions of the live-record operators.
 
 Every job reads a file stream, keeps a checkpointed cursor and runs with ``availableNow``, so a
-late restart picks up exactly where the last run stopped. Event time carries a seven-day
-watermark, matching the re-sync overlap of the batch path.
+late restart picks up exactly where the last run stopped. State lives in levelled tables (see
+``tables``): a micro-batch writes what it adds and reads only the state of the keys or days that
+it touches. No watermark closes anything, so late rows count like any other.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from typing import Any
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from quantframe.operators import ledger, live
-from quantframe.streaming.tables import VersionedTable, run_available
-
-WATERMARK = "7 days"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+from quantframe.streaming.tables import (
+    LevelledTable,
+    distinct,
+    hash_bucket,
+    newest,
+    run_available,
+    summed,
+    together,
+)
 
 
 def file_stream(
@@ -34,6 +37,22 @@ def file_stream(
     )
 
 
+# ---------------------------------------------------------------- bars
+
+
+BAR_SCHEMA = (
+    "symbol string, session date, open double, high double, low double, close double, volume double"
+)
+
+
+def run_bars(bars: DataFrame, folder: str) -> DataFrame:
+    """The newest version of every bar that a stream of additions and restatements brought."""
+    keys = ["symbol", "session"]
+    table = LevelledTable(bars.sparkSession, f"{folder}/bars", BAR_SCHEMA, newest(*keys))
+    run_available(bars.writeStream.foreachBatch(table.write), f"{folder}/checkpoint")
+    return table.rows().drop("batch")
+
+
 # ---------------------------------------------------------------- collapse
 
 
@@ -63,18 +82,18 @@ def collapse_parts(fills: DataFrame) -> DataFrame:
 def run_collapse(fills: DataFrame, folder: str) -> DataFrame:
     """One intention per day, symbol and direction, whenever its fills arrive.
 
-    The stored parts are the state, so no watermark closes a day: a fill that comes weeks late
-    adds its part like any other, and the result does not depend on where batches are cut.
+    The stored parts are the state and add up, so a fill that comes weeks late adds its part
+    like any other, no batch reads what others stored, and the result does not depend on where
+    batches are cut.
     """
-    table = VersionedTable(fills.sparkSession, f"{folder}/intentions", PART_SCHEMA)
+    table = LevelledTable(
+        fills.sparkSession, f"{folder}/intentions", PART_SCHEMA, summed(*INTENTION)
+    )
     writer = fills.writeStream.foreachBatch(
         lambda df, batch: table.write(collapse_parts(df), batch)
     )
     run_available(writer, f"{folder}/checkpoint")
-    summed = table.versions().groupBy(*INTENTION).agg(
-        *[F.sum(c).alias(c) for c in ("quantity", "size", "value", "commission", "pieces")]
-    )
-    return summed.select(
+    return table.rows().select(
         *INTENTION,
         "quantity",
         (F.col("value") / F.col("size")).alias("price"),
@@ -98,20 +117,18 @@ def run_ingest(executions: DataFrame, folder: str) -> tuple[DataFrame, DataFrame
 
     A repeat with the same payload changes nothing. An id with two payloads leaves the archive
     and all its payloads stand in the second table, for a person to settle. Both follow from
-    the set of rows that ever came: the archive keeps each distinct payload once and is the
-    state, so nothing depends on where batches are cut or how late a row comes.
+    the set of rows that ever came, and sets unite: a batch stores its distinct rows, repeats
+    across batches go when levels merge, and none joins the archive.
     """
-    archive = VersionedTable(executions.sparkSession, f"{folder}/archive", EXECUTION_SCHEMA)
+    archive = LevelledTable(executions.sparkSession, f"{folder}/archive", EXECUTION_SCHEMA, distinct)
     columns = ["execution_id", *PAYLOAD]
-    same = F.expr(" and ".join(f"a.{c} <=> k.{c}" for c in columns))
 
     def ingest(batch: DataFrame, batch_id: int) -> None:
-        arrived = batch.select(F.col("execution_id").cast("decimal(38,0)"), *PAYLOAD).distinct()
-        known = archive.versions(before=batch_id).select(*columns)
-        archive.write(arrived.alias("a").join(known.alias("k"), same, "left_anti"), batch_id)
+        arrived = batch.select(F.col("execution_id").cast("decimal(38,0)"), *PAYLOAD)
+        archive.write(arrived.distinct(), batch_id)
 
     run_available(executions.writeStream.foreachBatch(ingest), f"{folder}/checkpoint")
-    kept = archive.versions().select(*columns)
+    kept = archive.rows().select(*columns)
     payloads = kept.groupBy("execution_id").agg(F.count(F.lit(1)).alias("payloads"))
     disputed = payloads.filter("payloads > 1")
     return (
@@ -120,13 +137,6 @@ def run_ingest(executions: DataFrame, folder: str) -> tuple[DataFrame, DataFrame
     )
 
 
-def dedupe_stream(executions: DataFrame) -> DataFrame:
-    """First arrival of each id inside the watermark: bounded state, no side table."""
-    return executions.withWatermark("ts", WATERMARK).dropDuplicatesWithinWatermark(
-        ["execution_id"]
-    )
-
-
 # ---------------------------------------------------------------- positions
 
 
@@ -179,14 +189,28 @@ def advance_positions(state: DataFrame, fills: DataFrame) -> DataFrame:
 
 
 def run_positions(fills: DataFrame, folder: str) -> DataFrame:
-    table = VersionedTable(fills.sparkSession, f"{folder}/positions", POSITION_SCHEMA)
+    """Positions kept current as fills arrive in their order.
+
+    The state is one row a position, found by its bucket. A batch's fills compose with it as
+    maps of the cost basis (see ``ledger.positions``), so a hot position spreads over tasks.
+    """
     keys = ["portfolio", "symbol"]
+    table = LevelledTable(
+        fills.sparkSession,
+        f"{folder}/positions",
+        POSITION_SCHEMA,
+        newest(*keys),
+        bucket=hash_bucket(*keys),
+    )
 
     def advance(batch: DataFrame, batch_id: int) -> None:
-        table.write(advance_positions(table.view(keys, before=batch_id), batch), batch_id)
+        batch.persist()
+        state = table.rows_of(batch.select(*keys), batch_id)
+        table.write(advance_positions(state, batch), batch_id)
+        batch.unpersist()
 
     run_available(fills.writeStream.foreachBatch(advance), f"{folder}/checkpoint")
-    return table.view(keys)
+    return table.rows()
 
 
 # ---------------------------------------------------------------- session marks
@@ -198,72 +222,79 @@ MARK_SCHEMA = "portfolio string, session date, fills bigint, traded double, net_
 def run_session_marks(fills: DataFrame, folder: str) -> DataFrame:
     """Per-session totals kept current as fills arrive.
 
-    Only sessions a batch touches are rewritten; a late fill re-marks its old session, and
-    the newer mark replaces the older one.
+    Totals add up, so a late fill adds to its old session and no mark is read to be changed.
     """
-    table = VersionedTable(fills.sparkSession, f"{folder}/marks", MARK_SCHEMA)
     keys = ["portfolio", "session"]
+    table = LevelledTable(fills.sparkSession, f"{folder}/marks", MARK_SCHEMA, summed(*keys))
 
     def mark(batch: DataFrame, batch_id: int) -> None:
         value = F.col("quantity") * F.col("price")
-        new = batch.groupBy(*keys).agg(
-            F.count(F.lit(1)).alias("fills"),
-            F.sum(F.abs(value)).alias("traded"),
-            F.sum(-value - F.col("commission")).alias("net_cash"),
-        )
-        old = table.view(keys, before=batch_id).join(new.select(*keys), keys, "left_semi")
-        total = new.unionByName(old).groupBy(*keys).agg(
-            *[F.sum(c).alias(c) for c in ("fills", "traded", "net_cash")]
+        table.write(
+            batch.groupBy(*keys).agg(
+                F.count(F.lit(1)).alias("fills"),
+                F.sum(F.abs(value)).alias("traded"),
+                F.sum(-value - F.col("commission")).alias("net_cash"),
+            ),
+            batch_id,
         )
-        table.write(total, batch_id)
 
     run_available(fills.writeStream.foreachBatch(mark), f"{folder}/checkpoint")
-    return table.view(keys)
+    return table.rows()
 
 
 # ---------------------------------------------------------------- matching
 
 
-ORDER_SCHEMA = "symbol string, quantity double, order_id string, created_at timestamp"
-TRADE_SCHEMA = "symbol string, quantity double, trade_id decimal(38,0), ts timestamp"
-MATCH_DAYS = 4
-MATCHED = ("order_id", "trade_id", "symbol", "created_at", "ts")
+ORDER_SCHEMA = "symbol string, quantity double, order_id string, created_at timestamp, block int"
+TRADE_SCHEMA = "symbol string, quantity double, trade_id {kind}, ts timestamp, block int"
+#: Days of a match, and of a block; a block reaches over two matches. Files hold several blocks.
+MATCH_DAYS, BLOCK_DAYS, FILE_BLOCKS = 4, 16, 4
+#: The day of a row without an instant; it matches nothing and is kept.
+NO_DAY = -1_000_000
 
 
-def matches(orders: DataFrame, trades: DataFrame) -> DataFrame:
-    """Same symbol and quantity, trade within four days after the order.
+def _block(day: Column) -> Column:
+    return F.floor(day / BLOCK_DAYS).cast("int")
 
-    Trades go to every day bucket that an order able to match them can lie in, so the join has
-    the day among its keys.
-    """
-    day = lambda c: F.unix_date(F.to_date(c))
-    o = orders.withColumn("day", day("created_at"))
-    t = trades.withColumn("day", F.explode(F.sequence(day("ts") - MATCH_DAYS, day("ts"))))
-    late = f"ts > created_at and ts < created_at + interval {MATCH_DAYS} days"
-    return o.join(t, ["symbol", "quantity", "day"]).filter(late).select(*MATCHED)
+
+def _file(block: Column) -> Column:
+    return F.floor(block / FILE_BLOCKS).cast("int")
 
 
-def run_match(orders: DataFrame, trades: DataFrame, folder: str, *, outer: bool = False) -> DataFrame:
-    """Order and trade pairs, whenever either side arrives.
+def _at(rows: DataFrame, places: DataFrame) -> DataFrame:
+    same = F.expr("r.symbol <=> p.symbol and r.quantity <=> p.quantity and r.block = p.block")
+    return rows.alias("r").join(places.alias("p"), same, "left_semi")
 
-    Both sides are kept as written parts. A micro-batch matches its orders with all trades so
-    far and its trades with the orders before it, so each pair is found once and neither late
-    rows nor the place of a cut change the result. With ``outer`` orders without a trade so far
-    come too; they follow from the stored rows and leave when a trade arrives.
+
+def run_match(orders: DataFrame, trades: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Orders matched to trades, unique both ways, whenever either side arrives.
+
+    Returns (one row per trade, one row per order), both with ``trade_id, order_id, candidates,
+    status``, as the batch operator has them for all rows that ever came.
+
+    Whether a row matches depends on rows of its symbol and quantity within the window and on
+    their windows. A batch therefore stores its rows and judges anew the blocks of days within
+    a window of them: a sweep over those blocks and their neighbours - counts only, no pairs -
+    replaces the verdicts there. Neither late rows nor the place of a cut change the result.
     """
     spark = orders.sparkSession
     kind = trades.schema["trade_id"].dataType.simpleString()
-    sides = {
-        "order": VersionedTable(spark, f"{folder}/orders", ORDER_SCHEMA),
-        "trade": VersionedTable(
-            spark, f"{folder}/trades", TRADE_SCHEMA.replace("decimal(38,0)", kind)
+    at = _file(F.col("block"))
+    stored = {
+        "order": LevelledTable(spark, f"{folder}/orders", ORDER_SCHEMA, together, bucket=at),
+        "trade": LevelledTable(
+            spark, f"{folder}/trades", TRADE_SCHEMA.format(kind=kind), together, bucket=at
+        ),
+    }
+    verdict = "candidates bigint, status string"
+    results = {
+        "order": LevelledTable(
+            spark, f"{folder}/order-verdicts", f"order_id string, trade_id {kind}, {verdict}", newest("order_id")
+        ),
+        "trade": LevelledTable(
+            spark, f"{folder}/trade-verdicts", f"trade_id {kind}, order_id string, {verdict}", newest("trade_id")
         ),
     }
-    pairs = VersionedTable(
-        spark,
-        f"{folder}/pairs",
-        f"order_id string, trade_id {kind}, symbol string, created_at timestamp, ts timestamp",
-    )
     none = F.lit(None)
     both = orders.select(
         "symbol", F.col("quantity").cast("double"), F.col("order_id").cast("string"), "created_at",
@@ -276,97 +307,64 @@ def run_match(orders: DataFrame, trades: DataFrame, folder: str, *, outer: bool
             F.lit("trade").alias("side"),
         )
     )
-
-    def rows(side: str, through: int) -> DataFrame:
-        return sides[side].versions(before=through + 1)
+    day = F.coalesce(F.unix_date(F.to_date(F.coalesce("created_at", "ts"))), F.lit(NO_DAY))
+    around = F.array_distinct(F.array(_block(day - MATCH_DAYS), _block(day), _block(day + MATCH_DAYS)))
 
     def match(batch: DataFrame, batch_id: int) -> None:
-        for side, table in sides.items():
-            columns = [c.split()[0] for c in table.schema.split(", ")]
-            table.write(batch.filter(F.col("side") == side).select(*columns), batch_id)
-        new_orders = rows("order", batch_id).filter(F.col("batch") == batch_id)
-        new_trades = rows("trade", batch_id).filter(F.col("batch") == batch_id)
-        found = matches(new_orders.drop("batch"), rows("trade", batch_id).drop("batch"))
-        back = matches(rows("order", batch_id - 1).drop("batch"), new_trades.drop("batch"))
-        pairs.write(found.unionByName(back), batch_id)
+        batch.persist()
+        for side, table in stored.items():
+            own = batch.filter(F.col("side") == side).withColumn("block", _block(day))
+            table.write(own, batch_id)
+        stale = batch.select("symbol", "quantity", F.explode(around).alias("block")).distinct()
+        stale.persist()
+        beside = F.explode(F.sequence(F.col("block") - 1, F.col("block") + 1))
+        near = stale.select("symbol", "quantity", beside.alias("block")).distinct().persist()
+        files = [r[0] for r in near.select(at).distinct().collect()]
+        o, t = (_at(stored[s].rows(batch_id + 1, files), near) for s in ("order", "trade"))
+        counts = live.interval_counts(o, t, window=f"{MATCH_DAYS} days", carried=["block"]).persist()
+        for side, judge in (("trade", live.matched_trades), ("order", live.matched_orders)):
+            verdicts = judge(counts, trades.schema["trade_id"].dataType, carried=["block"])
+            results[side].write(_at(verdicts, stale), batch_id)
+        for held in (counts, near, stale, batch):
+            held.unpersist()
 
     run_available(both.writeStream.foreachBatch(match), f"{folder}/checkpoint")
-    found = pairs.versions().select(*MATCHED)
-    if not outer:
-        return found
-    alone = sides["order"].versions().join(found.select("order_id").distinct(), "order_id", "left_anti")
-    return found.unionByName(
-        alone.withColumns({"trade_id": none.cast(kind), "ts": none.cast("timestamp")}).select(*MATCHED)
-    )
+    return results["trade"].rows().drop("batch"), results["order"].rows().drop("batch")
 
 
 # ---------------------------------------------------------------- failure watch
 
 
-class StreakWatch(StatefulProcessor):
-    """Length of the current failure run per key, carried across micro-batches."""
-
-    def __init__(self, threshold: int = 3):
-        self.threshold = threshold
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.streak = handle.getValueState("streak", "length long")
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        held = self.streak.get() if self.streak.exists() else None
-        before = int(held[0]) if held else 0
-        frame = pd.concat(list(rows)).sort_values(["ts", "event_id"], ignore_index=True)
-        failed = frame["failed"].astype(bool)
-        island = (~failed).cumsum()
-        run = failed.astype("int64").groupby(island).cumsum()
-        # Rows ahead of the first success continue the stored run.
-        run = run.where(~failed | (island > 0), run + before)
-        previous = run.shift(1, fill_value=before)
-        event = pd.Series("ok", index=frame.index)
-        event[failed & (run == self.threshold)] = "alert"
-        event[~failed & (previous >= self.threshold)] = "recovered"
-        self.streak.update((int(run.iloc[-1]),))
-        yield pd.DataFrame(
-            {
-                "user_id": key[0],
-                "event_id": frame["event_id"],
-                "failed": failed,
-                "streak": run,
-                "event": event,
-            }
-        )
-
-    def close(self) -> None:
-        pass
-
-
 STREAK_SCHEMA = "user_id bigint, event_id bigint, failed boolean, streak bigint, event string"
+CARRY_SCHEMA = "user_id bigint, streak bigint"
 
 
 def run_streaks(events: DataFrame, failed: Column, folder: str, *, threshold: int = 3) -> DataFrame:
-    """Alert on the third consecutive failure, once per outage, and on recovery."""
-    spark = events.sparkSession
-    setting = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, ROCKSDB)
-    try:
-        watched = (
-            events.select("user_id", "ts", "event_id", failed.alias("failed"))
-            .groupBy("user_id")
-            .transformWithStateInPandas(
-                statefulProcessor=StreakWatch(threshold),
-                outputStructType=STREAK_SCHEMA,
-                outputMode="Append",
-                timeMode="None",
-            )
-        )
-        writer = (
-            watched.writeStream.outputMode("append")
-            .format("parquet")
-            .option("path", f"{folder}/streaks")
-        )
-        run_available(writer, f"{folder}/checkpoint")
-    finally:
-        spark.conf.set(setting, before)
-    return spark.read.schema(STREAK_SCHEMA).parquet(f"{folder}/streaks")
+    """Alert on the third consecutive failure, once per outage, and on recovery.
 
+    Events arrive in their order. The state is one number a user: how many failures the
+    latest run has so far. A batch is scanned in hour blocks, so a user with a third of all events
+    spreads over tasks, and the stored run counts until the first success in the batch.
+    """
+    spark = events.sparkSession
+    out = LevelledTable(spark, f"{folder}/streaks", STREAK_SCHEMA, together)
+    carry = LevelledTable(
+        spark, f"{folder}/carry", CARRY_SCHEMA, newest("user_id"), bucket=hash_bucket("user_id")
+    )
+    watched = events.select("user_id", "ts", "event_id", failed.alias("failed"))
+
+    def watch(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        held = carry.rows_of(batch.select("user_id"), batch_id).select("user_id", "streak")
+        judged = live.failure_streaks(
+            batch, "user_id", "ts", F.col("failed"), "event_id",
+            threshold=threshold, block=F.date_trunc("hour", "ts"), carried=held,
+        ).persist()
+        out.write(judged, batch_id)
+        last = F.max_by("streak", F.struct("ts", "event_id")).alias("streak")
+        carry.write(judged.groupBy("user_id").agg(last), batch_id)
+        judged.unpersist()
+        batch.unpersist()
+
+    run_available(watched.writeStream.foreachBatch(watch), f"{folder}/checkpoint")
+    return out.rows().drop("batch")

@@ -1,12 +1,15 @@
 """Streams over several files: restarts, late data, repeats and conflicts."""
 
 import datetime as dt
+import os
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from quantframe.operators import ledger, live
-from quantframe.streaming import jobs
+from quantframe.streaming import jobs, tables
 
 SCHEMA = (
     "portfolio string, symbol string, ts timestamp, session date, quantity double, price double,"
@@ -127,33 +130,185 @@ def test_collapse_counts_late_fills_at_any_cut(spark, feed, rows, cuts):
     assert rows(got, *columns) == rows(want, *columns)
 
 
-@pytest.mark.parametrize("per_batch", [1, 100])
-def test_matches_do_not_depend_on_lateness_or_cuts(spark, tmp_path, per_batch):
-    sides = {
-        "order": ("symbol string, quantity double, order_id string, created_at timestamp", "o"),
-        "trade": ("symbol string, quantity double, trade_id bigint, ts timestamp", 0),
-    }
-    day = lambda n: dt.datetime(2020, 1, 1) + dt.timedelta(days=n)
-    # Days of the orders and trades that arrive in turn; the last ones are weeks late.
-    arrivals = [([0], [1]), ([40], [41]), ([5, 20], []), ([], [8]), ([10], [13.5, 14])]
+SIDES = {
+    "order": "symbol string, quantity double, order_id string, created_at timestamp",
+    "trade": "symbol string, quantity double, trade_id bigint, ts timestamp",
+}
+
+
+def day(n):
+    return None if n is None else dt.datetime(2020, 1, 1) + dt.timedelta(days=n)
+
+
+def matcher(spark, tmp_path, per_batch=1):
+    """(drop rows of a side into its folder, run the job over what has come)."""
 
     def stream(side):
-        schema, _ = sides[side]
         return jobs.file_stream(
-            spark, str(tmp_path / side), "*.parquet", spark.createDataFrame([], schema).schema,
+            spark, str(tmp_path / side), "*.parquet", spark.createDataFrame([], SIDES[side]).schema,
             files_per_batch=per_batch,
         )
 
-    def drop(side, days):
-        schema, _ = sides[side]
-        rows = [("a", 1.0, f"o{d}" if side == "order" else int(d * 10), day(d)) for d in days]
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / side))
+    def drop(side, rows):
+        spark.createDataFrame(rows, SIDES[side]).coalesce(1).write.mode("append").parquet(
+            str(tmp_path / side)
+        )
+
+    return drop, lambda: jobs.run_match(stream("order"), stream("trade"), str(tmp_path / "out"))
 
+
+@pytest.mark.parametrize("per_batch", [1, 100])
+def test_matches_do_not_depend_on_lateness_or_cuts(spark, tmp_path, per_batch):
+    drop, run = matcher(spark, tmp_path, per_batch)
+    # Days of the orders and trades that arrive in turn; the last ones are weeks late.
+    arrivals = [([0], [1]), ([40], [41]), ([5, 20], []), ([], [8]), ([10], [13.5, 14])]
     for orders, trades in arrivals:
-        drop("order", orders)
-        drop("trade", trades)
+        drop("order", [("a", 1.0, f"o{d}", day(d)) for d in orders])
+        drop("trade", [("a", 1.0, int(d * 10), day(d)) for d in trades])
         if per_batch == 1:
-            jobs.run_match(stream("order"), stream("trade"), str(tmp_path / "out"))
-    got = jobs.run_match(stream("order"), stream("trade"), str(tmp_path / "out"), outer=True)
-    pairs = sorted((r.order_id, -1 if r.trade_id is None else r.trade_id) for r in got.collect())
-    assert pairs == [("o0", 10), ("o10", 135), ("o20", -1), ("o40", 410), ("o5", 80)]
+            run()
+    trades, orders = run()
+    got = sorted((r.order_id, r.trade_id, r.status) for r in orders.collect())
+    assert got == [
+        ("o0", 10, "matched"), ("o10", 135, "matched"), ("o20", None, "unmatched"),
+        ("o40", 410, "matched"), ("o5", 80, "matched"),
+    ]
+    assert sorted((r.trade_id, r.status) for r in trades.collect()) == [
+        (10, "matched"), (80, "matched"), (135, "matched"), (140, "unmatched"), (410, "matched"),
+    ]
+
+
+@pytest.mark.parametrize("cuts", [[80], [30, 55, 80]])
+def test_the_stream_of_matches_equals_the_batch(spark, tmp_path, cuts):
+    rnd = random.Random(7)
+    pick = lambda: (rnd.choice([*"ab", None]), rnd.choice([1.0, 2.0]))
+    orders = [(*pick(), f"o{i}", day(rnd.uniform(0, 90))) for i in range(79)] + [("a", 1.0, "o79", None)]
+    trades = [(*pick(), i, day(rnd.uniform(0, 90))) for i in range(79)] + [("a", 1.0, 79, None)]
+    rnd.shuffle(orders)
+    rnd.shuffle(trades)
+    drop, run = matcher(spark, tmp_path)
+    start = 0
+    for end in cuts:
+        drop("order", orders[start:end])
+        drop("trade", trades[start:end])
+        trades_now, _ = run()
+        start = end
+        want = live.match_orders_to_trades(
+            spark.createDataFrame(orders[:end], SIDES["order"]),
+            spark.createDataFrame(trades[:end], SIDES["trade"]),
+        )
+        columns = ["trade_id", "order_id", "candidates", "status"]
+        expected = {tuple(r) for r in want.select(*columns).collect()}
+        assert {tuple(r) for r in trades_now.select(*columns).collect()} == expected
+    assert {s for *_, s in expected} == {"matched", "ambiguous", "unmatched"}
+
+
+def test_a_second_order_makes_an_old_match_ambiguous(spark, tmp_path):
+    drop, run = matcher(spark, tmp_path)
+    drop("order", [("a", 1.0, "o1", day(1))])
+    drop("trade", [("a", 1.0, 1, day(3))])
+    assert [r.status for r in run()[0].collect()] == ["matched"]
+    drop("order", [("a", 1.0, "o2", day(2)), ("b", 1.0, "o3", day(2))])
+    drop("trade", [])
+    trades, orders = run()
+    assert [(r.status, r.candidates) for r in trades.collect()] == [("ambiguous", 2)]
+    assert sorted((r.order_id, r.status) for r in orders.collect()) == [
+        ("o1", "ambiguous"), ("o2", "ambiguous"), ("o3", "unmatched"),
+    ]
+
+
+# Streaks of many users
+
+
+@pytest.mark.parametrize("cuts", [[600], [250, 251, 600]])
+def test_streaks_equal_the_batch_though_one_user_has_a_third(spark, tmp_path, cuts):
+    rnd = random.Random(3)
+    schema = "user_id long, ts timestamp, event_id long, bad boolean"
+    rows = [
+        (0 if i % 3 == 0 else rnd.randint(1, 40), day(i / 200), i, rnd.random() < 0.7) for i in range(600)
+    ]
+    folder, start = str(tmp_path / "in"), 0
+    for end in cuts:
+        spark.createDataFrame(rows[start:end], schema).coalesce(1).write.mode("append").parquet(folder)
+        start = end
+        events = jobs.file_stream(spark, folder, "*.parquet", spark.createDataFrame([], schema).schema)
+        got = jobs.run_streaks(events, F.col("bad"), str(tmp_path / "out"))
+    want = live.failure_streaks(
+        spark.createDataFrame(rows, schema), "user_id", "ts", F.col("bad"), "event_id"
+    )
+    columns = ["user_id", "event_id", "failed", "streak", "event"]
+    assert sorted(map(tuple, got.select(*columns).collect())) == sorted(
+        map(tuple, want.select(*columns).collect())
+    )
+    assert {r.event for r in got.collect()} == {"ok", "alert", "recovered"}
+    assert "Pandas" not in want._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("cuts", [(60,), (1, 2, 31, 60)])
+def test_positions_equal_the_fold_at_any_cut(spark, feed, rows, cuts):
+    drop, stream, out = feed
+    start = 0
+    for end in cuts:
+        drop(fills(spark, range(start, end)))
+        start = end
+        got = jobs.run_positions(stream(), out)
+    cols = ("portfolio", "symbol", "quantity", "avg_cost", "realized", "commission", "fills")
+    assert rows(got, *cols) == rows(ledger.positions(fills(spark, range(60))), *cols)
+
+
+# Levelled tables
+
+
+def opened(table):
+    return len(table.cover())
+
+
+def test_files_read_stay_logarithmic_in_batches(spark, tmp_path):
+    table = tables.LevelledTable(spark, str(tmp_path / "t"), "k int, n bigint", tables.summed("k"), fanout=4)
+    one = spark.createDataFrame([(1, 1)], "k int, n bigint").coalesce(1).persist()
+    most = 0
+    for batch in range(200):
+        table.write(one, batch)
+        if batch % 20 == 19 or batch in (62, 63, 64):
+            most = max(most, opened(table))
+            assert [(r.k, r.n, r.batch) for r in table.rows().collect()] == [(1, batch + 1, batch)]
+    assert most <= 3 * 4  # three of each of the levels 1, 4, 16 and 64
+    assert len(os.listdir(tmp_path / "t")) <= 3 * 4 + 5
+
+
+@pytest.mark.parametrize("batch", [6, 7, 8])
+def test_a_replayed_batch_changes_nothing(spark, tmp_path, batch):
+    def write(table, n):
+        table.write(spark.createDataFrame([(n % 3, n), (3, n)], "k int, n bigint"), n)
+
+    table = tables.LevelledTable(
+        spark, str(tmp_path / "t"), "k int, n bigint", tables.newest("k"),
+        bucket=tables.hash_bucket("k", buckets=2), fanout=2,
+    )
+    for n in range(batch + 1):
+        write(table, n)
+    want = sorted(map(tuple, table.rows().collect()))
+    assert want == sorted([(n % 3, n, n) for n in range(batch - 2, batch + 1)] + [(3, batch, batch)])
+    before = sorted(map(tuple, table.rows(batch).collect()))
+    write(table, batch)
+    assert sorted(map(tuple, table.rows().collect())) == want
+    assert sorted(map(tuple, table.rows(batch).collect())) == before
+    # A merge that died leaves a folder without its mark of success; the replay makes it anew.
+    for name in os.listdir(tmp_path / "t"):
+        if name.endswith(f"-{batch:012d}"):
+            os.remove(tmp_path / "t" / name / "_SUCCESS")
+    assert sorted(map(tuple, table.rows().collect())) == before
+    write(table, batch)
+    assert sorted(map(tuple, table.rows().collect())) == want
+
+
+def test_only_the_buckets_of_the_keys_are_read(spark, tmp_path):
+    table = tables.LevelledTable(
+        spark, str(tmp_path / "t"), "k int, n bigint", tables.newest("k"),
+        bucket=tables.hash_bucket("k", buckets=8),
+    )
+    table.write(spark.range(200).selectExpr("cast(id as int) as k", "id as n"), 0)
+    held = table.rows_of(spark.createDataFrame([(5,), (None,)], "k int"), 1)
+    assert [(r.k, r.n) for r in held.collect()] == [(5, 5)]
+    plan = table._read([(0, 0)], [3])._jdf.queryExecution().toString()
+    assert re.search(r"PartitionFilters: \[isnotnull\(bucket#\d+\), \(bucket#\d+ = 3\)\]", plan)
