@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import functions as F
 
 from quantframe.catalog.registry import query
@@ -153,15 +151,14 @@ def _(t):
     "B10_staleness",
     "newest:d today:d behind:l fresh:b",
     """select newest, today, greatest(n - 1, 0) as behind, greatest(n - 1, 0) <= 3 as fresh
-       from (select max(b.session) as newest, date '2001-08-15' as today,
-               (select count(*) from sessions s
-                where s.session between (select max(session) from bars where session < date '2001-08-01')
-                  and date '2001-08-15') as n
-             from bars b where b.session < date '2001-08-01') t""",
+       from (select (select max(cast(o_orderdate as date)) from orders) as newest,
+               (select max(session) from sessions) as today,
+               (select count(*) from sessions where session >=
+                  (select max(cast(o_orderdate as date)) from orders)) as n) t""",
 )
 def _(t):
-    stored = t.ticks.filter(F.col("session") < F.lit(dt.date(2001, 8, 1)))
-    return cal.staleness(stored, t.sessions, F.lit(dt.date(2001, 8, 15)))
+    ordered = t.raw("orders").select(F.col("o_orderdate").cast("date").alias("session"))
+    return cal.staleness(ordered, t.sessions)
 
 
 def start_grid(t):

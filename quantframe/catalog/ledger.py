@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from quantframe.catalog.ledger_sql import BOOK, IMPACT, PNL, POSITIONS, segment_ctes
 from quantframe.catalog.registry import query
 from quantframe.catalog.signals import month_decisions
-from quantframe.catalog.sizing import BASE, INITIAL_CASH
+from quantframe.catalog.sizing import BASE
+from quantframe.sources.testdata import INITIAL_CASH
 from quantframe.functions import literal_grid
 from quantframe.operators import costs, ledger
-from quantframe.operators.bars import filled_panel, latest_closes
 from quantframe.plans import momentum as mom
 from quantframe.plans.nav import segment_nav
 from quantframe.sources.rates import margin_curve
@@ -20,14 +20,6 @@ def margin_of(t):
     return margin_curve(t.rates)
 
 
-def book_of(t):
-    panel = filled_panel(t.daily, t.sessions)
-    held = ledger.holdings(t.fills, t.sessions)
-    lines = ledger.marked_lines(held, panel)
-    marks = ledger.mark_book(lines, ledger.cash_at_sessions(t.fills, t.sessions, INITIAL_CASH))
-    return panel, held, lines, marks
-
-
 def last_closes(t):
     return t.daily.groupBy("symbol").agg(F.max_by("close", "session").alias("close"))
 
@@ -80,7 +72,7 @@ def _(t):
     BOOK,
 )
 def _(t):
-    return book_of(t)[3]
+    return t.marks
 
 
 @query(
@@ -91,7 +83,7 @@ def _(t):
     BOOK,
 )
 def _(t):
-    return ledger.weight_lines(book_of(t)[3])
+    return ledger.weight_lines(t.lines, t.marks)
 
 
 @query(
@@ -115,9 +107,8 @@ def _(t):
     PNL,
 )
 def _(t):
-    _, _, _, marks = book_of(t)
-    cash = t.fills.select("portfolio").distinct().withColumn("amount", F.lit(1234.5))
-    return ledger.attribution(pnl_of(t), ledger.weight_lines(marks), marks, cash)
+    cash = t.flows.select("portfolio").distinct().withColumn("amount", F.lit(1234.5))
+    return ledger.attribution(pnl_of(t), ledger.weight_lines(t.lines, t.marks), t.marks, cash)
 
 
 @query(
@@ -128,10 +119,8 @@ def _(t):
     PNL,
 )
 def _(t):
-    _, _, _, marks = book_of(t)
-    return ledger.concentration(
-        ledger.attribution(pnl_of(t), ledger.weight_lines(marks), marks)
-    )
+    weights = ledger.weight_lines(t.lines, t.marks)
+    return ledger.concentration(ledger.attribution(pnl_of(t), weights, t.marks))
 
 
 @query(
@@ -146,8 +135,7 @@ def _(t):
     BOOK,
 )
 def _(t):
-    panel, held, _, _ = book_of(t)
-    return ledger.pnl_decomposition(held, panel)
+    return ledger.pnl_decomposition(t.held, t.panel)
 
 
 def calendar_days(t):
@@ -172,7 +160,7 @@ def calendar_days(t):
     BOOK,
 )
 def _(t):
-    balances = ledger.cash_at_sessions(t.fills, t.sessions, INITIAL_CASH)
+    balances = ledger.cash_at_sessions(t.flows, t.sessions, INITIAL_CASH)
     return ledger.interest_accrual(balances, calendar_days(t), t.rates, margin_of(t))
 
 
@@ -194,8 +182,7 @@ def _(t):
     BOOK,
 )
 def _(t):
-    _, _, lines, marks = book_of(t)
-    return ledger.carry_costs(lines, marks, t.rates, margin_of(t))
+    return ledger.carry_costs(t.lines, t.marks, t.rates, margin_of(t))
 
 
 @query(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quantframe.catalog.ledger_sql import BOOK
 from quantframe.catalog.registry import query
-from quantframe.catalog.sizing import INITIAL_CASH
+from quantframe.sources.testdata import INITIAL_CASH
 from quantframe.operators import ledger, live
 
 SIDES = {

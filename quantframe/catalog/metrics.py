@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import functions as F
 
-from quantframe.catalog.ledger import ADV, book_of
+from quantframe.catalog.ledger import ADV
 from quantframe.catalog.ledger_sql import BOOK
 from quantframe.catalog.registry import query
 from quantframe.catalog.signals import SHARED
-from quantframe.catalog.sizing import INITIAL_CASH
+from quantframe.sources.testdata import INITIAL_CASH
 from quantframe.operators import calendars as cal
 from quantframe.operators import metrics, signals
-from quantframe.operators.asof import rate_on
 
 CURVE = {
     "curve": """select *, nav / peak - 1 as dd, nav >= peak as at_peak,
@@ -226,7 +223,7 @@ TRADING = {**BOOK, "advs": ADV}
     BOOK,
 )
 def _(t):
-    _, _, _, marks = book_of(t)
+    marks = t.marks
     financing = t.fills.select("portfolio", (-F.col("commission") * 0.5).alias("interest"))
     return metrics.trading_stats(marks, t.fills, t.fills.filter("slippage = 0"), financing)
 
@@ -277,7 +274,7 @@ def _(t):
     BOOK,
 )
 def _(t):
-    return book_of(t)[3]
+    return t.marks
 
 
 @query(
@@ -296,8 +293,7 @@ def _(t):
 def _(t):
     from quantframe.operators.ledger import weight_lines
 
-    _, _, _, marks = book_of(t)
-    return metrics.allocation_topk(weight_lines(marks), marks)
+    return metrics.allocation_topk(weight_lines(t.lines, t.marks), t.marks)
 
 
 @query(
@@ -375,7 +371,7 @@ def _(t):
     BOOK,
 )
 def _(t):
-    _, _, _, marks = book_of(t)
+    marks = t.marks
     return metrics.weekly_summary(
         marks, t.order_book, t.fills, t.fills.filter("slippage = 0"), INITIAL_CASH
     )
@@ -387,22 +383,22 @@ def _(t):
     " positions:l pending:l fills:l behind:l",
     """select m.*, greatest((m.high_water_mark - m.nav) / m.high_water_mark, 0) as drawdown,
               coalesce(p.n, 0) as pending, f.n as fills,
-              greatest((select count(*) from sessions where session >= (select max(session) from bars)
-                and session <= date '2001-12-31') - 1, 0) as behind
+              greatest((select count(*) from sessions where session >=
+                (select max(cast(o_orderdate as date)) from orders)) - 1, 0) as behind
        from (select portfolio, max(session) as last_session, count(*) as sessions_recorded,
                max_by(nav, session) as nav, max_by(cash, session) as cash,
                max(nav) as high_water_mark, max_by(holdings, session) as positions
              from marks group by 1) m
-       left join (select portfolio, count(*) as n from order_book
-                  where created_at >= timestamp '2001-10-01' group by 1) p
+       left join (select portfolio, count(*) as n from fills where venue <> 'F' group by 1) p
          on p.portfolio = m.portfolio
        left join (select portfolio, count(*) as n from fills group by 1) f
          on f.portfolio = m.portfolio""",
     BOOK,
 )
 def _(t):
-    _, _, _, marks = book_of(t)
-    pending = t.order_book.filter(F.col("created_at") >= F.lit("2001-10-01").cast("timestamp"))
+    marks = t.marks
+    pending = t.fills.filter("venue <> 'F'")  # not yet on a statement
     counts = t.fills.groupBy("portfolio").agg(F.count(F.lit(1)).alias("fills"))
-    late = cal.staleness(t.ticks, t.sessions, F.lit(dt.date(2001, 12, 31)))
+    ordered = t.raw("orders").select(F.col("o_orderdate").cast("date").alias("session"))
+    late = cal.staleness(ordered, t.sessions)
     return metrics.status_rollup(marks, pending, counts, late)

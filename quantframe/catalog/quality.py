@@ -61,7 +61,8 @@ def _(t):
     "symbol:s severity:s detail:s missing:l",
     """select symbol, case when count(*) > 5 then 'error' else 'warn' end as severity,
               concat(count(*), ' absent: ', string_agg(case when r <= 5 then cast(session as varchar)
-                end, ', ' order by session)) as detail, count(*) as missing
+                end, ', ' order by session),
+                case when count(*) > 5 then concat(' (+', count(*) - 5, ' more)') else '' end) as detail, count(*) as missing
        from (select *, row_number() over (partition by symbol order by session) as r from absent) t
        group by 1""",
     MISSING,

@@ -10,7 +10,6 @@ from quantframe.catalog.registry import query
 from quantframe.catalog.signals import SHARED, month_decisions
 from quantframe.functions import quantize, quantize_cash, round_to_lot, safe_div
 from quantframe.operators import bars as ops
-from quantframe.operators import calendars as cal
 from quantframe.operators.decisions import at_decisions
 from quantframe.sources.feeds import ExecutionFeed, HistoricalFeed
 

@@ -15,7 +15,6 @@ from quantframe.plans import momentum as mom
 from quantframe.plans import strategies
 from quantframe.session import shared
 
-INITIAL_CASH = 100_000_000.0
 MONTHS = "select as_of from ends"
 BASE = {**SHARED, **momentum_ctes("m_", MONTHS, [{}])}
 OFFSETS = """select s.session as as_of, cast(o.k as varchar) as sleeve from ends
@@ -280,17 +279,11 @@ def _(t):
 
 def books(t):
     """Holdings, marks and prices on month-end sessions, keyed by as_of."""
-    from quantframe.operators.bars import filled_panel
-
-    panel = filled_panel(t.daily, t.sessions)
-    held = ledger.holdings(t.fills, t.sessions)
-    cash = ledger.cash_at_sessions(t.fills, t.sessions, INITIAL_CASH)
-    marks = ledger.mark_book(ledger.marked_lines(held, panel), cash)
     ends = month_decisions(t)
     on = lambda df: df.withColumnRenamed("session", "as_of").join(
         ends, "as_of", "left_semi"
     )
-    return on(held), on(marks), on(panel)
+    return on(t.held), on(t.marks), on(t.panel)
 
 
 ORDERS_SQL = """
@@ -323,7 +316,7 @@ where fire"""
 def orders_of(t):
     held, marks, panel = books(t)
     # Which portfolio follows which strategy; targets fan out along this key.
-    follows = t.fills.select("portfolio").distinct().withColumn("variant", F.lit("base"))
+    follows = t.flows.select("portfolio").distinct().withColumn("variant", F.lit("base"))
     targets = mom.dual_momentum(t.daily, month_decisions(t), t.instruments)
     each = targets.join(follows, "variant").drop("variant")
     return each, held, marks, panel
@@ -430,9 +423,7 @@ TREND_UNITS = """select t.as_of, t.symbol, t.weight, q.close as price,
 
 
 def units_of(t):
-    from quantframe.operators.bars import filled_panel
-
-    panel = filled_panel(t.daily, t.sessions).withColumnRenamed("session", "as_of")
+    panel = t.panel.withColumnRenamed("session", "as_of")
     made = mom.dual_momentum(t.daily, month_decisions(t), t.instruments)
     return made.join(panel, ["as_of", "symbol"]).withColumn(
         "units", allocation.whole_units(F.col("weight"), F.lit(1e6), F.col("close"), 50.0)
@@ -467,12 +458,27 @@ def _(t):
     return allocation.margin_gate(targets, marks)
 
 
+#: What an entry takes of the budget, by strength: a large one that does not fit is skipped, and
+#: a smaller one behind it may still enter.
+PAIR_GROSS = "case when abs(zscore) >= 1.5 then 0.15e0 when abs(zscore) >= 0.9 then 0.3e0 else 0.1e0 end"
+
+
 @query(
     "F17_gross_budget",
     "session:d pair:s admitted:b",
-    """select session, pair, row_number() over (partition by session
-              order by abs(zscore) desc, pair) * 0.2e0 <= 0.40e0 + 1e-12 as admitted
-       from pair_ok where eligible and abs(zscore) >= 0.5""",
+    f"""with recursive queue as (
+         select session, pair, {PAIR_GROSS} as gross,
+           row_number() over (partition by session order by abs(zscore) desc, pair) as n
+         from pair_ok where eligible and abs(zscore) >= 0.5),
+       walk as (
+         select session, pair, n, gross <= 0.40e0 + 1e-12 as admitted,
+           case when gross <= 0.40e0 + 1e-12 then gross else 0e0 end as used
+         from queue where n = 1
+         union all
+         select q.session, q.pair, q.n, w.used + q.gross <= 0.40e0 + 1e-12,
+           case when w.used + q.gross <= 0.40e0 + 1e-12 then w.used + q.gross else w.used end
+         from walk w join queue q on q.session = w.session and q.n = w.n + 1)
+       select session, pair, admitted from walk""",
     SHARED,
 )
 def _(t):
@@ -482,7 +488,7 @@ def _(t):
             "session",
             "pair",
             F.abs("zscore").alias("strength"),
-            (F.abs("left_weight") + F.abs("right_weight")).alias("gross"),
+            F.expr(PAIR_GROSS).alias("gross"),
         ),
         budget=0.40,
     )

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from quantframe.operators.decisions import at_decisions
+
 
 def _one() -> WindowSpec:
     """The calendar is one group by construction; the constant key keeps that explicit."""
@@ -160,9 +162,14 @@ def stamp_at_session_close(
     )
 
 
-def staleness(newest: DataFrame, calendar: DataFrame, now: Column, tolerance: int = 3) -> DataFrame:
-    """Sessions between the newest stored bar and ``now``, and whether that is acceptable."""
-    late = newest.select(F.max("session").alias("newest"), now.alias("today"))
+def staleness(
+    newest: DataFrame, calendar: DataFrame, now: Column | None = None, tolerance: int = 3
+) -> DataFrame:
+    """Sessions between the newest stored row and ``now`` (the calendar's last session if not
+    given), and whether that is acceptable. One row meets the calendar."""
+    today = calendar.agg(F.max("session").alias("today")) if now is None else None
+    late = newest.agg(F.max("session").alias("newest"))
+    late = late.withColumn("today", now) if today is None else late.crossJoin(today)
     return (
         late.join(
             calendar.select("session"),
@@ -204,8 +211,9 @@ def exchange_local_to_utc(
 
 def investable(instruments: DataFrame, days: DataFrame, day: str = "session") -> DataFrame:
     """Instruments admitted by each day: the admission date is unset or already reached."""
-    dims = instruments.select("symbol", F.coalesce("available_from", F.lit("0001-01-01").cast("date")).alias("__from"))
-    return days.join(dims, F.col(day) >= F.col("__from")).select(day, "symbol")
+    listed = days.select(F.col(day).alias("as_of")).distinct()
+    admitted = instruments.select("symbol", F.coalesce("available_from", F.lit("0001-01-01").cast("date")).alias("__from"))
+    return at_decisions(admitted, listed, day="__from").select(F.col("as_of").alias(day), "symbol")
 
 
 def business_days_before(day: Column | str, n: int | Column) -> Column:

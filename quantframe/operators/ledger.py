@@ -186,14 +186,26 @@ def cash_ledger(
     )
 
 
+def session_flows(fills: DataFrame) -> DataFrame:
+    """Fills added up per position and session: quantity and change to cash.
+
+    Both add up further, so :func:`holdings` and :func:`cash_at_sessions` take these rows in the
+    place of fills; written once, they spare every later reader the fills.
+    """
+    return fills.groupBy(*POSITION, "session").agg(
+        F.sum("quantity").alias("quantity"), F.sum(cash_impact()).alias("impact")
+    )
+
+
 def cash_at_sessions(fills: DataFrame, calendar: DataFrame, initial: float) -> DataFrame:
-    """Cash of each portfolio at every session from its first fill on."""
+    """Cash of each portfolio at every session from its first fill (or session flow) on."""
+    impact = F.col("impact") if "impact" in fills.columns else cash_impact()
     w = Window.partitionBy("portfolio").orderBy("session").rowsBetween(
         Window.unboundedPreceding, 0
     )
     running = (
         fills.groupBy("portfolio", "session")
-        .agg(F.sum(cash_impact()).alias("__i"))
+        .agg(F.sum(impact).alias("__i"))
         .select(
             "portfolio",
             "session",
@@ -240,12 +252,11 @@ def unpriced(lines: DataFrame) -> DataFrame:
 
 
 def mark_book(lines: DataFrame, cash: DataFrame) -> DataFrame:
-    """NAV, cash, gross exposure, holdings count and weights per portfolio and session."""
+    """NAV, cash, gross exposure and holdings count per portfolio and session."""
     totals = lines.groupBy("portfolio", "session").agg(
         F.sum("value").alias("__mv"),
         F.sum(F.abs("value")).alias("__gross"),
         F.count(F.lit(1)).alias("holdings"),
-        F.map_from_entries(F.collect_list(F.struct("symbol", "value"))).alias("__values"),
         F.max(F.col("close").isNull()).alias("__missing"),
     )
     nav = F.when(
@@ -262,17 +273,18 @@ def mark_book(lines: DataFrame, cash: DataFrame) -> DataFrame:
             "cash",
             F.coalesce(div("__gross", "nav"), F.lit(0.0)).alias("gross_exposure"),
             F.coalesce("holdings", F.lit(0)).alias("holdings"),
-            F.when(
-                F.col("nav") > 0, F.transform_values("__values", lambda _, v: v / F.col("nav"))
-            ).alias("weights"),
         )
     )
 
 
-def weight_lines(marks: DataFrame) -> DataFrame:
-    return marks.select(
-        "portfolio", "session", F.explode("weights").alias("symbol", "weight")
-    ).filter("weight <> 0")
+def weight_lines(lines: DataFrame, marks: DataFrame) -> DataFrame:
+    """Weight of every line that is worth something in a book with a positive NAV."""
+    worth = marks.filter("nav > 0").select("portfolio", "session", "nav")
+    return (
+        lines.filter("value <> 0")
+        .join(worth, ["portfolio", "session"])
+        .select("portfolio", "session", "symbol", (F.col("value") / F.col("nav")).alias("weight"))
+    )
 
 
 # ---------------------------------------------------------------- attribution

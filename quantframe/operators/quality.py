@@ -60,10 +60,11 @@ def missing_issues(missing: DataFrame) -> DataFrame:
     ranked = missing.withColumn("__r", F.row_number().over(w))
     shown = F.array_sort(F.collect_list(F.when(F.col("__r") <= 5, F.col("session").cast("string"))))
     n = F.count(F.lit(1))
+    more = F.when(n > 5, F.concat(F.lit(" (+"), (n - 5).cast("string"), F.lit(" more)"))).otherwise("")
     return ranked.groupBy("symbol").agg(
         F.when(n > 5, "error").otherwise("warn").alias("severity"),
         F.lit("missing-sessions").alias("kind"),
-        F.concat(n.cast("string"), F.lit(" absent: "), F.array_join(shown, ", ")).alias("detail"),
+        F.concat(n.cast("string"), F.lit(" absent: "), F.array_join(shown, ", "), more).alias("detail"),
         n.alias("missing"),
     )
 

@@ -7,6 +7,7 @@ the derivations only name the columns they use.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,7 @@ from quantframe.session import shared
 
 SYMBOLS = 12
 PORTFOLIOS = 8
+INITIAL_CASH = 100_000_000.0
 
 #: A row's place among all rows, and its id: order, part, supplier and line number side by side
 #: in 38 digits, with room for 10^15 orders and 10^11 parts and suppliers.
@@ -73,22 +75,26 @@ class Tables:
         """Exchange calendar: traded weekdays, numbered in order."""
         from quantframe.operators.calendars import number_sessions
 
-        days = (
-            self.raw("lineitem")
-            .selectExpr("cast(l_shipdate as date) as session")
-            .distinct()
-            .filter("weekday(session) < 5")
+        # Bars that are stored already list the same days.
+        traded = (
+            self.daily.select("session")
+            if "daily" in self.__dict__
+            else self.raw("lineitem").selectExpr("cast(l_shipdate as date) as session")
         )
+        days = traded.distinct().filter("weekday(session) < 5")
         return shared(number_sessions(days))
 
     @cached_property
     def instruments(self) -> DataFrame:
         """One row per traded symbol; S10 and S11 trade around the clock and join late."""
         idx = "cast(substr(symbol, 2) as int)"
+        traded = (
+            self.daily.select("symbol")
+            if "daily" in self.__dict__
+            else self.raw("lineitem").selectExpr(f"{SYMBOL} as symbol")
+        )
         return (
-            self.raw("lineitem")
-            .selectExpr(f"{SYMBOL} as symbol")
-            .distinct()
+            traded.distinct()
             .selectExpr(
                 "symbol",
                 f"case when {idx} >= 10 then 'crypto' else 'etf' end as asset_class",
@@ -119,6 +125,47 @@ class Tables:
             "l_tax as tax",
         )
 
+    @cached_property
+    def flows(self) -> DataFrame:
+        """The fills per position and session, kept after their first derivation. Whoever reads
+        them reads bars or sessions too, so the bars are derived beside them."""
+        from quantframe.operators.ledger import session_flows
+
+        with ThreadPoolExecutor(1) as beside:
+            bars = beside.submit(lambda: self.daily)
+            out = shared(session_flows(self.fills), "flows")
+            bars.result()
+        return out
+
+    @cached_property
+    def panel(self) -> DataFrame:
+        """Last-known prices of every symbol and session."""
+        from quantframe.operators.bars import filled_panel
+
+        return filled_panel(self.daily, self.sessions)
+
+    @cached_property
+    def held(self) -> DataFrame:
+        """What every portfolio holds at every session."""
+        from quantframe.operators.ledger import holdings
+
+        return holdings(self.flows, self.sessions)
+
+    @cached_property
+    def lines(self) -> DataFrame:
+        """The market value of what is held."""
+        from quantframe.operators.ledger import marked_lines
+
+        return marked_lines(self.held, self.panel)
+
+    @cached_property
+    def marks(self) -> DataFrame:
+        """NAV, cash and exposure of every portfolio and session."""
+        from quantframe.operators.ledger import cash_at_sessions, mark_book
+
+        cash = cash_at_sessions(self.flows, self.sessions, INITIAL_CASH)
+        return mark_book(self.lines, cash)
+
     @cached_property
     def order_book(self) -> DataFrame:
         """Intentions to match to trades: 20 hours before even executions, else 5 days."""

@@ -601,3 +601,86 @@ def test_normal_functions_match_the_standard_library(spark):
     assert all(r["y"] == pytest.approx(NormalDist().inv_cdf(r["p"]), rel=1e-12) for r in out)
     edges = spark.createDataFrame([(0.0,), (1.0,), (None,)], "p double").select(normal_ppf("p").alias("y"))
     assert [r["y"] for r in edges.collect()] == [None] * 3
+
+
+def roll_by_walking(chain, cutoff_days=5):
+    """The roll map of one market, session by session."""
+    order = sorted({(c["last_trade"], c["contract"]) for c in chain})
+    cutoffs = []
+    for last, _ in order:
+        day, left = last, cutoff_days
+        while day.weekday() > 4:
+            day -= dt.timedelta(days=1)
+            left = left if day.weekday() > 4 else left - 1
+        while left:
+            day -= dt.timedelta(days=1)
+            left -= day.weekday() < 5
+        cutoffs.append(day)
+    volume = {(c["session"], c["contract"]): c["volume"] for c in chain}
+    days = sorted({c["session"] for c in chain})
+    i, wait, out = sum(last < days[0] for last, _ in order), False, []
+    for n, day in enumerate(days):
+        rolled = wait and i + 1 < len(order)
+        i += rolled
+        expired = day >= cutoffs[i] and i + 1 < len(order)
+        i += expired
+        wait = wait and not rolled and not expired
+        here = volume.get((day, order[i][1]))
+        after = volume.get((day, order[i + 1][1])) if i + 1 < len(order) else None
+        if here is not None and after is not None:
+            wait = after > here
+        reason = "initial" if n == 0 else "expiry" if expired else "volume" if rolled else "hold"
+        out.append((day, order[i][1], reason))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3, 4])
+def test_roll_map_by_composed_years_equals_the_walk(spark, seed):
+    import random
+
+    from quantframe.operators import futures
+
+    rnd = random.Random(seed)
+    rows = []
+    for market in "MN":
+        lasts = sorted({dt.date(2018, 1, 10) + dt.timedelta(days=rnd.randint(0, 1500)) for _ in range(14)})
+        for k in range(0, 1500, rnd.choice([1, 3, 40])):
+            day = dt.date(2018, 1, 1) + dt.timedelta(days=k)
+            for j, last in enumerate(lasts):
+                if rnd.random() < 0.5:
+                    rows.append((market, f"{market}{j:02d}", day, last, float(rnd.randint(1, 9)), 50.0))
+    chain = spark.createDataFrame(
+        rows, "market string, contract string, session date, last_trade date, volume double, multiplier double"
+    )
+    got = futures.roll_map(chain).collect()
+    for market in "MN":
+        mine = sorted((r.session, r.contract, r.roll_reason) for r in got if r.market == market)
+        own = [r.asDict() for r in chain.filter(F.col("market") == market).collect()]
+        assert mine == roll_by_walking(own)
+
+
+def test_missing_sessions_name_five_and_count_the_rest(spark):
+    from quantframe.operators import quality
+
+    days = [("A", dt.date(2020, 1, d)) for d in range(1, 9)] + [("B", dt.date(2020, 1, 1))]
+    got = {r.symbol: r for r in quality.missing_issues(spark.createDataFrame(days, "symbol string, session date")).collect()}
+    assert got["A"].detail.endswith("2020-01-05 (+3 more)") and got["A"].severity == "error"
+    assert got["B"].detail == "1 absent: 2020-01-01" and got["B"].severity == "warn"
+
+
+def test_a_candidate_that_does_not_fit_is_skipped(spark):
+    from quantframe.operators import allocation
+
+    rows = [(1, "a", 3.0, 0.3), (1, "b", 2.0, 0.2), (1, "c", 1.0, 0.1), (2, "a", 1.0, 0.5)]
+    df = spark.createDataFrame(rows, "session int, pair string, strength double, gross double")
+    got = {(r.session, r.pair): r.admitted for r in allocation.gross_budget(df, budget=0.4).collect()}
+    assert got == {(1, "a"): True, (1, "b"): False, (1, "c"): True, (2, "a"): False}
+
+
+def test_stale_up_to_the_calendars_last_session(spark):
+    from quantframe.operators import calendars
+
+    days = spark.createDataFrame([(dt.date(2020, 1, d),) for d in (2, 3, 6, 7, 8)], "session date")
+    newest = days.filter("session <= '2020-01-03'")
+    assert [(r.behind, r.fresh) for r in calendars.staleness(newest, days, tolerance=2).collect()] == [(3, False)]
+    assert [r.behind for r in calendars.staleness(newest, days, F.lit("2020-01-06").cast("date")).collect()] == [1]
