@@ -12,7 +12,8 @@ pieces in every run and on every executor, whatever else is in its partition.
 No piece crosses from a character to a following space, so every path passes the node before a
 run of spaces, and around line ends where no piece holds one. The lattice is cut there; filtering is
 done once for equal stretches and for many new ones at once, sampling for all stretches of
-many texts at once.
+many texts at once. A worker keeps what it filtered up to a bound; beyond it, stretches that came
+once go and those that came again stay.
 
 Encoding does not normalise: spaces become U+2581, everything else stays, and a literal U+2581
 in the text is spelled in bytes, so :func:`decode` gives back the text exactly. Defined
@@ -24,6 +25,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -37,7 +39,7 @@ MARK = "▁"
 _SLOT_SHIFT = np.uint64(44)
 _BASE, _BYTE_LOG = 0x9E3779B97F4A7C15, float(np.log(BYTE_WEIGHT))
 #: Characters sampled at once, and edges kept, per Python worker.
-GROUP, MOST_EDGES = 1 << 18, 2_000_000
+GROUP, MOST_EDGES = 1 << 18, 4_000_000
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -90,22 +92,54 @@ class Model:
                     found[h] = i, float(np.log(weight))
                 else:
                     found.setdefault(h, (-1, 0.0))
+        # Single characters hash to small numbers: one more factor spreads them over the slots.
+        found = {h * _BASE % (1 << 64): piece for h, piece in found.items()}
         self.hashes = np.array(sorted(found), dtype=np.uint64)
-        self.slots = np.zeros(1 << 20, dtype=bool)
-        self.slots[(self.hashes >> _SLOT_SHIFT).astype(np.intp)] = True
+        #: By a hash's first bits, where hashes with them begin and how many there are.
+        slot = (self.hashes >> _SLOT_SHIFT).astype(np.intp)
+        self.in_slot = np.bincount(slot, minlength=1 << 20).astype(np.int8)
+        self.slot_first = (np.cumsum(self.in_slot, dtype=np.int64) - self.in_slot).astype(np.int32)
         self.hash_id = np.array([found[int(h)][0] for h in self.hashes], dtype=np.int64)
         self.hash_log = np.array([found[int(h)][1] for h in self.hashes])
 
     def _clear(self) -> None:
-        #: Last node of a stretch.
+        #: Last node of a stretch, and how often a node ended a stretch of a text.
         self.ends: dict[str, int] = {}
+        self.uses = np.zeros(MOST_EDGES, dtype=np.int32)
         self.nodes = self.edges = 0
         #: Edges by the node they end in: cumulated share, node they start in, piece; and each
-        #: node's first edge.
-        self.share = np.empty(1 << 16)
-        self.back = np.empty(1 << 16, dtype=np.int64)
-        self.id = np.empty(1 << 16, dtype=np.int32)
-        self.first = np.empty(1 << 16, dtype=np.int64)
+        #: node's first edge. Untouched memory costs nothing.
+        self.share = np.empty(MOST_EDGES)
+        self.back = np.empty(MOST_EDGES, dtype=np.int32)
+        self.id = np.empty(MOST_EDGES, dtype=np.int32)
+        self.first = np.empty(MOST_EDGES, dtype=np.int64)
+        #: The character that a node belongs to: its own, or that of the byte chain it lies on.
+        self.head = np.empty(MOST_EDGES, dtype=np.int64)
+
+    def _forget(self) -> None:
+        """Drop the stretches used least, at least those used once, until half the room is free."""
+        names = list(self.ends)
+        ends = np.fromiter(self.ends.values(), dtype=np.int64, count=len(names))
+        sizes = np.fromiter(map(len, names), dtype=np.int64, count=len(names))
+        uses, first = self.uses[ends], np.append(self.first[: self.nodes], self.edges)
+        # All edges of a stretch but those of byte chains, which lie elsewhere, stand together.
+        weight = first[ends + 1] - first[ends + 1 - sizes]
+        order = np.argsort(-uses, kind="stable")
+        stays = order[(uses[order] > 1) & (np.cumsum(weight[order]) <= MOST_EDGES // 2)]
+        mark = np.zeros(self.nodes + 1, dtype=np.int64)
+        np.add.at(mark, ends[stays] + 1 - sizes[stays], 1)
+        np.add.at(mark, ends[stays] + 1, -1)
+        kept = np.cumsum(mark)[:-1].astype(bool)[self.head[: self.nodes]]
+        moved = np.cumsum(kept) - 1
+        many = np.diff(first)
+        of_edge = np.repeat(kept, many)
+        back = self.back[: self.edges][of_edge]
+        held = self.share[: self.edges][of_edge], np.where(back < 0, -1, moved[back]), self.id[: self.edges][of_edge]
+        many, head = many[kept], moved[self.head[: self.nodes][kept]]
+        self._clear()
+        self._append(*held, np.cumsum(many) - many, head)
+        self.nodes = len(many)
+        self.ends = dict(zip([names[i] for i in stays], moved[ends[stays]].tolist()))
 
     def _edges(self, codes: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, ...]:
         """(first character, last character, piece, log weight), walking all beginnings at once."""
@@ -113,10 +147,17 @@ class Model:
         at, h, size = np.arange(len(codes)), np.zeros(len(codes), dtype=np.uint64), 0
         while len(at):
             h = h * np.uint64(_BASE) + codes[at + size] + np.uint64(1)
-            may = self.slots[(h >> _SLOT_SHIFT).astype(np.intp)]
-            at, h = at[may], h[may]
-            where = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-            known = self.hashes[where] == h
+            spread = h * np.uint64(_BASE)
+            slot = (spread >> _SLOT_SHIFT).astype(np.intp)
+            may = np.flatnonzero(self.in_slot[slot])
+            at, h, spread, slot = at[may], h[may], spread[may], slot[may]
+            where = self.slot_first[slot]
+            known = self.hashes[where] == spread
+            for more in range(1, int(self.in_slot[slot].max(initial=0))):
+                other = np.flatnonzero(~known & (self.in_slot[slot] > more))
+                found = self.hashes[where[other] + more] == spread[other]
+                where[other[found]] += more
+                known[other[found]] = True
             i = np.where(known, self.hash_id[where], -1)
             hit = i >= 0
             firsts.append(at[hit])
@@ -141,12 +182,14 @@ class Model:
         spelled_whole[last[first == last]] = True
         bare = np.flatnonzero(~spelled_whole)
         more: list[tuple[int, int, int, float]] = []
+        owned: list[int] = []
         chained = n
         for k in bare.tolist():
             before = -1 if depth[k] == 0 else k - 1
             spelled = chr(int(codes[k])).encode()
             for b in spelled[:-1]:
                 more.append((before, chained, self.byte_id[b], 0.0))
+                owned.append(k)
                 before, chained = chained, chained + 1
             more.append((before, k, self.byte_id[spelled[-1]], _BYTE_LOG))
         # A chain is entered through its first node alone, so it counts when its character ends:
@@ -183,15 +226,16 @@ class Model:
         backs = np.where(start < 0, -1, start + base)
         many = np.bincount(last, minlength=chained)
         first = self.edges + np.cumsum(many) - many
-        self._append(cumulated[order], backs[order], piece[order], first)
+        head = np.concatenate((np.arange(n), np.array(owned, dtype=np.int64)))
+        self._append(cumulated[order], backs[order], piece[order], first, head + base)
         self.ends.update(zip(stretches, (np.cumsum(sizes) - 1 + base).tolist()))
         self.nodes += chained
 
-    def _append(self, shares, backs, ids, first) -> None:
+    def _append(self, shares, backs, ids, first, head) -> None:
         def put(name: str, at: int, new: np.ndarray) -> None:
             held = getattr(self, name)
             if at + len(new) > len(held):
-                more = np.empty(max(len(held), len(new)), dtype=held.dtype)
+                more = np.empty(max(len(held) // 4, len(new)), dtype=held.dtype)
                 held = np.concatenate((held[:at], more))
                 setattr(self, name, held)
             held[at : at + len(new)] = new
@@ -200,29 +244,36 @@ class Model:
         put("back", self.edges, backs)
         put("id", self.edges, ids)
         put("first", self.nodes, first)
+        put("head", self.nodes, head)
+        if self.nodes + len(first) > len(self.uses):
+            self.uses = np.append(self.uses, np.zeros(max(len(self.uses), len(first)), dtype=np.int32))
         self.edges += len(ids)
 
     def encode_all(self, texts: list[str], keys: np.ndarray) -> list[np.ndarray]:
         """One sampled segmentation of each text."""
         if self.edges > MOST_EDGES:
-            self._clear()
+            self._forget()
         cut, ends = [self.cut.findall(t) for t in texts], self.ends
-        new = {s for found in cut for s in found if s not in ends}
-        if new:
-            self.learn(sorted(new))
-        nodes = [ends[s] for found in cut for s in found]
-        many = [len(found) for found in cut]
-        if not nodes:
+        many = np.array([len(found) for found in cut])
+        stretches = list(chain.from_iterable(cut))
+        if not stretches:
             return [np.empty(0, dtype=np.int32) for _ in texts]
-        many = np.array(many)
+        nodes = list(map(ends.get, stretches))
+        missing = [k for k, at in enumerate(nodes) if at is None]
+        if missing:
+            self.learn(list(dict.fromkeys(stretches[k] for k in missing)))
+            for k in missing:
+                nodes[k] = ends[stretches[k]]
         first = np.cumsum(many) - many
         place = np.arange(len(nodes)) - np.repeat(first, many)
         seed = np.repeat(keys.view(np.uint64), many) + (place.astype(np.uint64) << np.uint64(24))
         at, who = np.array(nodes, dtype=np.int64), np.arange(len(nodes))
+        used = np.bincount(at)
+        self.uses[: len(used)] += used
         step = 0
         owners, taken, steps = [], [], []
         while len(who):
-            bits = mixed(seed[who] + np.uint64(step * 0x9E3779B97F4A7C15 % (1 << 64)))
+            bits = mixed(seed + np.uint64(step * 0x9E3779B97F4A7C15 % (1 << 64)))
             u = (bits >> np.uint64(11)).astype(float) * 2.0**-53
             edge = self.first[at]
             later = np.flatnonzero(u >= self.share[edge])
@@ -234,7 +285,7 @@ class Model:
             steps.append(np.full(len(who), step))
             at = self.back[edge]
             on = at >= 0
-            at, who, step = at[on], who[on], step + 1
+            at, who, seed, step = at[on], who[on], seed[on], step + 1
         owner, piece, back = map(np.concatenate, (owners, taken, steps))
         length = np.bincount(owner, minlength=len(nodes))
         start = np.cumsum(length) - length

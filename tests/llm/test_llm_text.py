@@ -401,3 +401,29 @@ def test_digest_columns(spark, tmp_path):
     assert row[4]["base_sha256"] == digest("") and row[4]["spans"] == ""
     row = {r["doc_id"]: r for r in QUERIES["op3_secret_scan"](spark, str(tmp_path)).collect()}
     assert row[3]["base_sha256"] == digest("assign:15:32") and row[3]["n_assign"] == 1
+
+
+def test_pieces_do_not_depend_on_what_was_kept_or_forgotten(monkeypatch):
+    import random
+
+    import numpy as np
+
+    from quantframe.llm import pieces
+    from quantframe.llm.queries_text import piece_model
+
+    rnd = random.Random(5)
+    words = ["the", "日本語", "ab🙂", "Straße", "x" * 40, "🙂🙃", "▁", "a\tb"]
+    texts = [
+        " ".join(rnd.choice(words) + str(rnd.randint(0, 30)) * rnd.randint(0, 2) for _ in range(40)) for _ in range(60)
+    ]
+    keys = np.arange(len(texts), dtype=np.int64)
+    whole = pieces.Model(piece_model())
+    want = [i.tolist() for i in whole.encode_all(texts, keys)]
+    monkeypatch.setattr(pieces, "MOST_EDGES", 1500)
+    tight, kept = pieces.Model(piece_model()), []
+    for k in range(len(texts)):
+        before = len(tight.ends)
+        got = tight.encode_all(texts[k : k + 1], keys[k : k + 1])[0].tolist()
+        kept.append(len(tight.ends) < before)
+        assert got == want[k] and tight.decode(got) == texts[k]
+    assert any(kept) and tight.ends
