@@ -170,7 +170,7 @@ def test_class_probabilities_add_up_to_one(table):
     after = 10.0**model.step
     assert np.allclose(after.sum(axis=1), 1)
     words = [w.encode() for w in "abcdef"]
-    mass = np.zeros(lm.CLASSES)
+    mass = np.zeros(len(model.mass))
     for w in words:
         i = model.known[w]
         k = model.known_class[i]
@@ -208,13 +208,61 @@ def test_classes_beat_single_words_on_held_out_text(table):
     assert r[0] > r[1] + 20
 
 
+def test_rare_words_are_clustered_by_exchange(table, monkeypatch):
+    # Words are told apart by what stands before them alone; none is in the head or a seed.
+    monkeypatch.setattr(lm, "SEEDS", 6)
+    rnd = random.Random(9)
+    kinds = {a: [f"{a}{i}{rnd.choice('xyz')}" for i in range(300)] for a in "pq"}
+    lines = []
+    for i in range(200):
+        a = "pq"[i % 2]
+        lines.append(" ".join(w for _ in range(30) for w in ({"p": "the", "q": "to"}[a], rnd.choice(kinds[a]))))
+    model, rest = lm.train(table(list(enumerate(lines))), "text", F.lit(True))
+    of = {w.decode(): (model.known_class[i], model.known_count[i]) for w, i in model.known.items()}
+    own = {a: {of[w][0] for w in kinds[a] if w in of and of[w][1] >= lm.RARE} for a in "pq"}
+    assert own["p"] and own["q"] and not own["p"] & own["q"]
+
+
+@pytest.mark.parametrize("home", [True, False])
+def test_best_class_is_that_of_most_likelihood(home):
+    rng = np.random.default_rng(3)
+    rows = rng.poisson(0.8, (40, 6)).astype(float) + np.eye(6)[rng.integers(0, 6, 40)]
+    of = rng.integers(0, 4, 40)
+    table = rng.poisson(3.0, (6, 5)).astype(float)
+    if home:
+        np.add.at(table.T, of, rows)
+    at = [np.flatnonzero(r) for r in rows]
+    sizes = np.array([len(x) for x in at])
+    n = np.concatenate([r[x] for r, x in zip(rows, at)])
+    best = lm.best_classes(sizes, np.concatenate(at), n, of if home else of * 0 - 1, table, lm._f(table))
+    for row, k, own in zip(rows, best, of):
+        def value(to):
+            t = table.copy()
+            if home:
+                t[:, own] -= row
+            t[:, to] += row
+            return lm.likelihood(t)
+        assert k < 4 and value(k) >= max(map(value, range(4))) - 1e-6
+
+
+def test_ending_as_expression(table):
+    words = ["a", "ab", "abc", "abcd", "é", "aé", "日本", "x日"]
+    got = table(list(enumerate(words))).select("text", lm._ending(F.col("text")).alias("u")).collect()
+    assert all(r["u"] + lm.HEAD == lm.suffix_unit(r["text"].encode()) for r in got)
+
+
 def test_scores_of_awkward_rows(table):
-    docs = table(AWKWARD, "lm_words")
+    clashes = ("lm_words", "lm_row", "lm_part", "lm_more", "n_tokens", "Score", "word", "c", "class")
+    docs = table(AWKWARD)
+    for name in clashes:
+        docs = docs.withColumn(name, F.lit(name))
     model, rest = lm.train(docs, "text", F.lit(True))
     assert lm.with_scores(docs, model, rest).count() == docs.count()
     model, rest = lm.train(docs, "text", F.lit(False))
     out = lm.with_scores(docs, model, rest)
     assert out.agg(F.sum("n_known")).first()[0] == 0
+    assert all(r[name] == name for r in out.collect() for name in clashes)
+    assert {"n_tokens_", "score_", "base_score"} < set(out.columns)
     assert lm.with_scores(docs.limit(0), model, rest).count() == 0
 
 
