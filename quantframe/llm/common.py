@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections.abc import Callable, Iterable
+from itertools import accumulate
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantframe.session import shared
 
-__all__ = ["documents", "free_name", "read", "shared", "text_words"]
+__all__ = ["documents", "free_name", "meets", "read", "shared", "text_words"]
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -30,3 +34,16 @@ def free_name(df: DataFrame, base: str) -> str:
 def text_words(text: str | None) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` as UTF-8; bytes split on exactly those six characters."""
     return (text or "").encode().split()
+
+
+def meets(spans: Iterable[tuple[int, int]]) -> Callable[[int, int], bool]:
+    """Whether a stretch (start, end) shares a character with any of ``spans``: a search among
+    their starts, whatever their number and order."""
+    spans = sorted(spans)
+    starts, reach = [s for s, _ in spans], list(accumulate((e for _, e in spans), max))
+
+    def test(start: int, end: int) -> bool:
+        before = bisect_left(starts, end)
+        return before > 0 and reach[before - 1] > start
+
+    return test

@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -183,6 +183,8 @@ def _role(tag: str, attributes: str) -> tuple[str, bool, bool]:
 
 def parse(page: str) -> Tree:
     tree, stack, parts = Tree(), [(0, "")], []
+    #: Places in the stack of each open tag, so that closing need not search it.
+    places: defaultdict[str, list[int]] = defaultdict(list)
     at, in_link = 0, False
 
     def flush() -> None:
@@ -206,16 +208,17 @@ def parse(page: str) -> Tree:
         tree.marked.append(tree.marked[above] or marks)
         tree.chars.append(0)
         tree.linked.append(0)
+        places[tag].append(len(stack))
         stack.append((len(tree.parent) - 1, tag))
 
     def close(names: tuple[str, ...], within: tuple[str, ...] = ()) -> None:
         """Close up to the innermost of ``names``, unless one of ``within`` is nearer."""
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][1] in names:
-                del stack[k:]
-                return
-            if stack[k][1] in within:
-                return
+        innermost = lambda tags: max((places[t][-1] for t in tags if places[t]), default=0)
+        k = innermost(names)
+        if k > innermost(within):
+            for _, tag in stack[k:]:
+                places[tag].pop()
+            del stack[k:]
 
     position = 0
     while m := _TAG.search(page, position):
@@ -238,7 +241,7 @@ def parse(page: str) -> Tree:
                 flush()
                 close((tag,))
                 in_link = False
-            elif any(t == tag for _, t in stack):
+            elif places[tag]:
                 flush()
                 close((tag,))
             continue

@@ -6,7 +6,7 @@ a passed checksum raises it, words of the kind's vocabulary within ``REACH`` cod
 it, words that name something else (order, version, ...) lower it.
 
 Defined results: a null text is empty and has no spans; spans of one kind never overlap; spans
-of different kinds may. Each pattern reads a text once, whatever it holds.
+of different kinds may. Time grows with a text's length alone, whatever it holds.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantframe.llm.common import free_name
+from quantframe.llm.common import free_name, meets
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "iban", "local_phone")
@@ -43,6 +43,19 @@ SUPPORT = {
 AGAINST = re.compile(r"\b(?:order|version|isbn|invoice|part|serial|build|page|chapter)\b")
 _SUPPORT = {k: re.compile(r"\b(?:" + "|".join(v) + ")") for k, v in SUPPORT.items()}
 
+#: Characters of an account number by country, from the public registry.
+IBAN_LENGTH = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22,
+    "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28,
+    "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23,
+    "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26,
+    "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20,
+    "LV": 21, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18,
+    "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24,
+    "SC": 31, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "ST": 25, "SV": 28, "TL": 23, "TN": 24,
+    "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
+
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _HOST = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
@@ -81,6 +94,22 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", free)
 
 
+def ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Spans that pass mod-97: a whole match, else its first part of the country's length, so that
+    a capital word behind the number does no harm. A search goes on behind what was found, or at
+    the next word; a match has at most 44 characters."""
+    at = 0
+    while m := _IBAN.search(text, at):
+        at, end = m.start() + 1, m.end()
+        if not mod97(m[0]):
+            ends = [i + 1 for i in range(*m.span()) if text[i] != " "]
+            length = IBAN_LENGTH.get(m[0][:2], 0)
+            end = ends[length - 1] if 0 < length < len(ends) and text[ends[length - 1]] == " " else 0
+        if end and mod97(text[m.start() : end]):
+            yield m.start(), end
+            at = end
+
+
 def _digits_between(low: int, high: int, span: str) -> str | None:
     digits = span.translate(_DIGITS)
     return digits if low <= len(digits) <= high else None
@@ -104,11 +133,11 @@ def propose(text: str) -> Iterator[tuple[str, int, int, bool]]:
         for m in _PHONE.finditer(text):
             if _digits_between(10, 15, m[0]):
                 yield "phone", *m.span(), False
-    for m in _IBAN.finditer(text):
-        if mod97(m[0]):
-            yield "iban", *m.span(), True
+    for s, e in ibans(text):
+        yield "iban", s, e, True
+    on_card = meets(cards)
     for m in _LOCAL_PHONE.finditer(text):
-        if _digits_between(7, 15, m[0]) and not any(s < m.end() and m.start() < e for s, e in cards):
+        if _digits_between(7, 15, m[0]) and not on_card(*m.span()):
             yield "local_phone", *m.span(), False
 
 

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantframe.llm.common import free_name
+from quantframe.llm.common import free_name, meets
 
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "random")
@@ -131,12 +131,12 @@ def find_spans(text: str | None, ratio: np.ndarray) -> list[tuple[int, int, str,
         return float(flat[transitions(token)].sum())
 
     base = [(s, e, k, llr(text[s:e])) for k, s, e in base_spans(text)]
-    covered = sorted((s, e) for s, e, _, _ in base)
+    covered = meets((s, e) for s, e, _, _ in base)
     extra = []
     for m in _TOKEN.finditer(text):
         s, e = m.span()
         mixed = any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0])
-        if mixed and not any(a < e and s < b for a, b in covered):
+        if mixed and not covered(s, e):
             value = llr(m[0])
             if value >= max(THRESHOLD, PER_CHAR * (e - s)):
                 extra.append((s, e, "random", value))

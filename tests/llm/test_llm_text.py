@@ -3,13 +3,16 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
+import numpy as np
 import pytest
 from conftest_llm import AWKWARD
 from pyspark.sql import functions as F
 
 from quantframe.llm import decontam, html_text, pieces, pii, quality, secret_scan, tokens
+from quantframe.llm.common import meets
 from quantframe.llm.queries_text import QUERIES, piece_model
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -84,6 +87,54 @@ def test_pii_masks_and_survives_awkward_rows(table):
     assert pii.mask_pii(docs.limit(0)).count() == 0
 
 
+def test_account_numbers_before_capital_words():
+    found = lambda t: [t[s:e] for s, e, k, _, _ in pii.find_spans(t) if k == "iban"]
+    be, es, no = "BE68 5390 0754 7034", "ES91 2100 0418 4502 0005 1332", "NO93 8601 1117 947"
+    for one in (be, es, no):
+        for after in ("", " BIC", " EUR", " AND MORE", ".", " x", " BIC " + one, " " + one):
+            assert found(f"IBAN {one}{after}") == [one] * (1 + (one in after))
+        assert found(f"IBAN {one[:-1]}{(int(one[-1]) + 1) % 10} BIC") == []
+        assert found(f"IBAN {one}7 BIC") == []
+
+
+def test_meets_is_an_overlap():
+    rnd = random.Random(12)
+    pick = lambda: tuple(sorted(rnd.sample(range(40), 2)))
+    for _ in range(200):
+        spans = [pick() for _ in range(rnd.randint(0, 6))]
+        test = meets(spans)
+        for s, e in (pick() for _ in range(20)):
+            assert test(s, e) == any(a < e and s < b for a, b in spans)
+
+
+def test_many_spans_and_deep_pages_take_linear_time():
+    phones = "4111 1111 1111 1111, 030 1234567. "
+    keys = f"token={'ab' * 8} {'k7Qz' * 9} "
+    deep = lambda n: "<div>" * n + "<p>text</p>" + "</div>" * n
+    table = lambda n: "<p><table>" + "<div>" * n + "x"
+    ratio = np.zeros((secret_scan.SYMBOLS + 1,) * 2)
+    for run, size in (
+        (lambda n: pii.find_spans(phones * n), 2_000),
+        (lambda n: secret_scan.find_spans(keys * n, ratio), 2_000),
+        (lambda n: html_text.parse(deep(n)), 10_000),
+        (lambda n: html_text.parse(table(n)), 10_000),
+    ):
+        times = []
+        for n in (size, 4 * size):
+            start = time.perf_counter()
+            run(n)
+            times.append(time.perf_counter() - start)
+        assert times[1] < 10 * times[0] + 0.2
+
+
+def test_closing_reaches_the_innermost_open_tag():
+    tree = html_text.parse("<ul><li>a<ul><li>b<li>c</ul>d<li>e</ul><p>f<table><tr><td>g<td>h<p>i<div>j")
+    above = lambda n: [] if n < 0 else [n, *above(tree.parent[n])]
+    assert [t for _, t in tree.blocks] == list("abcdefghij")
+    depth = {t: len(above(n)) for n, t in tree.blocks}
+    assert depth == {"a": 3, "b": 5, "c": 5, "d": 3, "e": 3, "f": 2, "g": 4, "h": 4, "i": 5, "j": 5}
+
+
 def test_pii_long_runs_are_linear():
     pii.find_spans("a" * 400_000 + "1" * 400_000 + "+1" * 100_000 + "@" * 100_000)
 
