@@ -25,6 +25,8 @@ from quantframe.session import scratch_folder  # noqa: F401 - re-exported for jo
 from quantframe.sources.folders import children, complete, remove
 
 FANOUT, BUCKETS = 8, 16
+#: Tasks that may share the writing of one bucket; adaptive execution joins small ones.
+WRITERS = 16
 Merge = Callable[[DataFrame], DataFrame]
 
 
@@ -82,7 +84,7 @@ class LevelledTable:
         fanout: int = FANOUT,
     ):
         self.spark, self.path, self.merge, self.fanout = spark, path.rstrip("/"), merge, fanout
-        self.bucket = F.lit(0) if bucket is None else bucket
+        self.bucketed, self.bucket = bucket is not None, F.lit(0) if bucket is None else bucket
         self.columns = spark.createDataFrame([], schema).columns
         self.schema = f"{schema}, batch bigint, bucket int"
 
@@ -112,9 +114,13 @@ class LevelledTable:
 
     def _write(self, rows: DataFrame, first: int, last: int) -> None:
         held = rows.select(*self.columns, "batch", self.bucket.alias("bucket"))
-        held.repartition("bucket").write.mode("overwrite").option("compression", "zstd").partitionBy(
-            "bucket"
-        ).parquet(self._name(first, last))
+        if self.bucketed:
+            # Rows of a bucket come together, but no bucket is one task's.
+            part = F.pmod(F.xxhash64(*self.columns), F.lit(WRITERS))
+            held = held.repartition("bucket", part)
+        held.write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(
+            self._name(first, last)
+        )
 
     def _read(self, parts: Iterable[tuple[int, int]], buckets: Sequence[int] | None) -> DataFrame:
         paths = [self._name(*p) for p in parts]

@@ -312,3 +312,30 @@ def test_only_the_buckets_of_the_keys_are_read(spark, tmp_path):
     assert [(r.k, r.n) for r in held.collect()] == [(5, 5)]
     plan = table._read([(0, 0)], [3])._jdf.queryExecution().toString()
     assert re.search(r"PartitionFilters: \[isnotnull\(bucket#\d+\), \(bucket#\d+ = 3\)\]", plan)
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+@pytest.mark.parametrize("bucket", [None, "k % 2"])
+def test_no_bucket_is_written_by_one_task(spark, tmp_path, bucket, adaptive):
+    table = tables.LevelledTable(
+        spark, str(tmp_path / "t"), "k bigint, n bigint", tables.together,
+        bucket=None if bucket is None else F.expr(f"cast({bucket} as int)"),
+    )
+    held = {
+        "spark.sql.adaptive.enabled": adaptive,
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8k",
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k",
+    }
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        table.write(spark.range(40_000).selectExpr("id as k", "id * 7 as n").repartition(4), 0)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    for name in os.listdir(tmp_path / "t" / f"{0:012d}-{0:012d}"):
+        if name.startswith("bucket="):
+            files = os.listdir(tmp_path / "t" / f"{0:012d}-{0:012d}" / name)
+            assert len([f for f in files if f.endswith(".parquet")]) > 1
+    assert table.rows().count() == 40_000
