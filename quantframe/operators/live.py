@@ -6,11 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, StringType
 
 from quantframe.functions import div
 from quantframe.operators.quantiles import exact_quantile
 from quantframe.operators.scan import block_scan
+from quantframe.session import shared
 
 INTENTION = ("session", "symbol", "buying")
 
@@ -252,8 +252,8 @@ def match_orders_to_trades(
     ``orders`` has ``order_id, created_at``; ``trades`` has ``trade_id, ts``. The result has
     one row per trade. See :func:`interval_counts` for how it scales.
     """
-    counts = interval_counts(orders, trades, window=window, keys=keys)
-    return matched_trades(counts, trades.schema["trade_id"].dataType, keys).select(
+    counts = shared(interval_counts(orders, trades, window=window, keys=keys), "instants")
+    return matched_trades(counts, orders, trades, keys).select(
         "trade_id", "order_id", "candidates", "status"
     )
 
@@ -264,58 +264,54 @@ def interval_counts(
     *,
     window: str = "4 days",
     keys: Sequence[str] = ("symbol", "quantity"),
-    carried: Sequence[str] = (),
 ) -> DataFrame:
-    """Per order and per trade its running number, its candidates, and the only one's number.
-
-    Candidate pairs are never listed. Orders, trades and the far ends of both intervals are
-    laid on one time line per key and swept once: a running count of trades read at an
-    order's start and end gives its number of candidates, and when that is one, the count at
-    the end is the partner's running number. The same sweep answers for trades. A key with
-    millions of rows costs the same per row as a quiet one, and spreads over its days.
-    ``carried`` columns of either side come along.
+    """Per side and instant its running number, its candidates, and the only one's number.
+
+    Candidate pairs are never listed. What falls on one instant has the same candidates, so
+    both sides are first counted by key and instant; ids stay out. The instants and the far
+    ends of their intervals are laid on one time line per key and swept once: a running count
+    of trades read at an order's start and end gives its number of candidates, and when that is
+    one, the count at the end is the partner's running number. The same sweep answers for
+    trades. A key with millions of rows costs the same per row as a quiet one, and spreads
+    over its days. Rows without a key or an instant match nothing and are not counted.
     """
     keys = list(keys)
     span = F.expr(f"interval {window}")
 
-    def marks(df: DataFrame, ident: str, is_order: bool, *points: tuple[Column, int]) -> DataFrame:
-        """Each row at its two instants, from one read of its side."""
-        at = F.array(
-            *[
-                F.struct(when.cast("timestamp").alias("__at"), F.lit(rank).alias("__rank"))
-                for when, rank in points
-            ]
+    def marks(df: DataFrame, when: str, is_order: bool, *points: tuple[Column, int]) -> DataFrame:
+        """Each instant of a side at both ends of its interval."""
+        at = F.col(when).cast("timestamp")
+        ends = F.array(
+            *[F.struct(p.alias("__point"), F.lit(rank).alias("__rank")) for p, rank in points]
         )
-        return df.select(
-            *keys,
-            *carried,
-            F.lit(is_order).alias("__is_order"),
-            F.col(ident).cast("string").alias("__id"),
-            F.xxhash64(ident).alias("__tie"),
-            F.inline(at),
+        return (
+            df.select(*keys, at.alias("__at"))
+            .dropna()
+            .groupBy(*keys, "__at")
+            .agg(F.count(F.lit(1)).alias("__n"))
+            .select(*keys, F.lit(is_order).alias("__is_order"), "__at", "__n", F.inline(ends))
         )
 
     # The rank settles equal instants: interval ends read before events, starts after them.
-    opened, traded = F.col("created_at"), F.col("ts")
+    at, rank = F.col("__at"), F.col("__rank")
     line = (
-        marks(orders, "order_id", True, (opened + span, 0), (opened, 2))
-        .unionByName(marks(trades, "trade_id", False, (traded, 1), (traded - span, 3)))
-        .withColumn("__day", F.to_date("__at"))
+        marks(orders, "created_at", True, (at + span, 0), (at, 2))
+        .unionByName(marks(trades, "ts", False, (at, 1), (at - span, 3)))
+        .withColumn("__day", F.to_date("__point"))
     )
-    rank = F.col("__rank")
     swept = block_scan(
         line,
         keys,
         "__day",
-        ["__at", "__rank", "__tie", "__id"],
+        ["__point", "__rank"],
         {
-            "__trades": ("sum", F.when(rank == 1, 1).otherwise(0)),
-            "__orders": ("sum", F.when(rank == 2, 1).otherwise(0)),
+            "__trades": ("sum", F.when(rank == 1, F.col("__n")).otherwise(0)),
+            "__orders": ("sum", F.when(rank == 2, F.col("__n")).otherwise(0)),
         },
     )
-    # Per row: its own running number, and the other side's counts at its interval's ends.
+    # Per instant: its own running number, and the other side's counts at its interval's ends.
     # The count at the far end is also the running number of the last candidate.
-    sides = swept.groupBy(*keys, *carried, "__is_order", "__id").agg(
+    sides = swept.groupBy(*keys, "__is_order", "__at").agg(
         F.max(F.when(rank == 2, F.col("__orders")).when(rank == 1, F.col("__trades"))).alias("own"),
         F.max(F.when(rank == 0, F.col("__trades")).when(rank == 1, F.col("__orders"))).alias("hi"),
         F.max(F.when(rank == 2, F.col("__trades")).when(rank == 3, F.col("__orders"))).alias("lo"),
@@ -324,43 +320,59 @@ def interval_counts(
 
 
 def matched_trades(
-    counts: DataFrame, kind: DataType, keys: Sequence[str] = ("symbol", "quantity"), carried: Sequence[str] = ()
+    counts: DataFrame,
+    orders: DataFrame,
+    trades: DataFrame,
+    keys: Sequence[str] = ("symbol", "quantity"),
 ) -> DataFrame:
-    """One row per trade with its order, if each is the other's only candidate. ``kind`` is the
-    type of a trade's id."""
-    mine, theirs = counts.filter("not __is_order"), counts.filter("__is_order")
-    return _matched(mine, theirs, keys, carried, trade_id=kind, order_id=StringType())
+    """One row per trade with its order, if each is the other's only candidate. ``trades`` may be
+    some of those counted; ``orders`` are all."""
+    return _matched(counts, False, trades, orders, keys)
 
 
 def matched_orders(
-    counts: DataFrame, kind: DataType, keys: Sequence[str] = ("symbol", "quantity"), carried: Sequence[str] = ()
+    counts: DataFrame,
+    orders: DataFrame,
+    trades: DataFrame,
+    keys: Sequence[str] = ("symbol", "quantity"),
 ) -> DataFrame:
     """The same, one row per order."""
-    mine, theirs = counts.filter("__is_order"), counts.filter("not __is_order")
-    return _matched(mine, theirs, keys, carried, order_id=StringType(), trade_id=kind)
+    return _matched(counts, True, orders, trades, keys)
 
 
 def _matched(
-    own: DataFrame, other: DataFrame, keys: Sequence[str], carried: Sequence[str], **ids: DataType
+    counts: DataFrame, is_order: bool, own: DataFrame, other: DataFrame, keys: Sequence[str]
 ) -> DataFrame:
-    (ident, kind), (partner, partner_kind) = ids.items()
-    theirs = other.select(
+    order, trade = ("order_id", "created_at"), ("trade_id", "ts")
+    (ident, when), (partner, there) = (order, trade) if is_order else (trade, order)
+    mine = counts.filter(F.col("__is_order") == is_order)
+    # Who is alone in the other's interval is alone at that instant.
+    theirs = counts.filter((F.col("__is_order") != is_order) & F.col("wants").isNotNull()).select(
         *keys,
-        F.col("__id").alias("__partner"),
-        F.col("own").alias("__at"),
+        F.col("own").alias("__no"),
         F.col("wants").alias("__back"),
-    )
-    mutual = F.coalesce(F.col("__back") == F.col("own"), F.lit(False))
-    met = own.withColumn("__at", F.col("wants")).join(theirs, [*keys, "__at"], "left")
-    return met.select(
-        *keys,
-        *carried,
-        F.col("__id").cast(kind).alias(ident),
-        F.when(mutual, F.col("__partner")).cast(partner_kind).alias(partner),
-        "candidates",
-        F.when(mutual, "matched")
-        .when(F.col("candidates") == 0, "unmatched")
-        .otherwise("ambiguous")
+        F.col("__at").alias("__there"),
+    )
+    met = mine.withColumn("__no", F.col("wants")).join(theirs, [*keys, "__no"])
+    ids = other.select(
+        *keys, F.col(there).cast("timestamp").alias("__there"), F.col(partner).alias("__partner")
+    )
+    partners = (
+        met.filter("__back = own")
+        .select(*keys, "__at", "__there")
+        .join(ids, [*keys, "__there"])
+        .select(*keys, "__at", "__partner", F.lit(True).alias("__met"))
+    )
+    seen = mine.filter("candidates > 0").select(*keys, "__at", "candidates")
+    seen = seen.join(partners, [*keys, "__at"], "left")
+    rows = own.withColumn("__at", F.col(when).cast("timestamp"))
+    return rows.join(seen, [*keys, "__at"], "left").select(
+        ident,
+        F.col("__partner").alias(partner),
+        F.coalesce("candidates", F.lit(0)).alias("candidates"),
+        F.when(F.col("__met"), "matched")
+        .when(F.col("candidates") > 0, "ambiguous")
+        .otherwise("unmatched")
         .alias("status"),
     )
 

@@ -370,6 +370,24 @@ def test_interval_match_needs_uniqueness_both_ways(spark):
     }
 
 
+def test_interval_match_counts_instants_and_leaves_rows_without_key_or_instant(spark):
+    t0 = dt.datetime(2020, 1, 10)
+    h = dt.timedelta(hours=1)
+    orders = spark.createDataFrame(
+        [(f"o{i}", "a", 1.0, t0) for i in range(50)] + [("n", None, 1.0, t0), ("m", "b", 1.0, None), ("c", "c", 1.0, t0)],
+        "order_id string, symbol string, quantity double, created_at timestamp",
+    )
+    trades = spark.createDataFrame(
+        [(i, "a", 1.0, t0 + h) for i in range(40)] + [(90, None, 1.0, t0 + h), (91, "b", 1.0, None), (92, "c", 1.0, t0 + h)],
+        "trade_id long, symbol string, quantity double, ts timestamp",
+    )
+    counts = live.interval_counts(orders, trades)
+    assert counts.count() == 4  # a row a side and instant, however many rows fall on it
+    got = sorted(tuple(r) for r in live.match_orders_to_trades(orders, trades).collect())
+    assert got[:40] == [(i, None, 50, "ambiguous") for i in range(40)]
+    assert got[40:] == [(90, None, 0, "unmatched"), (91, None, 0, "unmatched"), (92, "c", 1, "matched")]
+
+
 def test_streak_alerts_once_per_outage(spark):
     flags = [1, 1, 1, 1, 0, 0, 1, 1, 0, 1, 1, 1]
     runs = spark.createDataFrame(
