@@ -15,7 +15,9 @@ from quantframe.operators.scan import block_scan
 
 BLOCK_LINES = 4096
 #: One cell and the comma that ends it; quotes may hold commas and doubled quotes.
-_CELL = r'("(?:[^"]|"")*"|[^",]*),'
+_CELL = r'("(?:[^"]++|"")*+"|[^",]*+),'
+#: The first two cells of a line, without the others.
+_FIRST_TWO = f"(?s){_CELL}.*?{_CELL}"
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -35,54 +37,80 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 def number(value: Column | str) -> Column:
     """A number that may carry thousands separators."""
     v = F.col(value) if isinstance(value, str) else value
-    return F.regexp_replace(v, ",", "").cast("double")
+    return F.replace(v, F.lit(","), F.lit("")).cast("double")
+
+
+def _bare(c: Column) -> Column:
+    """A cell without its quotes; null if empty."""
+    inner = F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))
+    return F.nullif(F.when(c.startswith('"'), inner).otherwise(c), F.lit(""))
 
 
 def split_cells(line: Column) -> Column:
     """The cells of a CSV line of any width, unquoted; empty ones are null."""
     cells = F.regexp_extract_all(F.concat(line, F.lit(",")), F.lit(_CELL), F.lit(1))
+    return F.transform(cells, _bare)
+
+
+def _once(value: Column) -> Column:
+    """As a generated column: later filters stay above it, so that it is worked out once a row."""
+    return F.explode(F.array(value))
 
-    def bare(c: Column) -> Column:
-        inner = F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))
-        return F.nullif(F.when(c.startswith('"'), inner).otherwise(c), F.lit(""))
 
-    return F.transform(cells, bare)
+def _values() -> Column:
+    """The fields of a row by name."""
+    pairs = F.filter(
+        F.arrays_zip(
+            F.col("names").alias("k"),
+            F.slice("cells", 3, F.greatest(F.size("cells") - 2, F.lit(0))).alias("v"),
+        ),
+        lambda p: p["k"].isNotNull() & p["v"].isNotNull(),
+    )
+    return F.map_from_entries(pairs)
 
 
 def sectioned(lines: DataFrame) -> DataFrame:
-    """Data rows as ``file, pos, section, values`` with ``values`` a map by field name."""
+    """Data rows as ``file, pos, section, values`` with ``values`` a map by field name, and what
+    it is made of: ``names``, ``cells``, and whether a name is ``repeated``.
+
+    Section and kind come from a line's first two cells. Lines travel as they are; the others'
+    cells are split once, for headers where they stand and for data rows beside their header.
+    """
     if "block" not in lines.columns:
         lines = lines.withColumn("block", F.floor(F.col("pos") / BLOCK_LINES))
-    cells = (
-        lines.select("file", "block", "pos", split_cells(F.col("line")).alias("c"))
-        .select(
-            "file",
-            "block",
-            "pos",
-            F.regexp_replace(F.get("c", F.lit(0)), "^\ufeff", "").alias("section"),
-            F.get("c", F.lit(1)).alias("kind"),
-            F.slice("c", 3, F.greatest(F.size("c") - 2, F.lit(0))).alias("fields"),
-        )
+    first, second = (
+        _bare(F.regexp_extract(F.concat("line", F.lit(",")), _FIRST_TWO, i)) for i in (1, 2)
+    )
+    start = F.struct(F.regexp_replace(first, "^\ufeff", "").alias("section"), second.alias("kind"))
+    told = (
+        lines.select("file", "block", "pos", "line", _once(start).alias("s"))
+        .select("file", "block", "pos", "line", "s.section", "s.kind")
         .filter("kind in ('Header', 'Data')")
     )
+    cells = split_cells(F.col("line"))
+    names = F.slice(cells, 3, F.greatest(F.size(cells) - 2, F.lit(0)))
+    given = F.array_compact(names)
+    header = F.struct(
+        names.alias("names"), (F.size(F.array_distinct(given)) < F.size(given)).alias("repeated")
+    )
     named = block_scan(
-        cells,
+        told,
         ["file", "section"],
         "block",
         ["pos"],
-        {"header": ("last", F.when(F.col("kind") == "Header", F.col("fields")))},
-    )
-    pairs = F.filter(
-        F.arrays_zip(F.col("header").alias("k"), F.col("fields").alias("v")),
-        lambda p: p["k"].isNotNull() & p["v"].isNotNull(),
+        {"header": ("last", F.when(F.col("kind") == "Header", header))},
     )
-    return named.filter("kind = 'Data' and header is not null").select(
-        "file", "pos", "section", F.map_from_entries(pairs).alias("values")
+    return (
+        named.filter("kind = 'Data' and header is not null")
+        .select("file", "pos", "section", "header.*", _once(split_cells(F.col("line"))).alias("cells"))
+        .withColumn("values", _values())
     )
 
 
 def _v(name: str) -> Column:
-    return F.col("values")[name]
+    """A field by its place; the map is built only where a name is repeated."""
+    place = F.array_position("names", name).cast("int") + 1
+    return F.when(F.col("repeated"), _values()[name]).when(place > 1, F.get("cells", place))
 
 
 def trades(rows: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Hand-made edge cases, one operator at a time."""
 
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -566,6 +567,25 @@ def test_fingerprint_sums_beyond_bigint(spark):
     assert dict(one.dtypes)["fingerprint"].startswith("decimal(38")
 
 
+def test_statement_lines_are_split_once(spark):
+    from quantframe.sources import statement
+
+    rows = [
+        ("f", 0, "Trades,Header,DataDiscriminator,Symbol,Quantity"),
+        ("f", 1, 'Trades,Data,Order,"S ""1"", x","1,200"'),
+        ("f", 2, "Trades,Data,Order,S2"),
+        ("f", 3, "Trades,Header,DataDiscriminator,Quantity,Symbol,Symbol"),
+        ("f", 4, "Trades,Data,Order,5,S4"),
+    ]
+    lines = spark.createDataFrame(rows, "file string, pos long, line string")
+    found = statement.trades(statement.sectioned(lines)).select("pos", "symbol", "quantity")
+    assert sorted(map(tuple, found.collect())) == [(1, 'S "1", x', 1200.0), (2, "S2", None), (4, "S4", 5.0)]
+    # Once for data rows; headers are split where the newest is found and where it stands.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"Generate explode\(array\(transform\(regexp_extract_all", plan)) == 1
+    assert not re.search(r"Filter.*regexp_extract_all", plan)
+
+
 def test_statement_rows_of_any_width(spark):
     from quantframe.sources.statement import sectioned
 
