@@ -4,6 +4,9 @@ Every job reads a file stream, keeps a checkpointed cursor and runs with ``avail
 late restart picks up exactly where the last run stopped. State lives in levelled tables (see
 ``tables``): a micro-batch writes what it adds and reads only the state of the keys or days that
 it touches. No watermark closes anything, so late rows count like any other.
+
+A batch is never cached: its partitions are as large as the source's files make them, and a task
+reads a cached partition whole. What is read more than once is read back from written files.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantframe.operators import ledger, live
+from quantframe.session import shared_at
 from quantframe.streaming.tables import (
     LevelledTable,
     distinct,
@@ -204,10 +208,10 @@ def run_positions(fills: DataFrame, folder: str) -> DataFrame:
     )
 
     def advance(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
-        state = table.rows_of(batch.select(*keys), batch_id)
-        table.write(advance_positions(state, batch), batch_id)
-        batch.unpersist()
+        came, discard = shared_at(batch, "batch")
+        state = table.rows_of(came.select(*keys), batch_id)
+        table.write(advance_positions(state, came), batch_id)
+        discard()
 
     run_available(fills.writeStream.foreachBatch(advance), f"{folder}/checkpoint")
     return table.rows()
@@ -261,6 +265,16 @@ def _file(block: Column) -> Column:
     return F.floor(block / FILE_BLOCKS).cast("int")
 
 
+def _day(when: Column) -> Column:
+    return F.coalesce(F.unix_date(F.to_date(when)), F.lit(NO_DAY))
+
+
+def _around(when: str) -> Column:
+    """The blocks within a match of an instant."""
+    day = _day(F.col(when))
+    return F.array_distinct(F.array(_block(day - MATCH_DAYS), _block(day), _block(day + MATCH_DAYS)))
+
+
 def _at(rows: DataFrame, places: DataFrame) -> DataFrame:
     same = F.expr("r.symbol <=> p.symbol and r.quantity <=> p.quantity and r.block = p.block")
     return rows.alias("r").join(places.alias("p"), same, "left_semi")
@@ -307,16 +321,20 @@ def run_match(orders: DataFrame, trades: DataFrame, folder: str) -> tuple[DataFr
             F.lit("trade").alias("side"),
         )
     )
-    day = F.coalesce(F.unix_date(F.to_date(F.coalesce("created_at", "ts"))), F.lit(NO_DAY))
-    around = F.array_distinct(F.array(_block(day - MATCH_DAYS), _block(day), _block(day + MATCH_DAYS)))
+    day = _day(F.coalesce("created_at", "ts"))
 
     def match(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
+        # Each side is read once and dealt out; what came is read back from its segment.
         for side, table in stored.items():
             own = batch.filter(F.col("side") == side).withColumn("block", _block(day))
             table.write(own, batch_id)
-        stale = batch.select("symbol", "quantity", F.explode(around).alias("block")).distinct()
-        stale.persist()
+        came = [
+            stored[side]
+            .of_batch(batch_id)
+            .select("symbol", "quantity", F.explode(_around(when)).alias("block"))
+            for side, when in (("order", "created_at"), ("trade", "ts"))
+        ]
+        stale = came[0].unionByName(came[1]).distinct().persist()
         beside = F.explode(F.sequence(F.col("block") - 1, F.col("block") + 1))
         near = stale.select("symbol", "quantity", beside.alias("block")).distinct().persist()
         files = [r[0] for r in near.select(at).distinct().collect()]
@@ -324,7 +342,7 @@ def run_match(orders: DataFrame, trades: DataFrame, folder: str) -> tuple[DataFr
         counts = live.interval_counts(o, t, window=f"{MATCH_DAYS} days").persist()
         results["trade"].write(live.matched_trades(counts, o, _at(t, stale)), batch_id)
         results["order"].write(live.matched_orders(counts, _at(o, stale), t), batch_id)
-        for held in (counts, near, stale, batch):
+        for held in (counts, near, stale):
             held.unpersist()
 
     run_available(both.writeStream.foreachBatch(match), f"{folder}/checkpoint")
@@ -353,17 +371,17 @@ def run_streaks(events: DataFrame, failed: Column, folder: str, *, threshold: in
     watched = events.select("user_id", "ts", "event_id", failed.alias("failed"))
 
     def watch(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
-        held = carry.rows_of(batch.select("user_id"), batch_id).select("user_id", "streak")
+        came, discard = shared_at(batch, "batch")
+        held = carry.rows_of(came.select("user_id"), batch_id).select("user_id", "streak")
         judged = live.failure_streaks(
-            batch, "user_id", "ts", F.col("failed"), "event_id",
+            came, "user_id", "ts", F.col("failed"), "event_id",
             threshold=threshold, block=F.date_trunc("hour", "ts"), carried=held,
         ).persist()
         out.write(judged, batch_id)
         last = F.max_by("streak", F.struct("ts", "event_id")).alias("streak")
         carry.write(judged.groupBy("user_id").agg(last), batch_id)
         judged.unpersist()
-        batch.unpersist()
+        discard()
 
     run_available(watched.writeStream.foreachBatch(watch), f"{folder}/checkpoint")
     return out.rows().drop("batch")

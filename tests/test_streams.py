@@ -217,6 +217,24 @@ def test_a_second_order_makes_an_old_match_ambiguous(spark, tmp_path):
     ]
 
 
+def test_no_job_caches_a_batch(spark, feed, tmp_path, monkeypatch):
+    """A cached batch has one partition for a file of one row group, which one task reads."""
+    kind = type(spark.range(0))
+    held, persist = [], kind.persist
+    monkeypatch.setattr(kind, "persist", lambda df, *a: held.append(df.columns) or persist(df, *a))
+    drop, run = matcher(spark, tmp_path / "match")
+    drop("order", [("a", 1.0, "o1", day(1))])
+    drop("trade", [("a", 1.0, 1, day(3))])
+    assert [r.status for r in run()[0].collect()] == ["matched"]
+    drop, stream, out = feed
+    drop(fills(spark, range(10)))
+    jobs.run_positions(stream(), f"{out}/positions").collect()
+    events = stream().selectExpr("execution_id as user_id", "ts", "execution_id as event_id")
+    jobs.run_streaks(events, F.col("event_id") > 0, f"{out}/streaks").collect()
+    made = {"block", "candidates", "streak"}
+    assert held and all(made & set(columns) for columns in held)
+
+
 # Streaks of many users
 
 
