@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from conftest_llm import AWKWARD
@@ -162,6 +163,29 @@ def test_base_scores_and_probabilities(spark, table, tmp_path, monkeypatch, know
     assert all(r["score"] < 0 for r in out)
 
 
+def test_a_word_is_sent_once_with_all_that_stands_before_it(monkeypatch):
+    monkeypatch.setattr(lm, "_RUN", 4)
+    rnd = random.Random(11)
+    texts = [" ".join(rnd.choices(["The", "of", "é", "tree", "x1"], k=rnd.randint(0, 9))) for _ in range(40)]
+    texts = [*texts, None, "", " \t"]
+    head, before = {b"the": 0, b"of": 1}, np.arange(lm.UNITS) % lm.CLASSES
+    want = Counter()
+    for t in texts:
+        words = [lower(w).encode() for w in WORD.findall(t or "")]
+        k = [lm.END, *(head.get(w, lm.suffix_unit(w)) for w in words)]
+        want.update(zip([*words, b""], before[k].tolist()))
+    batches = [pa.RecordBatch.from_pydict({"text": pa.array(x, pa.string())}) for x in (texts[:20], [], texts[20:])]
+    for words, tokens in [(500, 500), (2, 500), (500, 9)]:
+        monkeypatch.setattr(lm, "_FLUSH", words)
+        monkeypatch.setattr(lm, "_HELD", tokens)
+        rows = [r for b in lm._count_after(head, before)(iter(batches)) for r in b.to_pylist()]
+        got = Counter()
+        for r in rows:
+            got.update({(r["word"].encode(), e["k"]): e["n"] for e in r["after"]})
+        assert got == want
+        assert (len(rows) == len({w for w, _ in want})) == (words == tokens)
+
+
 def test_class_probabilities_add_up_to_one(table):
     rnd = random.Random(6)
     rows = [(i, " ".join(rnd.choice("a b c d e f".split()) for _ in range(12))) for i in range(40)]
