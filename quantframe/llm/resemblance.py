@@ -7,19 +7,23 @@ either, so only those are dealt out, and no pair is missed whatever the order. R
 counts by hash cell, of which there are ``CELLS`` at any size of the corpus.
 
 Shingles of one text go at once. Of the rest each member of a group is compared with the group's
-first; then members that are still in different components are compared with each other, so a
-large group of near copies costs one comparison a member. Before two texts meet, their counts of
-shingles by ``BINS`` hash ranges are compared, which bound what they can share from above; every
-pair left is decided on its two texts.
+first, then, outside the largest component, with ``PIVOTS`` members of it; then members that are
+still in different components are compared with each other, so a large group of near copies costs
+a few comparisons a member. Before two texts meet, their counts of
+shingles by hash range, ``LOAD`` to a range, are compared, which bound what they can share from
+above; every pair left is decided on its two texts.
+
+A text goes by its 64-bit hash ``same`` until then, and whole texts are dealt out only for the
+pairs left. Each table goes when the next one is written.
 
 Defined results: a text of fewer words than a shingle is one shingle; a text without words
-resembles nothing; equal texts count as one.
+resembles nothing; equal texts count as one; texts that share the hash alone stay apart.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import accumulate
 
 import numpy as np
@@ -28,13 +32,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantframe.llm.common import shared, text_words
+from quantframe.llm.common import text_words, written
 
 WIDTH, SEED = 5, 42
 #: The least similarity, as a fraction.
 LEAST = (4, 5)
-CELLS, CHUNK = 1 << 18, 1 << 14
-BINS = 128
+CELLS, CHUNK = 1 << 18, 1 << 11
+#: Shingles to a hash range, and the least number of ranges.
+LOAD, RANGES = 2, 64
+#: Members of a group's largest component that the others meet before they meet all.
+PIVOTS = 4
+#: Bits that tell which rows' texts are wanted: the most of them.
+MARKS = 1 << 26
 _FLUSH = 200_000
 
 
@@ -67,22 +76,30 @@ def can_be(n, at, m, other_at):
 
 
 def bins(text: str | None) -> bytes:
-    """Counts of shingles by hash range; nothing for a text whose counts do not fit."""
-    n = np.bincount((shingles(text) >> np.uint64(57)).astype(np.int64), minlength=BINS)
-    return n.astype(np.uint16).tobytes() if n.max() < 1 << 16 else b""
+    """Counts of shingles by hash range, so many ranges that ``LOAD`` fall into one; nothing for a
+    text whose counts do not fit."""
+    own = shingles(text)
+    bits = (max(RANGES, len(own) // LOAD) - 1).bit_length()
+    n = np.bincount((own >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return n.astype(np.uint8).tobytes() if n.max() < 1 << 8 else b""
 
 
 def _bins_of(texts: pd.Series) -> pd.Series:
     return texts.map(bins)
 
 
-def _can_share(a: pd.Series, b: pd.Series) -> pd.Series:
-    def fits(x: bytes, y: bytes) -> bool:
-        if not x or not y:
-            return True
-        x, y = np.frombuffer(x, dtype=np.uint16), np.frombuffer(y, dtype=np.uint16)
-        return sum(LEAST) * int(np.minimum(x, y).sum()) >= LEAST[0] * (int(x.sum()) + int(y.sum()))
+def fits(a: bytes, b: bytes) -> bool:
+    """False if texts of these counts are unlike."""
+    if not a or not b:
+        return True
+    x, y = (np.frombuffer(c, dtype=np.uint8).astype(np.int64) for c in (a, b))
+    # The ranges of fewer bits are unions of those of more.
+    few = min(len(x), len(y))
+    both = np.minimum(x.reshape(few, -1).sum(1), y.reshape(few, -1).sum(1)).sum()
+    return sum(LEAST) * int(both) >= LEAST[0] * int(x.sum() + y.sum())
+
 
+def _can_share(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([fits(x, y) for x, y in zip(a, b)], dtype=bool)
 
 
@@ -104,12 +121,16 @@ def levels(docs: DataFrame, text: str) -> np.ndarray:
 
     total = np.zeros((CELLS // CHUNK, CHUNK), dtype=np.int64)
     counts = docs.select(F.col(text).alias("text")).mapInPandas(count, "chunk int, n binary")
-    for r in counts.groupBy("chunk").applyInPandas(add, "chunk int, n binary").collect():
+    summed, drop = written(
+        counts.groupBy("chunk").applyInPandas(add, "chunk int, n binary"), "resemblance-levels"
+    )
+    for r in summed.collect():
         total[r["chunk"]] = np.frombuffer(bytes(r["n"]), dtype=np.int64)
+    drop()
     return np.log2(np.maximum(total.ravel(), 1)).astype(np.int8)
 
 
-ENTRY = "shingle bigint, same bigint, row bigint, fp bigint, n int, at int"
+ENTRY = "shingle bigint, same bigint, row bigint, n int, at int"
 
 
 def _first_shingles(level: np.ndarray):
@@ -124,8 +145,7 @@ def _first_shingles(level: np.ndarray):
                     "shingle": np.concatenate([h[0] for h in held]).view(np.int64),
                     "same": spread(1),
                     "row": spread(2),
-                    "fp": spread(3),
-                    "n": spread(4),
+                    "n": spread(3),
                     "at": np.concatenate([np.arange(s) for s in sizes]),
                 }
             )
@@ -134,13 +154,13 @@ def _first_shingles(level: np.ndarray):
 
         many = 0
         for batch in batches:
-            for text, same, row, fp in zip(*(batch[c] for c in ("text", "same", "row", "fp"))):
+            for text, same, row in zip(*(batch[c] for c in ("text", "same", "row"))):
                 own = shingles(text)
                 if not len(own):
                     continue
                 order = np.lexsort((own, level[(own % CELLS).astype(np.int64)]))
                 first = own[order[: reach(len(own))]]
-                held.append((first, same, row, fp, len(own)))
+                held.append((first, same, row, len(own)))
                 many += len(first)
                 if many > _FLUSH:
                     yield rows()
@@ -174,25 +194,26 @@ def _groups(columns: list[str]):
     return run
 
 
-MET = "shingle bigint, row bigint, fp bigint, n int, at int, first bigint, first_fp bigint, likely boolean"
+MET = "shingle bigint, same bigint, n int, at int, first bigint, likely boolean"
 
 
 def _meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Members of groups of two texts or more, each with the group's first one; equal texts are
-    the one with the smallest row, in every group alike."""
+    """Over rows sorted by shingle and text: members of groups of two texts or more, each with the
+    group's first one; equal texts are the one with the smallest row, in every group alike."""
     out, many = [], 0
-    for shingle, same, row, fp, n, at in _groups(["shingle", "same", "row", "fp", "n", "at"])(batches):
-        if len(row) < 2:
+    for shingle, same, row, n, at in _groups(["shingle", "same", "row", "n", "at"])(batches):
+        if len(same) < 2:
             continue
-        order = np.argsort(row, kind="stable")
-        keep = order[np.sort(np.unique(same[order], return_index=True)[1])]
-        if len(keep) < 2:
+        new = (np.diff(same) != 0) | (np.diff(n) != 0) | (np.diff(at) != 0)
+        if not new.any():
             continue
-        row, fp, n, at = row[keep], fp[keep], n[keep], at[keep]
-        likely = can_be(n, at, n[0], at[0])
-        likely[0] = False
-        out.append((shingle[keep], row, fp, n, at, np.full_like(row, row[0]), np.full_like(fp, fp[0]), likely))
-        many += len(row)
+        keep = np.append(True, new)
+        shingle, same, n, at = shingle[keep], same[keep], n[keep], at[keep]
+        first = np.argmin(row[keep])
+        likely = can_be(n, at, n[first], at[first])
+        likely[first] = False
+        out.append((shingle, same, n, at, np.full_like(same, same[first]), likely))
+        many += len(same)
         if many > _FLUSH:
             yield _frame(out, MET)
             out, many = [], 0
@@ -200,7 +221,7 @@ def _meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield _frame(out, MET)
 
 
-PAIR = "a bigint, fa bigint, b bigint, fb bigint"
+PAIR = "a bigint, b bigint"
 
 
 def _frame(parts: list[tuple], schema: str) -> pd.DataFrame:
@@ -208,32 +229,37 @@ def _frame(parts: list[tuple], schema: str) -> pd.DataFrame:
     return pd.DataFrame({c: np.concatenate(p) for c, p in zip(names, zip(*parts))})
 
 
-def _across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs of a group that lie in different components and can be similar."""
-    out, many = [], 0
-    for row, fp, n, at, label in _groups(["row", "fp", "n", "at", "label"])(batches):
-        if (label == label[0]).all():
-            continue
-        # Members of the largest component are compared with outsiders alone.
-        names, of, size = np.unique(label, return_inverse=True, return_counts=True)
-        outside = np.flatnonzero(of != np.argmax(size))
-        place = np.arange(len(row))
-        rank = np.where(of == np.argmax(size), -1, place)
-        for k in outside.tolist():
-            with_k = np.flatnonzero((label != label[k]) & (rank < k) & can_be(n, at, n[k], at[k]))
-            if len(with_k):
-                x, y = row[with_k], np.full_like(with_k, row[k])
-                fx, fy = fp[with_k], np.full_like(with_k, fp[k])
-                less = x < y
-                out.append(
-                    (np.where(less, x, y), np.where(less, fx, fy), np.where(less, y, x), np.where(less, fy, fx))
-                )
-                many += len(with_k)
-                if many > _FLUSH:
-                    yield _frame(out, PAIR)
-                    out, many = [], 0
-    if out:
-        yield _frame(out, PAIR)
+def _across(pivots: int | None = None):
+    """Pairs of a group that lie in different components and can be similar: all of them, or of
+    members outside the largest component with some ``pivots`` of it, in every group alike."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out, many = [], 0
+        for same, n, at, label in _groups(["same", "n", "at", "label"])(batches):
+            if (label == label[0]).all():
+                continue
+            # Members of the largest component are compared with outsiders alone.
+            names, of, size = np.unique(label, return_inverse=True, return_counts=True)
+            most = of == np.argmax(size)
+            place = np.arange(len(same))
+            rank = np.where(most, -1, place)
+            if pivots:
+                chosen = np.flatnonzero(most)
+                rank[:] = len(same)
+                rank[chosen[np.argsort(same[chosen])[:pivots]]] = -1
+            for k in np.flatnonzero(~most).tolist():
+                with_k = np.flatnonzero((label != label[k]) & (rank < k) & can_be(n, at, n[k], at[k]))
+                if len(with_k):
+                    x = same[with_k]
+                    out.append((np.minimum(x, same[k]), np.maximum(x, same[k])))
+                    many += len(with_k)
+                    if many > _FLUSH:
+                        yield _frame(out, PAIR)
+                        out, many = [], 0
+        if out:
+            yield _frame(out, PAIR)
+
+    return run
 
 
 def _similar_texts(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -241,11 +267,34 @@ def _similar_texts(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([similar(known(x), known(y)) for x, y in zip(a, b)], dtype=bool)
 
 
+def _marked(rows: DataFrame, wanted: DataFrame, most: int = MARKS) -> DataFrame:
+    """The rows of ``rows`` that ``wanted`` names (column ``row`` of both) and few others, told by
+    bits and without dealing out the rest; past ``most`` bits more others stay."""
+    bits = min(most, max(1 << 20, 1 << (16 * wanted.count()).bit_length()))
+    place = F.pmod(F.xxhash64("row"), F.lit(bits)) + 1
+    parts = (
+        wanted.select(place.alias("place"))
+        .groupBy(F.bitmap_bucket_number("place").alias("part"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
+    )
+    marks = np.zeros((-(-bits // (1 << 15)), 1 << 12), dtype=np.uint8)
+    for r in parts.collect():
+        marks[r["part"] - 1] = np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
+    marks = marks.ravel()
+
+    @F.pandas_udf("boolean")
+    def named(place: pd.Series) -> pd.Series:
+        at = place.to_numpy() - 1
+        return pd.Series((marks[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
+
+    return rows.filter(named(place))
+
+
 def links(
     hashed: DataFrame, text: str, fp: str, row: str, near: DataFrame, components: Callable
-) -> DataFrame:
+) -> tuple[DataFrame, Callable[[], None]]:
     """(a, b): fingerprints of different texts that resemble each other, enough of them to keep
-    every component that they make together with the links ``near``.
+    every component that they make together with the links ``near``; and a call that removes them.
 
     ``hashed`` is read several times: pass a written table. ``row`` numbers its rows.
     """
@@ -255,45 +304,66 @@ def links(
         F.col(row).alias("row"),
         F.col(fp).alias("fp"),
     )
-    met = shared(
-        texts.mapInPandas(_first_shingles(levels(texts, "text")), ENTRY)
+    met, drop_met = written(
+        texts.select("text", "same", "row")
+        .mapInPandas(_first_shingles(levels(texts, "text")), ENTRY)
         .repartition("shingle")
-        .sortWithinPartitions("shingle")
+        .sortWithinPartitions("shingle", "same", "n", "at", "row")
         .mapInPandas(_meet, MET),
         "resemblance-met",
     )
-    wanted = met.select("row").distinct()
-    held = shared(
-        texts.select("row", "text")
-        .join(wanted, "row", "left_semi")
-        .withColumn("bins", F.pandas_udf(_bins_of, "binary")("text")),
-        "resemblance-texts",
+    # One row of equal texts; texts that share the hash alone have a row each.
+    known, drop_known = written(
+        texts.select("same", "fp", "row", F.pandas_udf(_bins_of, "binary")("text").alias("bins"))
+        .groupBy("same", "fp")
+        .agg(F.min("row").alias("row"), F.first("bins").alias("bins")),
+        "resemblance-bins",
     )
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        side = lambda s, c: held.select(F.col("row").alias(s), F.col(c).alias(f"{c}_{s}"))
-        with_both = lambda p, c: p.join(side("a", c), "a").join(side("b", c), "b")
+    def verified(pairs: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+        def side(s: str) -> DataFrame:
+            return known.select(F.col("same").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("row", "fp", "bins")])
+
         can = F.pandas_udf(_can_share, "boolean")("bins_a", "bins_b")
-        left = shared(
-            with_both(pairs.distinct(), "bins").filter(can).select("a", "fa", "b", "fb"),
+        left, drop_left = written(
+            pairs.distinct()
+            .join(side("a"), "a")
+            .join(side("b"), "b")
+            .filter("fp_a <> fp_b")
+            .filter(can)
+            .select("row_a", "fp_a", "row_b", "fp_b"),
             "resemblance-pairs",
         )
+        some = _marked(texts.select("row", "text"), left.select(F.explode(F.array("row_a", "row_b")).alias("row")))
+        text_of = lambda s: some.withColumnsRenamed({"row": f"row_{s}", "text": f"text_{s}"})
         alike = F.pandas_udf(_similar_texts, "boolean")("text_a", "text_b")
-        found = with_both(left, "text").filter(alike)
-        return shared(
-            found.select(F.col("fa").alias("a"), F.col("fb").alias("b")).distinct(),
+        found = left.join(text_of("a"), "row_a").join(text_of("b"), "row_b").filter(alike)
+        out = written(
+            found.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")).distinct(),
             "resemblance-links",
         )
+        drop_left()
+        return out
+
+    first, same = F.col("first"), F.col("same")
+    found = [verified(met.filter("likely").select(F.least(first, same).alias("a"), F.greatest(first, same).alias("b")))]
+    for pivots in (PIVOTS, None):
+        labels, drop_labels = components(reduce(DataFrame.union, (f for f, _ in found), near))
+        label_of = known.select("same", "fp").join(labels, "fp", "left")
+        across = (
+            met.join(label_of.select("same", F.coalesce("label", "fp").alias("label")), "same")
+            .select("shingle", "same", "n", "at", "label")
+            .repartition("shingle")
+            .sortWithinPartitions("shingle", "same", "n", "at")
+            .mapInPandas(_across(pivots), PAIR)
+        )
+        found.append(verified(across))
+        drop_labels()
+    drop_met()
+    drop_known()
 
-    to_first = verified(
-        met.filter("likely and fp <> first_fp").selectExpr("first a", "first_fp fa", "row b", "fp fb")
-    )
-    labels = components(near.union(to_first))
-    apart = (
-        met.join(labels, "fp", "left")
-        .select("shingle", "row", "fp", "n", "at", F.coalesce("label", "fp").alias("label"))
-        .repartition("shingle")
-        .sortWithinPartitions("shingle")
-        .mapInPandas(_across, PAIR)
-    )
-    return to_first.union(verified(apart))
+    def discard() -> None:
+        for _, drop in found:
+            drop()
+
+    return reduce(DataFrame.union, (f for f, _ in found)), discard

@@ -22,7 +22,7 @@ doc_id, null only if all its ids are null; an empty table gives an empty table.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quantframe.llm import resemblance
-from quantframe.llm.common import free_name, shared, text_words
+from quantframe.llm.common import free_name, text_words, written
 
 BITS, RADIUS, SHINGLE, SEED = 64, 3, 3, 42
 BUCKET = 4096
@@ -164,8 +164,11 @@ def _around(tables: list[int], radius: int):
     return run
 
 
-def links(points: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
-    """(a, b): links between distinct fingerprints (column ``fp``) that keep every component.
+def links(
+    points: DataFrame, radius: int = RADIUS, bucket: int = BUCKET
+) -> tuple[DataFrame, Callable[[], None]]:
+    """(a, b): links between distinct fingerprints (column ``fp``) that keep every component, and
+    a call that removes them.
 
     Any two fingerprints within the radius are joined by a path of links, and every path stays
     inside one component. Written once, as several later steps read it.
@@ -177,7 +180,7 @@ def links(points: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> Data
             "table", "key"
         ),
     )
-    met = shared(
+    met, drop_met = written(
         keyed.repartition("table", "key")
         .sortWithinPartitions("table", "key")
         .select("table", "key", "fp")
@@ -193,13 +196,16 @@ def links(points: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> Data
     )
     star = centre.filter("a is not null and size(met) > 1").select("a", F.explode("met").alias("b"))
     found = met.filter("table < 0").select("a", "b").union(star.filter("a <> b"))
-    return shared(found.distinct(), "simhash-links")
+    out = written(found.distinct(), "simhash-links")
+    drop_met()
+    return out
 
 
-def components(found: DataFrame) -> DataFrame:
-    """(fp, label): for every fingerprint in a link, the smallest one it is joined to."""
+def components(found: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+    """(fp, label): for every fingerprint in a link, the smallest one it is joined to; and a call
+    that removes them."""
     both = found.union(found.select("b", "a")).toDF("fp", "other")
-    labels = shared(
+    labels, drop = written(
         both.groupBy("fp").agg(F.least(F.col("fp"), F.min("other")).alias("label")),
         "simhash-labels",
     )
@@ -208,7 +214,7 @@ def components(found: DataFrame) -> DataFrame:
         nearest = beside.groupBy("fp").agg(F.min("label").alias("beside"))
         moved = labels.join(nearest, "fp").withColumn("next", F.least("label", "beside"))
         through = labels.select(F.col("fp").alias("next"), F.col("label").alias("beyond"))
-        new = shared(
+        new, drop_new = written(
             moved.join(through, "next").select(
                 "fp",
                 F.least("next", "beyond").alias("label"),
@@ -216,9 +222,10 @@ def components(found: DataFrame) -> DataFrame:
             ),
             "simhash-labels",
         )
-        labels = new.select("fp", "label")
+        drop()
+        labels, drop = new.select("fp", "label"), drop_new
         if new.filter("changed").isEmpty():
-            return labels
+            return labels, drop
 
 
 def with_components(
@@ -231,7 +238,9 @@ def with_components(
     adaptive planner splits.
     """
     points = hashed.groupBy(F.col(fp).alias("fp")).agg(F.min(doc_id).alias("least"))
-    labels = components(links(points.select("fp"), radius, bucket))
+    near, drop_near = links(points.select("fp"), radius, bucket)
+    labels, _ = components(near)
+    drop_near()
     held = points.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     ids = held.groupBy("label").agg(F.min("least").alias(out))
     of_point = held.join(ids, "label").select(F.col("fp").alias(fp), out)
@@ -251,14 +260,17 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     Rows are numbered when the fingerprints are written, so of equal rows one stays.
     """
     fp, row, whole = (free_name(docs, n) for n in ("fp", "row_number", "component"))
-    hashed = shared(
+    hashed, _ = written(
         with_fingerprint(docs, text, fp).withColumn(row, F.monotonically_increasing_id()),
         "simhash",
     )
     order = F.struct(F.col(doc_id).isNull(), F.col(doc_id), F.col(row))
     points = hashed.groupBy(F.col(fp).alias("fp")).agg(F.min(order).alias("first"))
-    near = links(points.select("fp"))
-    labels = components(near.union(resemblance.links(hashed, text, fp, row, near, components)))
+    near, drop_near = links(points.select("fp"))
+    alike, drop_alike = resemblance.links(hashed, text, fp, row, near, components)
+    labels, _ = components(near.union(alike))
+    drop_near()
+    drop_alike()
     held = points.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     first = held.groupBy("label").agg(F.min("first").alias("first"))
     stay = first.select(F.col("first")[row].alias(row))

@@ -3,8 +3,10 @@
 import hashlib
 import itertools
 import math
+import os
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -15,7 +17,8 @@ import xxhash
 from conftest_llm import AWKWARD
 from pyspark.sql import functions as F
 
-from quantframe.llm import chat, lm, quality, simhash
+from quantframe import session
+from quantframe.llm import chat, lm, quality, resemblance, simhash
 from quantframe.llm.common import shared
 from quantframe.llm.queries_corpus import QUERIES
 from quantframe.llm.queries_text import QUERIES as TEXT_QUERIES
@@ -137,6 +140,52 @@ def test_similar_texts_meet_beyond_the_radius(table):
     assert kept == sorted(set(root))
 
 
+def test_near_duplicates_leave_no_tables_and_no_shuffle_files(spark, table, tmp_path, monkeypatch):
+    names = itertools.count()
+    monkeypatch.setattr(session, "scratch_folder", lambda _, name: f"{tmp_path}/{name}-{next(names)}")
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f for f in disk.getAllFiles().mkString("\n").split("\n") if "shuffle_" in f}
+    size = lambda: sum(os.path.getsize(f) for f in files() - before if os.path.exists(f))
+    before, words = files(), [f"w{i}" for i in range(900)]
+    rows = [(i, " ".join([*words[:i], "other", *words[i:]])) for i in range(60)]
+    kept = simhash.keep_one(table(rows))
+    wait = time.time() + 20
+    while size() > 9_000 and time.time() < wait:
+        time.sleep(0.2)
+    # Counts and marks that go to the driver may stay a while.
+    assert size() <= 9_000
+    assert {p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir() if any(p.iterdir())} == {"simhash", "simhash-labels"}
+    assert len(list(tmp_path.glob("*/rows"))) == 2
+    assert [r["doc_id"] for r in kept.collect()] == [0]
+
+
+def test_counts_by_range_tell_long_texts_apart():
+    rnd = random.Random(8)
+    for n in (1, 5, 40, 700, 3000, 9000):
+        words = [f"{rnd.random()}" for _ in range(n)]
+        other = [f"{rnd.random()}" for _ in range(n)]
+        bins = resemblance.bins(" ".join(words))
+        assert resemblance.fits(bins, bins)
+        for cut in (n, 99 * n // 100, 9 * n // 10, 85 * n // 100):
+            near = " ".join([*words[:cut], *other[: (n - cut) // 3]])
+            alike = resemblance.similar(resemblance.shingles(" ".join(words)), resemblance.shingles(near))
+            assert resemblance.fits(bins, resemblance.bins(near)) or not alike
+        half = " ".join([*words[: n // 2], *other[n // 2 :]])
+        if n >= 700:
+            assert not resemblance.fits(bins, resemblance.bins(" ".join(other)))
+            assert not resemblance.fits(bins, resemblance.bins(half))
+    assert resemblance.fits(b"", resemblance.bins("one text"))
+
+
+def test_marked_rows_are_all_that_are_wanted(spark):
+    rows = spark.range(0, 3_000_000_000, 100_000).toDF("row")
+    wanted = spark.createDataFrame([(100_000 * i,) for i in (0, 3, 3, 29_999, 50_000)], "row bigint")
+    got = {r["row"] for r in resemblance._marked(rows, wanted).collect()}
+    assert {0, 300_000, 2_999_900_000} <= got and len(got) < 100
+    assert {0, 300_000, 2_999_900_000} <= {r["row"] for r in resemblance._marked(rows, wanted, 64).collect()}
+    assert not resemblance._marked(rows, wanted.limit(0)).count()
+
+
 # --- language model ------------------------------------------------------------------------
 
 
