@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantframe.llm.common import text_words, written
+from quantframe.llm.common import text_words, whole_files, written
 
 WIDTH, SEED = 5, 42
 #: The least similarity, as a fraction.
@@ -336,12 +336,10 @@ def links(
         )
         some = _marked(texts.select("row", "text"), left.select(F.explode(F.array("row_a", "row_b")).alias("row")))
         text_of = lambda s: some.withColumnsRenamed({"row": f"row_{s}", "text": f"text_{s}"})
-        alike = F.pandas_udf(_similar_texts, "boolean")("text_a", "text_b")
-        found = left.join(text_of("a"), "row_a").join(text_of("b"), "row_b").filter(alike)
-        out = written(
-            found.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")).distinct(),
-            "resemblance-links",
-        )
+        decide = F.pandas_udf(_similar_texts, "boolean")("text_a", "text_b")
+        found = left.join(text_of("a"), "row_a").join(text_of("b"), "row_b").filter(decide)
+        alike = found.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")).distinct()
+        out = written(whole_files(alike, left.count()), "resemblance-links")
         drop_left()
         return out
 

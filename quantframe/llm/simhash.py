@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quantframe.llm import resemblance
-from quantframe.llm.common import free_name, text_words, written
+from quantframe.llm.common import free_name, text_words, whole_files, written
 
 BITS, RADIUS, SHINGLE, SEED = 64, 3, 3, 42
 BUCKET = 4096
@@ -204,24 +204,20 @@ def links(
 def components(found: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
     """(fp, label): for every fingerprint in a link, the smallest one it is joined to; and a call
     that removes them."""
-    both = found.union(found.select("b", "a")).toDF("fp", "other")
-    labels, drop = written(
-        both.groupBy("fp").agg(F.least(F.col("fp"), F.min("other")).alias("label")),
-        "simhash-labels",
-    )
+    both, n = found.union(found.select("b", "a")).toDF("fp", "other"), 2 * found.count()
+    own = both.groupBy("fp").agg(F.least(F.col("fp"), F.min("other")).alias("label"))
+    labels, drop = written(whole_files(own, n), "simhash-labels")
     while True:
         beside = both.join(labels.withColumnRenamed("fp", "other"), "other")
         nearest = beside.groupBy("fp").agg(F.min("label").alias("beside"))
         moved = labels.join(nearest, "fp").withColumn("next", F.least("label", "beside"))
         through = labels.select(F.col("fp").alias("next"), F.col("label").alias("beyond"))
-        new, drop_new = written(
-            moved.join(through, "next").select(
-                "fp",
-                F.least("next", "beyond").alias("label"),
-                (F.least("next", "beyond") != F.col("label")).alias("changed"),
-            ),
-            "simhash-labels",
+        further = moved.join(through, "next").select(
+            "fp",
+            F.least("next", "beyond").alias("label"),
+            (F.least("next", "beyond") != F.col("label")).alias("changed"),
         )
+        new, drop_new = written(whole_files(further, n), "simhash-labels")
         drop()
         labels, drop = new.select("fp", "label"), drop_new
         if new.filter("changed").isEmpty():
