@@ -6,10 +6,9 @@ two sets of n and m shingles that similar share one among the first ``n - ceil(0
 either, so only those are dealt out, and no pair is missed whatever the order. Rarity comes from
 counts by hash cell, of which there are ``CELLS`` at any size of the corpus.
 
-Shingles of one text go at once. Of the rest each member of a group is compared with the group's
-first, then, outside the largest component, with ``PIVOTS`` members of it; then members that are
-still in different components are compared with each other, so a large group of near copies costs
-a few comparisons a member. Before two texts meet, their counts of
+Shingles of one text go at once. Of the rest each member of a group is compared with up to ``PIVOTS``
+members of the group; then members that are still in different components are compared with each
+other, so a large group of near copies costs a few comparisons a member. Before two texts meet, their counts of
 shingles by hash range, ``LOAD`` to a range, are compared, which bound what they can share from
 above; every pair left is decided on its two texts.
 
@@ -23,7 +22,7 @@ resembles nothing; equal texts count as one; texts that share the hash alone sta
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import lru_cache, reduce
+from functools import lru_cache
 from itertools import accumulate
 
 import numpy as np
@@ -40,7 +39,7 @@ LEAST = (4, 5)
 CELLS, CHUNK = 1 << 18, 1 << 11
 #: Shingles to a hash range, and the least number of ranges.
 LOAD, RANGES = 2, 64
-#: Members of a group's largest component that the others meet before they meet all.
+#: Members of a group that the others meet before they meet all.
 PIVOTS = 4
 #: Bits that tell which rows' texts are wanted: the most of them.
 MARKS = 1 << 26
@@ -194,12 +193,13 @@ def _groups(columns: list[str]):
     return run
 
 
-MET = "shingle bigint, same bigint, n int, at int, first bigint, likely boolean"
+MET = "shingle bigint, same bigint, n int, at int, " + ", ".join(f"p{i} bigint" for i in range(PIVOTS))
 
 
 def _meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Over rows sorted by shingle and text: members of groups of two texts or more, each with the
-    group's first one; equal texts are the one with the smallest row, in every group alike."""
+    group's pivots, or itself in place of those it can't be like. Pivots are the first row and
+    the smallest hashes, in every group alike; equal texts are the one with the smallest row."""
     out, many = [], 0
     for shingle, same, row, n, at in _groups(["shingle", "same", "row", "n", "at"])(batches):
         if len(same) < 2:
@@ -209,10 +209,13 @@ def _meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             continue
         keep = np.append(True, new)
         shingle, same, n, at = shingle[keep], same[keep], n[keep], at[keep]
-        first = np.argmin(row[keep])
-        likely = can_be(n, at, n[first], at[first])
-        likely[first] = False
-        out.append((shingle, same, n, at, np.full_like(same, same[first]), likely))
+        first = int(np.argmin(row[keep]))
+        met = [np.where(can_be(n, at, n[first], at[first]), same[first], same)]
+        for p in range(PIVOTS - 1):
+            # Sorted by hash; two members have met by now.
+            more = 2 < len(same) > p
+            met.append(np.where(can_be(n, at, n[p], at[p]), same[p], same) if more else same)
+        out.append((shingle, same, n, at, *met))
         many += len(same)
         if many > _FLUSH:
             yield _frame(out, MET)
@@ -229,37 +232,28 @@ def _frame(parts: list[tuple], schema: str) -> pd.DataFrame:
     return pd.DataFrame({c: np.concatenate(p) for c, p in zip(names, zip(*parts))})
 
 
-def _across(pivots: int | None = None):
-    """Pairs of a group that lie in different components and can be similar: all of them, or of
-    members outside the largest component with some ``pivots`` of it, in every group alike."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out, many = [], 0
-        for same, n, at, label in _groups(["same", "n", "at", "label"])(batches):
-            if (label == label[0]).all():
-                continue
-            # Members of the largest component are compared with outsiders alone.
-            names, of, size = np.unique(label, return_inverse=True, return_counts=True)
-            most = of == np.argmax(size)
-            place = np.arange(len(same))
-            rank = np.where(most, -1, place)
-            if pivots:
-                chosen = np.flatnonzero(most)
-                rank[:] = len(same)
-                rank[chosen[np.argsort(same[chosen])[:pivots]]] = -1
-            for k in np.flatnonzero(~most).tolist():
-                with_k = np.flatnonzero((label != label[k]) & (rank < k) & can_be(n, at, n[k], at[k]))
-                if len(with_k):
-                    x = same[with_k]
-                    out.append((np.minimum(x, same[k]), np.maximum(x, same[k])))
-                    many += len(with_k)
-                    if many > _FLUSH:
-                        yield _frame(out, PAIR)
-                        out, many = [], 0
-        if out:
-            yield _frame(out, PAIR)
-
-    return run
+def _across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs of a group that lie in different components and can be similar."""
+    out, many = [], 0
+    for same, n, at, label in _groups(["same", "n", "at", "label"])(batches):
+        if (label == label[0]).all():
+            continue
+        # Members of the largest component are compared with outsiders alone.
+        names, of, size = np.unique(label, return_inverse=True, return_counts=True)
+        outside = np.flatnonzero(of != np.argmax(size))
+        place = np.arange(len(same))
+        rank = np.where(of == np.argmax(size), -1, place)
+        for k in outside.tolist():
+            with_k = np.flatnonzero((label != label[k]) & (rank < k) & can_be(n, at, n[k], at[k]))
+            if len(with_k):
+                x = same[with_k]
+                out.append((np.minimum(x, same[k]), np.maximum(x, same[k])))
+                many += len(with_k)
+                if many > _FLUSH:
+                    yield _frame(out, PAIR)
+                    out, many = [], 0
+    if out:
+        yield _frame(out, PAIR)
 
 
 def _similar_texts(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -343,25 +337,29 @@ def links(
         drop_left()
         return out
 
-    first, same = F.col("first"), F.col("same")
-    found = [verified(met.filter("likely").select(F.least(first, same).alias("a"), F.greatest(first, same).alias("b")))]
-    for pivots in (PIVOTS, None):
-        labels, drop_labels = components(reduce(DataFrame.union, (f for f, _ in found), near))
-        label_of = known.select("same", "fp").join(labels, "fp", "left")
-        across = (
-            met.join(label_of.select("same", F.coalesce("label", "fp").alias("label")), "same")
-            .select("shingle", "same", "n", "at", "label")
-            .repartition("shingle")
-            .sortWithinPartitions("shingle", "same", "n", "at")
-            .mapInPandas(_across(pivots), PAIR)
+    with_pivots = met.select("same", F.explode(F.array(*[f"p{i}" for i in range(PIVOTS)])).alias("pivot"))
+    found = [
+        verified(
+            with_pivots.filter("same <> pivot").select(
+                F.least("same", "pivot").alias("a"), F.greatest("same", "pivot").alias("b")
+            )
         )
-        found.append(verified(across))
-        drop_labels()
-    drop_met()
-    drop_known()
+    ]
+    labels, drop_labels = components(near.union(found[0][0]))
+    label_of = known.select("same", "fp").join(labels, "fp", "left")
+    across = (
+        met.join(label_of.select("same", F.coalesce("label", "fp").alias("label")), "same")
+        .select("shingle", "same", "n", "at", "label")
+        .repartition("shingle")
+        .sortWithinPartitions("shingle", "same", "n", "at")
+        .mapInPandas(_across, PAIR)
+    )
+    found.append(verified(across))
+    for drop in (drop_labels, drop_met, drop_known):
+        drop()
 
     def discard() -> None:
         for _, drop in found:
             drop()
 
-    return reduce(DataFrame.union, (f for f, _ in found)), discard
+    return found[0][0].union(found[1][0]), discard
